@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import load
 from tidemark.llm.decontam import contamination
+from tidemark.llm.packing import pack
+from tidemark.llm.substring import remove_repeats
 from tidemark.llm.topk import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -22,6 +32,8 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_packing": op2_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
 }
