@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.common import load
 from tidemark.llm.decontam import contamination
 from tidemark.llm.packing import pack
@@ -31,9 +32,14 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
+    "op10_near_dedup": op10_near_dedup,
 }
