@@ -10,6 +10,7 @@ from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.common import load
 from tidemark.llm.decontam import contamination
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import find
 from tidemark.llm.substring import remove_repeats
 from tidemark.llm.topk import top_k
 
@@ -32,6 +33,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(load(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -41,5 +46,6 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
+    "op8_pii": op8_pii,
     "op10_near_dedup": op10_near_dedup,
 }
