@@ -5,16 +5,16 @@ shift d < P with (i + d) and (j + d) both at places whose remainder lies in D. S
 windows of 20 words share an aligned anchor, a run of 20 - P + 1 = 8 words at a cover place.
 
 1. Anchors only (4 of 13 places) are hashed; each chunk of documents sends its distinct anchor
-   hashes, sorted, in one row for each bucket. Buckets answer each chunk with the hashes that
-   another chunk sent too, or that the chunk itself holds twice.
-2. Around repeated anchors each chunk extends to whole windows: their 128-bit hashes and first
-   places go out the same way; buckets answer with the windows that are not the first of all.
+   hashes, sorted, in one row for each bucket. Buckets answer each chunk with one bit for each
+   hash: another chunk sent it too, or the chunk itself holds it twice.
+2. Around repeated anchors each chunk extends to whole windows: their 96-bit hashes and first
+   places go out the same way; buckets answer with a bit for each that is not the first of all.
 3. Each chunk removes the words under the windows that start earlier somewhere.
 
 A hash goes out once for each chunk, however often it occurs, so a hot passage never gathers
 its occurrences in one task. Chunks are blocks of documents by a hash of doc_id, of bounded
 size; all three passes read the one exchange that deals documents to chunks. Two windows are
-the same if their 128-bit hashes are: at 10**13 windows the chance of one mistake is 10**-13.
+the same if their 96-bit hashes are: at 10**13 windows the chance of any mistake is 6 * 10**-4.
 
 Nulls: a null text has no words; a null doc_id sorts first. Repeated rows of one doc_id are
 documents of their own, later in text order. Extra columns are ignored. Texts of fewer
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,12 +101,21 @@ class _Chunk:
         return a, b, first
 
 
-def _rows(chunk: int, buckets: int, key: np.ndarray, cols: list[np.ndarray]) -> Iterator[tuple]:
-    """One row for each bucket that the keys (sorted) fall into."""
+def _split(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets that the sorted keys fall into."""
     bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     firsts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-    for lo, hi in zip(firsts, [*firsts[1:], len(key)], strict=True):
-        yield (chunk, int(bucket[lo]), *(c[lo:hi].tobytes() for c in cols))
+    return [(int(bucket[lo]), int(lo), int(hi)) for lo, hi in zip(firsts, [*firsts[1:], len(key)], strict=True)]
+
+
+def _flags(key: np.ndarray, buckets: int, table: pa.Table, column: str) -> np.ndarray:
+    """The buckets' answers, one flag for each of the sorted keys."""
+    out = np.zeros(len(key), bool)
+    bits = {b: x for b, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist(), strict=True) if x is not None}
+    for bucket, lo, hi in _split(key, buckets):
+        if bucket in bits:
+            out[lo:hi] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=hi - lo)
+    return out
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -125,80 +135,80 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
 
     def anchors(table: pa.Table) -> pa.Table:
         h, n = np.unique(_Chunk(table, False).anchors(window)[1], return_counts=True)
-        return _table(list(_rows(table.column("chunk")[0].as_py(), buckets, h, [h, n > 1])), ["chunk", "bucket", "h", "twice"])
+        chunk = table.column("chunk")[0].as_py()
+        return _table([(chunk, b, h[lo:hi].tobytes(), np.packbits(n[lo:hi] > 1).tobytes()) for b, lo, hi in _split(h, buckets)], ["chunk", "bucket", "h", "twice"])
 
     def repeated(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, hs, twice = [], [], []
         for batch in batches:
             chunk += batch.column("chunk").to_pylist()
             hs += [np.frombuffer(x, np.uint64) for x in batch.column("h").to_pylist()]
-            twice += [np.frombuffer(x, bool) for x in batch.column("twice").to_pylist()]
-        h = np.concatenate(hs)
-        many = np.sort(h, kind="stable")
-        many = np.union1d(many[1:][many[1:] == many[:-1]], h[np.concatenate(twice)])
-        rows = [(c, x[many[np.minimum(np.searchsorted(many, x), len(many) - 1)] == x].tobytes()) for c, x in zip(chunk, hs, strict=True)] if len(many) else []
-        yield from _table([r for r in rows if r[1]], ["chunk", "h"]).to_batches()
+            twice += batch.column("twice").to_pylist()
+        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)).astype(bool) for x, t in zip(hs, twice, strict=True)]
+        many = np.sort(np.concatenate(hs), kind="stable")
+        many = np.unique(many[1:][many[1:] == many[:-1]])
+        rows = []
+        for c, x, t in zip(chunk, hs, twice, strict=True):
+            if len(many):
+                t = t | (many[np.minimum(np.searchsorted(many, x), len(many) - 1)] == x)
+            if t.any():
+                rows.append((c, key[0].as_py(), np.packbits(t).tobytes()))
+        yield from _table(rows, ["chunk", "bucket", "h"]).to_batches()
+
+    def candidates(own: _Chunk, answer: pa.Table) -> np.ndarray:
+        """Starts of the windows around the chunk's repeated anchors."""
+        h = np.unique(own.anchors(window)[1])
+        return own.candidates(window, h[_flags(h, buckets, answer, "h")])
+
+    def firsts(own: _Chunk, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the chunk's distinct windows: first starts and both hashes, in order of the first; whether each of start is one of them."""
+        a, b, first = own.keys(window, start)
+        at = np.flatnonzero(first)
+        at = at[np.lexsort((start[at], a[at]))]
+        return start[at], a[at], (b[at] >> np.uint64(32)).astype(np.uint32), first
 
     def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["chunk", "bucket", "a", "b", "doc", "place"]
+        names = ["chunk", "bucket", "a", "b", "ids", "doc", "place"]
         if not left.num_rows or not right.num_rows:
             return _table([], names)
         own = _Chunk(left, True)
-        known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("h").to_pylist()]))
-        start = own.candidates(window, known)
-        a, b, first = own.keys(window, start)
-        a, b, start = a[first], b[first], start[first]
-        order = np.argsort(a, kind="stable")
-        a, b, start = a[order], b[order], start[order]
-        return _table(list(_rows(left.column("chunk")[0].as_py(), buckets, a, [a, b, own.ids[own.doc[start]], own.place[start].astype(np.int32)])), names)
+        start, a, b, _ = firsts(own, candidates(own, right))
+        chunk, doc, place, rows = left.column("chunk")[0].as_py(), own.doc[start], own.place[start].astype(np.int32), []
+        for bucket, lo, hi in _split(a, buckets):
+            some, at = np.unique(doc[lo:hi], return_inverse=True)
+            rows.append((chunk, bucket, a[lo:hi].tobytes(), b[lo:hi].tobytes(), own.ids[some].tobytes(), at.astype(np.uint16 if len(some) < 1 << 16 else np.uint32).tobytes(), place[lo:hi].tobytes()))
+        return _table(rows, names)
 
     def later(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         chunk: list[int] = []
         for batch in batches:
-            chunk += batch.column("chunk").to_pylist()
-            for c, name, t in zip(cols, ("a", "b", "doc", "place"), (np.uint64, np.uint64, np.int64, np.int32), strict=True):
-                c += [np.frombuffer(x, t) for x in batch.column(name).to_pylist()]
-        source = np.repeat(np.arange(len(chunk)), [len(x) for x in cols[0]])
+            for r in batch.to_pylist():
+                chunk.append(r["chunk"])
+                a, ids = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["ids"], np.int64)
+                at = np.frombuffer(r["doc"], np.uint16 if len(r["doc"]) == 2 * len(a) else np.uint32)
+                for c, x in zip(cols, (a, np.frombuffer(r["b"], np.uint32), ids[at], np.frombuffer(r["place"], np.int32)), strict=True):
+                    c.append(x)
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])])
+        source = np.repeat(np.arange(len(chunk)), np.diff(edges))
         a, b, doc, place = (np.concatenate(c) for c in cols)
         order = np.lexsort((source, place, doc, b, a))
-        a, b, source = a[order], b[order], source[order]
-        not_first = np.zeros(len(a), bool)
-        not_first[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        a, b, source = a[not_first], b[not_first], source[not_first]
-        order = np.lexsort((a, source))
-        a, b, source = a[order], b[order], source[order]
-        edges = np.searchsorted(source, np.arange(len(chunk) + 1))
-        yield from _table([(c, a[lo:hi].tobytes(), b[lo:hi].tobytes()) for c, lo, hi in zip(chunk, edges[:-1], edges[1:], strict=True) if hi > lo], ["chunk", "a", "b"]).to_batches()
+        same = np.zeros(len(a), bool)
+        same[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        rows = [(c, key[0].as_py(), np.packbits(same[lo:hi]).tobytes()) for c, lo, hi in zip(chunk, edges[:-1], edges[1:], strict=True) if same[lo:hi].any()]
+        yield from _table(rows, ["chunk", "bucket", "later"]).to_batches()
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = _Chunk(left, True) if left.num_rows else None
         out: dict[str, list] = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")}
         if own is not None:
-            known = np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("anchors").to_pylist() if x)]))
-            ids = [np.frombuffer(x, np.uint64) for x in right.column("a").to_pylist() if x]
-            other = [np.frombuffer(x, np.uint64) for x in right.column("b").to_pylist() if x]
-            pair = np.dtype([("a", np.uint64), ("b", np.uint64)])
-            earlier = np.zeros(sum(map(len, ids)), pair)
-            if ids:
-                earlier["a"], earlier["b"] = np.concatenate(ids), np.concatenate(other)
             gone = np.zeros(len(own.doc) + 1, np.int64)
-            start = own.candidates(window, known)
+            start = candidates(own, right.filter(pc.is_valid(right.column("h"))))
             if len(start):
-                a, b, first = own.keys(window, start)
-                drop = ~first
-                if len(earlier):
-                    order = np.argsort(earlier["a"], kind="stable")
-                    ea, eb = earlier["a"][order], earlier["b"][order]
-                    pos = np.minimum(np.searchsorted(ea, a), len(ea) - 1)
-                    same = ea[pos] == a
-                    exact = same & (eb[pos] == b)
-                    for i in np.flatnonzero(same & ~exact):  # equal first halves of different windows
-                        lo, hi = np.searchsorted(ea, a[i], "left"), np.searchsorted(ea, a[i], "right")
-                        exact[i] = (eb[lo:hi] == b[i]).any()
-                    drop |= exact
-                np.add.at(gone, start[drop], 1)
-                np.add.at(gone, start[drop] + window, -1)
+                kept, a, _, first = firsts(own, start)
+                drop = np.concatenate([start[~first], kept[_flags(a, buckets, right.filter(pc.is_valid(right.column("later"))), "later")]])
+                np.add.at(gone, drop, 1)
+                np.add.at(gone, drop + window, -1)
             keep = np.cumsum(gone[:-1]) == 0
             raw = own.raw.tobytes()
             for d in range(len(own.ids)):
@@ -211,10 +221,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
 
     by_chunk = lambda df: df.repartition(chunks, "chunk").groupBy("chunk")
     sent = dealt.groupBy("chunk").applyInArrow(anchors, "chunk long, bucket long, h binary, twice binary")
-    known = sent.groupBy("bucket").applyInArrow(repeated, "chunk long, h binary")
-    found = dealt.groupBy("chunk").cogroup(by_chunk(known)).applyInArrow(extend, "chunk long, bucket long, a binary, b binary, doc binary, place binary")
-    earlier = found.groupBy("bucket").applyInArrow(later, "chunk long, a binary, b binary")
-    answer = known.select("chunk", F.col("h").alias("anchors"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b")).unionByName(earlier.withColumn("anchors", F.lit(None).cast("binary")))
+    known = sent.groupBy("bucket").applyInArrow(repeated, "chunk long, bucket long, h binary")
+    found = dealt.groupBy("chunk").cogroup(by_chunk(known)).applyInArrow(extend, "chunk long, bucket long, a binary, b binary, ids binary, doc binary, place binary")
+    earlier = found.groupBy("bucket").applyInArrow(later, "chunk long, bucket long, later binary")
+    answer = known.withColumn("later", F.lit(None).cast("binary")).unionByName(earlier.withColumn("h", F.lit(None).cast("binary")))
     out = dealt.groupBy("chunk").cogroup(by_chunk(answer)).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     out = out.withColumn("doc_id", F.col("doc_id").cast(kind))
     return out if keep_text else out.drop("kept_text")
