@@ -10,6 +10,7 @@ from tidemark.llm import langid, quality, toxicity
 from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.common import load
 from tidemark.llm.decontam import contamination
+from tidemark.llm.htmltext import main_text
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import find
 from tidemark.llm.substring import remove_repeats
@@ -50,6 +51,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(load(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -63,5 +68,6 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
     "op8_pii": op8_pii,
+    "op9_html_text": op9_html_text,
     "op10_near_dedup": op10_near_dedup,
 }
