@@ -1 +1 @@
-
+"""Column functions: text cleaning, defaults, arithmetic of times, costs and vectors."""
