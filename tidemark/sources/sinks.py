@@ -1,0 +1,59 @@
+"""Sinks. Spark's commit protocol takes the place of temporary files, renames and locks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.operators.joins import last_wins, pending
+
+
+def write_json(df: DataFrame, path: str, append: bool = False) -> None:
+    df.write.mode("append" if append else "overwrite").json(path)
+
+
+def append_new(df: DataFrame, done: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose keys have no result yet."""
+    pending(df, done, keys).write.mode("append").json(path)
+
+
+def write_complete(parts: DataFrame, key: str, path: str) -> None:
+    """Append the keys all of whose parts are done, each with its parts in order. parts: key, part, done and values."""
+    rows = parts.groupBy(key).agg(F.bool_and("done").alias("_all"), F.array_sort(F.collect_list(F.struct("part", *(c for c in parts.columns if c not in (key, "part", "done"))))).alias("parts"))
+    rows.filter("_all").drop("_all").write.mode("append").json(path)
+
+
+def write_by_key(df: DataFrame, key: str, folder: str, combined: str) -> None:
+    """A folder for each key, and all rows once more together."""
+    df.withColumn("_key", F.col(key)).repartition("_key").write.mode("overwrite").partitionBy("_key").json(folder)
+    df.write.mode("overwrite").json(combined)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def upsert_points(store: DataFrame | None, points: DataFrame, path: str) -> None:
+    """A new snapshot of a vector store, partitioned by type; of each raw_id the last point by `seq` stays."""
+    both = points if store is None else store.unionByName(points, allowMissingColumns=True)
+    last_wins(both, ["raw_id"], ["seq"]).write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def write_artefacts(df: DataFrame, path: str, hash_col: str = "content_hash") -> None:
+    """Artefacts by content hash; its first two characters part the folders."""
+    df.withColumn("shard", F.substring(hash_col, 1, 2)).repartition("shard").write.mode("append").partitionBy("shard").parquet(path)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def score_report(tasks: DataFrame, categories: DataFrame, overall: DataFrame) -> str:
+    """A text report of at most a few dozen rows of scores."""
+    lines = ["Scores"]
+    for title, df, key in (("Tasks", tasks, "task"), ("Categories", categories, "category")):
+        lines.append(title)
+        lines += [f"  {r[key]:<32} {100 * r['accuracy']:6.2f} %  ({r['samples']})" for r in df.orderBy(key).collect()]
+    total = overall.head()
+    lines.append(f"Overall {100 * total['overall']:.2f} % of {total['samples']} samples")
+    return "\n".join(lines)
