@@ -65,7 +65,7 @@ def work_list(have: Sequence[DataFrame], without: Sequence[DataFrame], key: str)
 
 def update_join(base: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str], keep: bool = True) -> DataFrame:
     """base with `values` taken from the last change of each key; with keep, values that base has (not null, not empty) stay."""
-    new = last_wins(changes.select(*keys, *values, *order), keys, order).drop(*(c for c in order if c not in (*keys, *values)))
+    new = last_wins(changes.select(*dict.fromkeys([*keys, *values, *order])), keys, order).drop(*(c for c in order if c not in [*keys, *values]))
     new = new.withColumnsRenamed({v: f"_new_{v}" for v in values})
     out = base.join(new, list(keys), "left")
     for v in values:

@@ -71,8 +71,8 @@ def batch_top_k(queries: DataFrame, points: DataFrame, k: int, *, query_id: str
         kinds = (right.schema.field("_rows").type.value_type.field("id").type, left.schema.field("_id").type, pa.float64())
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[query_id, id_col, "score"])
 
-    cells = dealt.select("_b", "_p").distinct()
-    right = blocks.join(cells, "_b")
+    cells = dealt.select(F.col("_b").alias("_cb"), F.col("_p").alias("_cp")).distinct()
+    right = blocks.join(cells, F.col("_b") == F.col("_cb")).select("_b", F.col("_cp").alias("_p"), "_rows")
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id_col} {points.schema[id_col].dataType.simpleString()}, score double"
     near = dealt.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(run, schema)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
