@@ -15,10 +15,11 @@ a shingle that occurs c times costs about log c steps, and no point later than t
 all components are filled is drawn.
 
 Search. 1. Equal multisets collapse (128-bit sums). 2. 24 bands of 4 components: a pair at 0.8
-is missed with probability 3e-6. 3. Each document is verified against the smallest document that
-shares a band with it; most classes are complete then. 4. Band buckets that still hold documents of
-different classes are verified in whole: members are dealt to blocks of at most BLOCK, each
-pair of blocks is one bounded task, and sends only links that join classes. 5. Components by
+is missed with probability 3e-6. 3. Each document is verified against the smallest document of each
+of its band buckets; most classes are complete then. 4. Buckets that still hold documents of
+different classes are verified in whole: those outside the bucket's most frequent class are dealt to
+blocks of about BLOCK, so are the others, each block of the former meets each block in one bounded
+task, and sends only links that join classes. 5. Components by
 alternating large and small stars. Nothing is capped; step 4 is the exact way for large buckets.
 
 Nulls: a null text counts as empty; documents without words form one class. Rows with a null
@@ -40,7 +41,9 @@ from tidemark.llm.common import ByteHash, checkpoint, map_arrow, mix, slices, st
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Members of a block in step 4.
-BLOCK = 192
+BLOCK = 384
+#: Cells of a presence matrix that a task of step 4 multiplies at once.
+CELLS = 1 << 22
 
 _HASH = ByteHash(0xBA6)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -187,6 +190,36 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / total if total else 1.0
 
 
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of smaller counts of all pairs of bags."""
+    out = np.zeros((len(bags), len(bags)), np.int64)
+    if len(bags) < 12:
+        for i in range(len(bags)):
+            for j in range(i):
+                _, a, b = np.intersect1d(bags[i][0], bags[j][0], assume_unique=True, return_indices=True)
+                out[i, j] = out[j, i] = np.minimum(bags[i][1][a], bags[j][1][b]).sum()
+        return out
+    h, c = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    who = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    level = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)  # the l-th occurrence is an element of its own
+    h, who = np.repeat(h, c), np.repeat(who, c)
+    with np.errstate(over="ignore"):
+        h = np.where(level > 0, mix(h + level.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)), h)
+    _, place, many = np.unique(h, return_inverse=True, return_counts=True)
+    shared = np.cumsum(many > 1) - 1
+    keep = (many > 1)[place]
+    place, who = shared[place[keep]], who[keep]
+    order = np.argsort(place, kind="stable")
+    place, who = place[order], who[order]
+    width = max(1, CELLS // len(bags))
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(place, [lo, lo + width])
+        x = np.zeros((len(bags), width), np.float32)
+        x[who[a:b], place[a:b] - lo] = 1
+        out += np.rint(x @ x.T).astype(np.int64)
+    return out
+
+
 def _verify(width: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -205,16 +238,7 @@ def _block_links(width: int, threshold: float):
         label, side = table.column("label").to_numpy(), table.column("side").to_numpy()
         bags = _bags(table.column("text").to_pylist(), width)
         total = np.array([int(c.sum()) for _, c in bags])
-        h, c = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
-        who = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
-        order = np.argsort(h, kind="stable")
-        h, c, who = h[order], c[order], who[order]
-        both = np.zeros((len(bags), len(bags)), np.int64)
-        edge = np.flatnonzero(np.diff(h, prepend=h[:1] ^ _U(1)))
-        for lo, hi in zip(edge, [*edge[1:], len(h)], strict=True):
-            if hi - lo > 1:
-                w, x = who[lo:hi], c[lo:hi]
-                both[np.ix_(w, w)] += 1 if (x == 1).all() else np.minimum.outer(x, x)
+        both = overlaps(bags)
         union = total[:, None] + total[None, :] - both
         linked = (both >= threshold * union - 1e-9) & (both / np.maximum(union, 1) >= threshold) & (label[:, None] < label[None, :])
         if len(set(side.tolist())) > 1:
@@ -267,15 +291,19 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("most")).filter("leader < most").select("key", "leader")
     members = stored(keyed.join(shared, "key"), "members")
     text = docs.filter("doc_id is not null").select("doc_id", "text")
-    first = members.groupBy("doc_id").agg(F.min("leader").alias("leader")).filter("leader < doc_id")
+    first = members.filter("leader < doc_id").select("doc_id", "leader").distinct()
     pairs = first.join(text, "doc_id").join(text.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader").select("doc_id", "leader", "text", "leader_text")
     star = stored(pairs.mapInArrow(_verify(words, threshold), "doc_id long, leader long"), "star")
     roots = components(star)
     known = members.select("doc_id", "key").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("label"))
-    mixed = known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    # (key, i, j): pairs of blocks i <= j; a member of block k goes to all pairs with k
-    dealt = known.join(mixed, "key").withColumn("k", F.pmod(F.xxhash64("doc_id", "key"), "blocks"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).filter("n > top.n")
+    mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("top.n") / block).alias("many"))
+    # blocks 0 .. few-1 are outside the most frequent class, then come its own; tasks (key, i, j) with i < few and i <= j
+    h = F.xxhash64("doc_id", "key")
+    dealt = known.join(mixed, "key").withColumn("k", F.when(F.col("label") != F.col("top"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
+    others = F.when(F.col("k") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others)))
     dealt = dealt.select("doc_id", "label", "key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"))
     full = dealt.join(text, "doc_id")
     more = full.groupBy("key", "i", "j").applyInArrow(_block_links(words, threshold), "doc_id long, leader long")
