@@ -311,3 +311,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     label = same.join(root, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("root", "rep").alias("class_id"))
     out = sketch.select("doc_id", "fa", "fb").join(label, ["fa", "fb"], "left")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).cast(kind).alias("class_id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each class the smallest doc_id, once; rows without doc_id stay."""
+    kept = near_duplicates(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
