@@ -23,7 +23,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 #: Documents of each label in the training sample.
 PER_CLASS = 4000
 BUCKETS, FEATURES, MIN_DOCS = 1 << 20, 3000, 2
-L2, FAIR, ROUNDS, RATE = 2e-4, 1.0, 300, 0.1
+L2, FAIR, ROUNDS, RATE = 1e-3, 1.0, 300, 0.1
 
 # Terms that may stand for each other in a counterfactual text.
 IDENTITIES = (
