@@ -94,7 +94,7 @@ def test_ttl_cache(spark, tmp_path):
     src, out = str(tmp_path / "s"), str(tmp_path / "o")
     spark.createDataFrame([("k", "x"), ("k", "x"), ("j", "y")], "key string, value string").coalesce(1).write.parquet(src)
     df = incremental.ttl_cache(incremental.source(spark, src, "key string, value string"), 60_000)
-    incremental.once(df, incremental.append_to(out), str(tmp_path / "c"), "append").awaitTermination()
+    incremental.once(df, incremental.append_to(out), str(tmp_path / "c")).awaitTermination(120)
     assert sorted((r.key, r.hit) for r in spark.read.parquet(out).collect()) == [("j", False), ("k", False), ("k", True)]
 
 

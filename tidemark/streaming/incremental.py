@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
@@ -47,33 +47,23 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str, delay: str | None = Non
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-class _Cache(StatefulProcessor):
-    """The last value of a key, forgotten after a time to live; each event is told whether it hit."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+def ttl_cache(df: DataFrame, ttl_ms: int) -> DataFrame:
+    """(key, value, hit) of a stream of (key, value): was there an unexpired value of the key before.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string", self.ttl_ms)
+    Expired values are replaced when their key comes next (no timers), so `once` ends.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        hit = self.value.exists()
-        last = self.value.get()[0] if hit else None
-        out = []
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentProcessingTimeMs(), []
+        hit, last = state.exists and now - state.get[1] < ttl_ms, None
         for frame in rows:
             for value in frame["value"]:
                 out.append((key[0], value, hit))
                 last, hit = value, True
-        self.value.update((last,))
+        state.update((last, now))
         yield pd.DataFrame(out, columns=["key", "value", "hit"])
 
-    def close(self) -> None:
-        pass
-
-
-def ttl_cache(df: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, value, hit) of a stream of (key, value): was there an unexpired value of the key before. Needs the RocksDB state store."""
-    return df.groupBy("key").transformWithStateInPandas(_Cache(ttl_ms), "key string, value string, hit boolean", "append", "processingTime")
+    return df.groupBy("key").applyInPandasWithState(run, "key string, value string, hit boolean", "value string, written long", "append", GroupStateTimeout.NoTimeout)
 
 
 def live_entries(entries: DataFrame, keys: list[str], written: str, expires: str, now: float) -> DataFrame:
