@@ -48,11 +48,9 @@ class _Chunk:
     """The documents of a chunk in order of doc_id, with word hashes."""
 
     def __init__(self, table: pa.Table, second: bool):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").combine_chunks()
-        self.null = np.asarray(ids.is_null())
-        self.ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
-        self.order = np.argsort(self.ids, kind="stable")
+        table = pa.table({"doc_id": ids.fill_null(int(np.iinfo(np.int64).min)), "null": ids.is_null(), "text": table.column("text")}).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.ids, self.null = (table.column(c).to_numpy() for c in ("doc_id", "null"))
         raw, offs = string_buffers(table.column("text"))
         parts = []
         for lo, hi in slices(offs):
@@ -104,8 +102,8 @@ class _Chunk:
 def _split(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the buckets that the sorted keys fall into."""
     bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    firsts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-    return [(int(bucket[lo]), int(lo), int(hi)) for lo, hi in zip(firsts, [*firsts[1:], len(key)], strict=True)]
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), len(key))
+    return [(int(bucket[lo]), int(lo), int(hi)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _flags(key: np.ndarray, buckets: int, table: pa.Table, column: str) -> np.ndarray:
