@@ -11,7 +11,8 @@ the article itself are never removed for low importance alone, so that copies of
 host stay. Where a page has an article or main element, only what lies in it counts.
 
 Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one entropy
-for each node, then the low nodes of each host. No task gathers the pages of a host.
+for each node, then the low nodes of each host. No task gathers the pages of a host: they meet its low
+nodes in SALTS parts.
 
 Nulls: a null html counts as empty and gives empty text; a null or odd url has the empty host. Repeated
 rows give repeated rows. Extra columns are ignored.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow
 
 MIN_PAGES, LOW = 5, 0.15
+#: Parts that the pages of each host are dealt to when they meet the host's low nodes.
+SALTS = 64
 
 # Element names and names of roles in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,5 +225,9 @@ def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     tree = low_nodes(pages, min_pages=min_pages, low=low)
-    told = map_arrow(pages, hosts, f"page_id {kind}, url string, html string, host string").join(tree, "host", "left")
+    told = map_arrow(pages, hosts, f"page_id {kind}, url string, html string, host string")
+    # a host may have a third of all pages; the few low nodes of each host are repeated instead
+    told = told.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)))
+    tree = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    told = told.join(tree, ["host", "salt"], "left")
     return map_arrow(told.select("page_id", "url", "html", "host", "low"), run, f"page_id {kind}, url string, text string, n_chars long")
