@@ -38,6 +38,8 @@ _VIEW = np.full(256, 32, np.uint8)
 _VIEW[97:123] = np.arange(97, 123)
 _VIEW[65:91] = np.arange(97, 123)
 _VIEW[128:] = np.arange(128, 256)
+#: ASCII letters.
+_PLAIN = (_VIEW != 32) & (_VIEW < 128)
 
 
 @dataclass
@@ -175,8 +177,10 @@ def _predict(docs: DataFrame, model: Model):
         raw, offs = string_buffers(batch.column("text"))
         p = m.probabilities(raw, offs) if m.langs else np.zeros((batch.num_rows, 0))
         best, top = (p.argmax(axis=1), p.max(axis=1)) if m.langs else (np.zeros(batch.num_rows, int), np.zeros(batch.num_rows))
-        total = np.concatenate([[0], np.cumsum((_VIEW[raw] < 128) & (_VIEW[raw] != 32))])
-        letter = total[offs[1:]] > total[offs[:-1]]
+        letter = np.zeros(batch.num_rows, bool)
+        for lo, hi in slices(offs):
+            at = np.flatnonzero(_PLAIN[raw[offs[lo] : offs[hi]]]) + offs[lo]
+            letter[lo:hi] = np.searchsorted(at, offs[lo + 1 : hi + 1]) > np.searchsorted(at, offs[lo:hi])
         for i in np.flatnonzero(~letter & (np.diff(offs) > 0)):
             letter[i] = any(c.isalpha() for c in bytes(raw[offs[i] : offs[i + 1]]).decode("utf-8", "replace"))
         told = letter & bool(m.langs)
