@@ -31,8 +31,8 @@ def test_weights_and_ratio(spark):
 
 
 def test_labels(spark):
-    assert evaluate(spark, [3.0, 65.0, 3725.0], "double", V.duration_label) == ["3s", "1m 5s", "1h 2m 5s"]
-    assert evaluate(spark, [10, 2048, 5 << 20], "bigint", V.size_label) == ["10.0 B", "2.0 KB", "5.0 MB"]
+    assert evaluate(spark, [3.0, 65.0, 3725.0], "double", V.duration_label) == ["3s", "1m05s", "1h02m"]
+    assert evaluate(spark, [0, 10, 2048, 5 << 20], "bigint", V.size_label) == ["0 B", "10.0 B", "2.0 KB", "5.0 MB"]
 
 
 def test_frames(spark):
@@ -43,15 +43,15 @@ def test_frames(spark):
 
 def test_intervals_normalised(spark):
     r = one(spark, a=V.normal_interval(F.lit(9.0), F.lit(4.0), 60), b=V.normal_interval(F.lit(1.0), F.lit(1.0), 60), c=V.normal_interval(F.lit(0.0), F.lit(500.0), 60), d=V.normal_interval(F.lit(-9.0), F.lit(-4.0), 60))
-    assert (tuple(r.a), tuple(r.b), tuple(r.c), r.d) == ((4.0, 9.0), (0.0, 3.5), (0.0, 60.0), None)
+    assert (tuple(r.a), tuple(r.b), tuple(r.c), r.d) == ((4.0, 9.0), (0.0, 5.0), (0.0, 60.0), None)
     assert tuple(one(spark, a=V.widened_span(F.lit(2.0), F.lit(6.0), F.lit(7.0))).a) == (0.0, 7.0)
     assert tuple(one(spark, a=V.short_video_span(F.lit(2.0), F.lit(6.0), F.lit(60.0))).a) == (0.0, 60.0)
 
 
 def test_cost_and_tempo(spark):
-    r = one(spark, a=V.token_cost(F.lit(100), F.lit(150), F.lit(10), F.lit(1.0), F.lit(0.5), F.lit(2.0)), t=V.tempo_steps(F.lit(5.0)), u=V.tempo_steps(F.lit(1.5)))
+    r = one(spark, a=V.token_cost(F.lit(100), F.lit(150), F.lit(10), F.lit(1.0), F.lit(0.5), F.lit(2.0)), t=V.tempo_steps(F.lit(5.0)), u=V.tempo_steps(F.lit(1.5)), v=V.tempo_steps(F.lit(0.2)))
     assert r.a == pytest.approx((150 * 0.5 + 20) / 1e6)
-    assert r.t == [2.0, 2.0, 1.25] and r.u == [1.5]
+    assert r.t == [2.0, 2.0, 1.25] and r.u == [1.5] and r.v == pytest.approx([0.5, 0.5, 0.8])
 
 
 def test_vectors(spark):
@@ -80,7 +80,9 @@ def test_strip_think_like_the_loop(spark):
 
 def test_answers_and_names(spark):
     assert evaluate(spark, ["<answer>A</answer> no <answer> B </answer>", "<think>x</think> plain"], "string", X.last_answer) == ["B", "plain"]
-    assert evaluate(spark, ["org/Model-3.5", "m"], "string", X.model_tag) == ["Model_3_5", "m"]
+    assert evaluate(spark, ["<answer>-</answer>", "none"], "string", lambda c: X.last_answer(c, F.lit(""), F.lit("kept"))) == ["kept", "kept"]
+    assert evaluate(spark, ["org/Model-3.5", "m", "a/b-1/"], "string", X.model_tag) == ["Model_3_5", "m", "b_1"]
+    assert evaluate(spark, ["x-video-agent-Explorer", "Video-Agent: vgen ", "plain"], "string", X.agent_name) == ["Explorer", "vgen", None]
     assert evaluate(spark, ["--A b--", "", None], "string", lambda c: X.tag(c, "none")) == ["a_b", "none", "none"]
     assert one(spark, a=X.fill("{q} and {a}", {"q": F.lit("$1 {a}"), "a": F.lit("x")})).a == "$1 x and x"
 

@@ -78,6 +78,8 @@ def test_nearest_frames(spark):
     t = spark.createDataFrame([("v", 0.0), ("v", 1.0), ("v", 2.0)], "video string, target double")
     f = spark.createDataFrame([("v", 0.1), ("v", 0.95), ("v", 1.1), ("v", 2.5)], "video string, frame double")
     assert rows(intervals.nearest_frames(t, f, "video"), "target", "frame") == [(0.0, 0.1), (1.0, 0.95)]
+    late = t.withColumn("target", F.col("target") - 0.5)
+    assert rows(intervals.nearest_frames(late, f, "video"), "target") == []
 
 
 def test_worked_score(spark):

@@ -48,15 +48,18 @@ def strip_tool_calls(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?s)<tool_call>.*?</tool_call>", ""))
 
 
-def last_answer(text: Column) -> Column:
-    """The body of the last <answer>; else the text without think blocks."""
+def last_answer(text: Column, *fallbacks: Column) -> Column:
+    """The body of the last <answer>; else the first fallback that is not empty (a lone - counts as empty), else the text without think blocks."""
     bodies = F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
-    return F.coalesce(F.trim(F.try_element_at(bodies, F.lit(-1))), strip_think(text))
+    some = lambda c: F.when(~c.isin("", "-"), c)
+    return F.coalesce(some(F.trim(F.try_element_at(bodies, F.lit(-1)))), *(some(c) for c in fallbacks), strip_think(text))
 
 
 def model_tag(name: Column) -> Column:
-    """The last part of a path, other characters than letters and digits as _."""
-    return F.regexp_replace(F.element_at(F.split(name, "/"), -1), "[^A-Za-z0-9]", "_")
+    """The last part of a path (the one before it where that is blank), other characters than letters and digits as _."""
+    parts = F.split(name, "/")
+    last = F.element_at(parts, -1)
+    return F.regexp_replace(F.when((F.trim(last) == "") & (F.size(parts) > 1), F.try_element_at(parts, F.lit(-2))).otherwise(last), "[^A-Za-z0-9]", "_")
 
 
 def tag(text: Column, default: str) -> Column:
@@ -65,12 +68,14 @@ def tag(text: Column, default: str) -> Column:
     return F.when(clean == "", default).otherwise(clean)
 
 
-def agent_name(text: Column, separators: Iterable[str] = ("@", ":", "/")) -> Column:
-    """The part before the first separator that occurs, in the given order of preference."""
-    out = text
-    for s in reversed(list(separators)):
-        out = F.when(F.contains(text, F.lit(s)), F.substring_index(text, s, 1)).otherwise(out)
-    return out
+# What stands before an agent's name in a model's, most wanted first.
+AGENT_MARKS = ("-video-agent-", "video-agent-", "video-agent:")
+
+
+def agent_name(model: Column, marks: Iterable[str] = AGENT_MARKS) -> Column:
+    """What follows the first mark that occurs, in the given order of preference; null where none does."""
+    low = F.lower(model)
+    return F.coalesce(*(F.when(F.contains(low, F.lit(m)), F.trim(F.substring(model, F.instr(low, m) + len(m), F.length(model)))) for m in marks))
 
 
 def fill(template: str, values: Mapping[str, Column]) -> Column:

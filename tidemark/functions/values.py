@@ -43,17 +43,17 @@ def to_ms(seconds: Column) -> Column:
 
 
 def duration_label(seconds: Column) -> Column:
-    """1h 2m 3s, without leading zero parts."""
-    s = seconds.cast("bigint")
-    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
-    return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, r)).when(m > 0, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", r))
+    """42s, 1m05s or 2h07m."""
+    whole = seconds.cast("bigint")
+    h, m = F.floor(whole / 3600), F.floor(whole % 3600 / 60)
+    return F.when(seconds < 60, F.format_string("%.0fs", seconds)).when(h > 0, F.format_string("%dh%02dm", h, m)).otherwise(F.format_string("%dm%02ds", m, whole % 60))
 
 
 def size_label(n_bytes: Column) -> Column:
-    """Bytes with one decimal in the largest unit of 1024 that fits."""
-    out, unit = None, n_bytes.cast("double")
+    """Bytes with one decimal in the largest unit of 1024 that fits; 0 B for none."""
+    out, unit = F.when(n_bytes == 0, "0 B"), n_bytes.cast("double")
     for name in ("B", "KB", "MB", "GB"):
-        out = F.when(unit < 1024, F.format_string(f"%.1f {name}", unit)) if out is None else out.when(unit < 1024, F.format_string(f"%.1f {name}", unit))
+        out = out.when(unit < 1024, F.format_string(f"%.1f {name}", unit))
         unit = unit / 1024
     return out.otherwise(F.format_string("%.1f TB", unit))
 
@@ -75,13 +75,12 @@ def frame_times(start: Column, end: Column, n: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<double>")).when(n == 1, F.array((start + end) / 2)).otherwise(spread)
 
 
-def normal_interval(start: Column, end: Column, longest: float) -> Column:
-    """struct<start, end>: swapped if reversed, +-2.5 s if of no length, from 0 on, cut to the longest; null where nothing is left."""
+def normal_interval(start: Column, end: Column, longest: float, point: float = 5.0) -> Column:
+    """struct<start, end>: swapped if reversed; one of no length becomes `point` seconds around it, from 0 on; cut to the longest; null where nothing is left."""
     a, b = F.least(start, end), F.greatest(start, end)
-    lo = F.greatest(F.when(a == b, a - 2.5).otherwise(a), F.lit(0.0))
-    hi = F.when(a == b, b + 2.5).otherwise(b)
-    hi = F.least(hi, lo + longest)
-    return F.when(hi > lo, F.struct(lo.alias("start"), hi.alias("end")))
+    lo = F.when(a == b, F.greatest(a - point / 2, F.lit(0.0))).otherwise(a)
+    hi = F.least(F.when(a == b, lo + point).otherwise(b), lo + longest)
+    return F.when((hi > lo) & (hi > 0), F.struct(lo.alias("start"), hi.alias("end")))
 
 
 def widened_span(start: Column, end: Column, duration: Column) -> Column:
@@ -112,9 +111,10 @@ def content_key(*cols: Column) -> Column:
 
 
 def tempo_steps(factor: Column) -> Column:
-    """A speed factor above 1 as factors of at most 2."""
-    n = F.greatest(F.ceil(F.log2(factor)), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, F.lit(2.0)).otherwise(factor / F.pow(F.lit(2.0), n - 1)))
+    """A speed factor as factors from 0.5 to 2."""
+    n = F.greatest(F.ceil(F.abs(F.log2(factor))), F.lit(1)).cast("int")
+    step = F.when(factor > 1, 2.0).otherwise(0.5)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i < n, step).otherwise(factor / F.pow(step, n - 1)))
 
 
 def dot(a: Column, b: Column) -> Column:

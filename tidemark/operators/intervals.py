@@ -108,16 +108,18 @@ def merge_short(segments: DataFrame, key: str, least: float = 1.0, least_chars:
 
 
 def nearest_frames(targets: DataFrame, frames: DataFrame, key: str, tolerance: float = 0.2) -> DataFrame:
-    """(key, target, frame): for each target time in order the first unused frame within tolerance, frames in order; others left out."""
+    """(key, target, frame): frames in order, each taken if within tolerance of the current target, which then moves on.
+
+    A target that no frame meets therefore ends the matching of its key.
+    """
 
     def pick(left: list[float], right: list[float]) -> Iterator[tuple[float, float]]:
-        at = 0
-        for t in sorted(left):
-            while at < len(right) and right[at] < t - tolerance:
-                at += 1
-            if at < len(right) and abs(right[at] - t) <= tolerance:
-                yield t, right[at]
-                at += 1
+        wanted = iter(sorted(left))
+        t = next(wanted, None)
+        for frame in right:
+            if t is not None and abs(frame - t) <= tolerance:
+                yield t, frame
+                t = next(wanted, None)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = list(pick(left.column("target").to_pylist(), sorted(right.column("frame").to_pylist())))

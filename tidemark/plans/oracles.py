@@ -127,7 +127,7 @@ SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 THEN trim(text || ' <answer> A
   md5(CASE turn % 3 WHEN 0 THEN trim(text || '<tool_call>{}</tool_call>', E' \n\t') WHEN 1 THEN trim(text, E' \n\t') ELSE 'B' END) AS answer FROM conversations""",
     "name_tags": r"""
 SELECT p_partkey, regexp_replace(split_part(p_brand || '/' || p_name || '@v.2', '/', -1), '[^A-Za-z0-9]', '_', 'g') AS model, lower(regexp_replace(regexp_replace(p_brand || '/' || p_name || '@v.2', '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS tag,
-  p_brand || '/' || p_name AS agent FROM part""",
+  p_name || '@v.2' AS agent FROM part""",
     "chunk_tail_merge": """
 WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
 k AS (SELECT *, ceil(n / 300) - CASE WHEN ceil(n / 300) > 1 AND n - (ceil(n / 300) - 1) * 300 < 110 THEN 1 ELSE 0 END AS chunks FROM n)
@@ -156,8 +156,8 @@ WITH d AS (SELECT doc_id, CAST(n_chars % 300 / 10 AS DOUBLE) AS d FROM documents
 SELECT doc_id, CAST(n AS BIGINT) AS frames, round(CASE WHEN n = 1 THEN d / 2 ELSE d END, 6) AS last, CAST(n AS BIGINT) AS n FROM f""",
     "normal_intervals": """
 WITH e AS (SELECT l_orderkey, l_linenumber, l_quantity - 20 AS s, l_linenumber * 8 - l_quantity AS e FROM lineitem), o AS (SELECT *, least(s, e) AS a, greatest(s, e) AS b FROM e),
-l AS (SELECT *, greatest(CASE WHEN a = b THEN a - 2.5 ELSE a END, 0.0) AS lo, CASE WHEN a = b THEN b + 2.5 ELSE b END AS hi FROM o)
-SELECT l_orderkey, l_linenumber, CASE WHEN least(hi, lo + 30) > lo THEN CAST(lo AS DOUBLE) END AS start, CASE WHEN least(hi, lo + 30) > lo THEN CAST(least(hi, lo + 30) AS DOUBLE) END AS "end" FROM l""",
+l AS (SELECT *, CASE WHEN a = b THEN greatest(a - 2.5, 0.0) ELSE a END AS lo FROM o), h AS (SELECT *, least(CASE WHEN a = b THEN lo + 5 ELSE b END, lo + 30) AS hi FROM l)
+SELECT l_orderkey, l_linenumber, CASE WHEN hi > lo AND hi > 0 THEN CAST(lo AS DOUBLE) END AS start, CASE WHEN hi > lo AND hi > 0 THEN CAST(hi AS DOUBLE) END AS "end" FROM h""",
     "session_gap": """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)

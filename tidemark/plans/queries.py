@@ -360,7 +360,7 @@ def strip_tags(t) -> DataFrame:
 @query
 def name_tags(t) -> DataFrame:
     c = F.concat("p_brand", F.lit("/"), "p_name", F.lit("@v.2"))
-    return t("part").select("p_partkey", X.model_tag(c).alias("model"), X.tag(c, "none").alias("tag"), X.agent_name(c).alias("agent"))
+    return t("part").select("p_partkey", X.model_tag(c).alias("model"), X.tag(c, "none").alias("tag"), X.agent_name(F.concat(F.lit("my-Video-Agent-"), "p_name", F.lit("@v.2"))).alias("agent"))
 
 
 @query
