@@ -66,9 +66,9 @@ class Node:
         self.parts: list[str | Node] = []
 
 
-def _role(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """What a node's class or id adds to its path; whether its markup names a role to be dropped."""
-    drop, key = tag in DROPPED or tag == "header" and not inside, ""
+def _role(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+    """What a node's class or id adds to its path; whether its markup names a role to be dropped; whether it holds the main text."""
+    drop, key, main = tag in DROPPED or tag == "header" and not inside, "", tag in ("article", "main")
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             value, name = (a or b or c).lower(), name.lower()
@@ -76,10 +76,11 @@ def _role(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
                 drop = True
             elif name in ("class", "id", "role"):
                 key += "." + re.sub(r"[0-9]+", "0", value)
+                main |= name == "role" and value == "main"
                 if tag not in ("html", "body", "article", "main"):
                     names = _NAME.findall(value)
                     drop |= not ROLES.isdisjoint(names) or "header" in names and not inside
-    return key, drop
+    return key, drop, main
 
 
 def parse(html: str) -> Node:
@@ -105,8 +106,8 @@ def parse(html: str) -> Node:
                 node = node.parent
             while node.tag == "p" and tag not in INLINE:
                 node = node.parent
-            key, drop = _role(tag, m[4], node.main)
-            child = Node(tag, f"{node.path}/{tag}{key}", node, drop or node.drop, node.main or tag in ("article", "main") or ".main" in key and tag != "body")
+            key, drop, main = _role(tag, m[4], node.main)
+            child = Node(tag, f"{node.path}/{tag}{key}", node, drop or node.drop, node.main or main)
             node.children.append(child)
             node.parts.append(child)
             if not m[4].endswith("/"):
