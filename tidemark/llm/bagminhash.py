@@ -315,6 +315,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each class the smallest doc_id, once; rows without doc_id stay."""
-    kept = near_duplicates(docs, **options).filter("doc_id = class_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, **options).filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(kept, "kept")
+    # ids are the small side: hashed, so that the texts need no sort
+    known = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id"])
     return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
