@@ -110,3 +110,17 @@ def test_site_style_tree(spark):
     copies = spark.createDataFrame([(i, "http://c.org/", "<body><article><p>the same article</p></article></body>") for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in htmltext.main_text(copies).collect()} == {"the same article"}
     assert htmltext.main_text(pages.filter("false")).count() == 0
+
+
+def test_copies_under_a_wrapper_stay(spark):
+    copy = "<div class='content'><p>the same text</p><ul><li>its list</li></ul></div>"
+    page = lambda body: f"<body><h1>T</h1><div class='x'>Box of the site</div><div class='page'><div class='y'>All pages</div>{body}</div></body>"
+    own = "<div class='content'>A text without paragraphs</div>"
+    for copies in (9, 60):
+        rows = [(i, "http://c.org/", page(copy)) for i in range(copies)] + [(1000, "http://c.org/", page(own))]
+        got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got.pop(1000) == "T A text without paragraphs"
+        assert set(got.values()) == {"T the same text its list"}
+    inner = "<body><h1>T</h1><article><div><p>one</p></div><ul><li>two</li></ul><table><tr><td><p>three</p></td></tr></table></article></body>"
+    rows = [(i, "http://c.org/", inner) for i in range(9)]
+    assert {r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"one two three"}

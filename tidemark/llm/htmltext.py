@@ -4,15 +4,19 @@ The pages of a host are merged into one tree: a node is the path of block elemen
 or id) from the root. Over the pages that have it a node shows several presentations (the runs of
 its children's tags) and several contents (its text). Their entropies, as a share of the largest
 possible ones, are combined to the node's importance, 1 - (1 - H_presentation) * (1 - H_content):
-0 where all pages show the same, near 1 where each page differs. Branches of a page whose importance is low are
-removed, and so are branches whose markup names their role (nav, footer, "sidebar", "ad", ...), as
+0 where all pages show the same, near 1 where each page differs. At a node of low importance the contents
+that repeat (on min_pages pages and one in REPEATS of those that have the node) are removed; a page with a
+content of its own there keeps it. So are branches whose markup names their role (nav, footer, "sidebar", "ad", ...), as
 menus and adverts that differ from page to page have a high entropy. Paragraphs, headings and
-the article itself are never removed for low importance alone, so that copies of one article on one
-host stay. Where a page has an article or main element, only what lies in it counts.
+the article itself are never removed for low importance, nor is a branch that holds some with text: only what lies
+beside them in it and repeats on more pages than the branch itself goes, as a menu does beside a copied text. So
+copies of one article on one host stay, with their lists and tables. A repeated text without any such element
+cannot be told from a box of the site and goes, unless nothing else is left. Where a page has an article or main
+element, only what lies in it counts.
 
 Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one entropy
-for each node, then the low nodes of each host. No task gathers the pages of a host: they meet its low
-nodes in SALTS parts.
+for each node, then the repeated contents of each host's low nodes, at most REPEATS for a node. No task gathers
+the pages of a host: they meet these in SALTS parts.
 
 Nulls: a null html counts as empty and gives empty text; a null or odd url has the empty host. Repeated
 rows give repeated rows. Extra columns are ignored.
@@ -24,6 +28,8 @@ import hashlib
 import html as html_lib
 import re
 from collections import Counter
+from collections.abc import Mapping
+from types import MappingProxyType
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow
 
 MIN_PAGES, LOW = 5, 0.15
+#: A content repeats where at least one in so many pages with the node have it.
+REPEATS = 100
 #: Parts that the pages of each host are dealt to when they meet the host's low nodes.
 SALTS = 64
 
@@ -42,6 +50,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|xmp|noframes|math"
 DROPPED = frozenset("head nav footer aside form button select option label fieldset dialog menu menuitem object canvas audio video applet map datalist".split())
 KEPT = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Those that hold text, not whole pages: what a low branch is kept for, and what is never counted.
+HOLDERS, LEAVES = KEPT - {"html", "body"}, KEPT - {"article", "main", "pre", "blockquote"}
 ROLES = frozenset(
     "nav navbar navigation menu menubar footer foot contentinfo sidebar aside complementary rail ad ads adv advert adverts advertisement adsense adbox sponsor sponsored promo promotion "
     "banner notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations trending popular "
@@ -123,12 +133,12 @@ def parse(html: str) -> Node:
     return root
 
 
-def text_of(node: Node, low: frozenset[int] | set[int] = frozenset(), main: bool = False, drop: bool = True) -> str:
-    """The decoded text of a branch, white space as single blanks."""
+def text_of(node: Node, gone: frozenset[Node] | set[Node] = frozenset(), main: bool = False, drop: bool = True) -> str:
+    """The decoded text of a branch without those in gone, white space as single blanks."""
     out: list[str] = []
 
     def walk(n: Node) -> None:
-        if drop and n.drop or low and n.tag not in KEPT and n.parent is not None and _hash(n.path) in low:
+        if drop and n.drop or n in gone:
             return
         for p in n.parts:
             if isinstance(p, str):
@@ -144,6 +154,59 @@ def text_of(node: Node, low: frozenset[int] | set[int] = frozenset(), main: bool
     return " ".join(html_lib.unescape("".join(out)).split())
 
 
+def _branches(root: Node) -> dict[str, list[Node]]:
+    """The branches that are counted, by path: repeated siblings together."""
+    found: dict[str, list[Node]] = {}
+
+    def walk(n: Node) -> None:
+        if n.drop:
+            return
+        if n.parent is not None and n.tag not in LEAVES:
+            found.setdefault(n.path, []).append(n)
+        for c in n.children:
+            walk(c)
+
+    walk(root)
+    return found
+
+
+def _content(nodes: list[Node]) -> int:
+    return _hash("\n".join(text_of(n) for n in nodes))
+
+
+def _holds(node: Node) -> bool:
+    """Whether paragraphs, headings and the like with text lie in a branch, or it is one."""
+    return not node.drop and (node.tag in HOLDERS and text_of(node) != "" or any(_holds(c) for c in node.children))
+
+
+def _repeated(root: Node, low: Mapping[int, Mapping[int, int]]) -> set[Node]:
+    """The branches to remove, given the pages of each repeated content of the host's low nodes."""
+    gone: set[Node] = set()
+    if not low:
+        return gone
+    often: dict[Node, int] = {}
+    for path, nodes in _branches(root).items():
+        known = low.get(_hash(path))
+        n = known.get(_content(nodes)) if known else None
+        if n:
+            often.update(dict.fromkeys(nodes, n))
+
+    def walk(n: Node, base: int) -> None:
+        pages = often.get(n)
+        if pages:
+            if _holds(n):
+                base = pages
+            elif pages > base:
+                gone.add(n)
+                return
+        for c in n.children:
+            walk(c, base)
+
+    if often:
+        walk(root, 0)
+    return gone
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -159,37 +222,30 @@ def _has_main(node: Node) -> bool:
     return any((c.main and not c.drop and text_of(c)) or _has_main(c) for c in node.children)
 
 
-def extract(html: str | None, low: set[int] | frozenset[int] = frozenset()) -> str:
-    """The main text of one page, given the low nodes of its host."""
+def extract(html: str | None, low: Mapping[int, Mapping[int, int]] = MappingProxyType({})) -> str:
+    """The main text of one page, given the repeated contents (node: content: pages) of its host's low nodes."""
     root = parse(html or "")
     main = _has_main(root)
-    return text_of(root, low, main) or text_of(root, frozenset(), main)
+    return text_of(root, _repeated(root, low), main) or text_of(root, frozenset(), main)
 
 
 def shows(html: str | None) -> list[tuple[int, int, int]]:
-    """(node, presentation, content) of the branches that could be removed; each node once a page, repeated siblings together."""
-    found: dict[str, tuple[list[str], list[str]]] = {}
-
-    def walk(n: Node) -> None:
-        if n.drop:
-            return
-        if n.parent is not None and n.tag not in KEPT:
-            tags, texts = found.setdefault(n.path, ([], []))
+    """(node, presentation, content) of the branches that are counted; each node once a page, repeated siblings together."""
+    out = []
+    for path, nodes in _branches(parse(html or "")).items():
+        tags: list[str] = []
+        for n in nodes:
             last = ""
             for c in n.children:
                 if c.tag != last:
                     tags.append(c.tag)
                 last = c.tag
-            texts.append(text_of(n))
-        for c in n.children:
-            walk(c)
-
-    walk(parse(html or ""))
-    return [(_hash(path), _hash(" ".join(tags)), _hash("\n".join(texts))) for path, (tags, texts) in found.items()]
+        out.append((_hash(path), _hash(" ".join(tags)), _content(nodes)))
+    return out
 
 
 def low_nodes(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, low): the low-importance nodes of each host that has some."""
+    """(host, low): the repeated contents (node, content, pages) of the low-importance nodes of each host that has some."""
 
     def count(batch: pa.RecordBatch):
         seen: Counter = Counter()
@@ -202,10 +258,16 @@ def low_nodes(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW)
         yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))), pa.array(seen.values(), pa.int64())], names=["host", "node", "kind", "what", "n"])
 
     counts = map_arrow(pages.select("url", "html"), count, "host string, node long, kind int, what long, n long").groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
-    each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    # contents on fewer than min_pages pages, nearly all of them, need no place in the list of a node's contents
+    some = F.when((F.col("kind") == 1) & (F.col("n") >= min_pages), F.struct(F.col("what").alias("content"), F.col("n").alias("pages")))
+    each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"), F.collect_list(some).alias("often"))
+    often = F.filter("often", lambda x: x["pages"] * REPEATS >= F.col("n"))
     share = (F.log("n") - F.col("s") / F.col("n")) / F.log("n")
-    importance = each.filter(F.col("n") >= min_pages).groupBy("host", "node").agg((1 - F.max(F.when(F.col("kind") == 0, 1 - share)) * F.max(F.when(F.col("kind") == 1, 1 - share))).alias("importance"))
-    return importance.filter(F.col("importance") < low).groupBy("host").agg(F.collect_list("node").alias("low"))
+    importance = each.filter(F.col("n") >= min_pages).groupBy("host", "node").agg(
+        (1 - F.max(F.when(F.col("kind") == 0, 1 - share)) * F.max(F.when(F.col("kind") == 1, 1 - share))).alias("importance"), F.max(F.when(F.col("kind") == 1, often)).alias("often")
+    )
+    found = importance.filter((F.col("importance") < low) & (F.size("often") > 0))
+    return found.groupBy("host").agg(F.collect_list(F.struct("node", "often")).alias("low"))
 
 
 def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
@@ -217,11 +279,12 @@ def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
 
     def run(batch: pa.RecordBatch):
-        own: dict[str, frozenset[int]] = {}
+        hosts, lows = batch.column("host").to_pylist(), batch.column("low")
+        own: dict[str, dict[int, dict[int, int]]] = {}
         texts = []
-        for host, nodes, html in zip(batch.column("host").to_pylist(), batch.column("low").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for host, nodes, html in zip(hosts, lows, batch.column("html").to_pylist(), strict=True):
             if host not in own:
-                own[host] = frozenset(nodes or ())
+                own[host] = {x["node"]: {y["content"]: y["pages"] for y in x["often"]} for x in nodes.as_py() or ()}
             texts.append(extract(html, own[host]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
