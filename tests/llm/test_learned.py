@@ -124,3 +124,19 @@ def test_copies_under_a_wrapper_stay(spark):
     inner = "<body><h1>T</h1><article><div><p>one</p></div><ul><li>two</li></ul><table><tr><td><p>three</p></td></tr></table></article></body>"
     rows = [(i, "http://c.org/", inner) for i in range(9)]
     assert {r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"one two three"}
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "with-sidebar", "has-comments", "post-share-enabled", "legal-notice-text", "widget-area", "sidebar", "site-nav-wrapper"])
+def test_names_of_wrappers(name):
+    for tag in ("article", "main"):
+        assert htmltext.extract(f"<h1>T</h1><div id='{name}'><{tag}><p>text</p></{tag}></div>") == "text"
+    assert htmltext.extract(f"<section class='{name}'><p>text</p></section>") == "text"
+
+
+def test_named_branches_still_go():
+    for name in ("sidebar", "left-sidebar", "sidebar--left", "share-bar", "cookie-notice", "site-nav-wrapper", "x related-posts", "ad-3", "ad_slot", "menu-item-7"):
+        assert htmltext.extract(f"<p>text</p><div class='{name}'><p>other</p></div>") == "text", name
+    assert htmltext.extract("<div><p>text</p></div><ol class='comment-list'><li><article>a reader</article></ol>") == "text"
+    assert htmltext.extract("<form><div class='no-ads'><p>text</p></div></form>") == "text"
+    assert htmltext.extract("<form><p>f</p><main>text<aside>a</aside></main></form>") == "text"
+    assert htmltext.extract("<div class='sidebar'><article>other</article></div><article>text</article>") == "text"

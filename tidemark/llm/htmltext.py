@@ -7,7 +7,11 @@ possible ones, are combined to the node's importance, 1 - (1 - H_presentation) *
 0 where all pages show the same, near 1 where each page differs. At a node of low importance the contents
 that repeat (on min_pages pages and one in REPEATS of those that have the node) are removed; a page with a
 content of its own there keeps it. So are branches whose markup names their role (nav, footer, "sidebar", "ad", ...), as
-menus and adverts that differ from page to page have a high entropy. Paragraphs, headings and
+menus and adverts that differ from page to page have a high entropy. A class, id or role names a role where it is
+the whole name or its head word, container and place words (TAILS) aside: "site-nav-wrapper", not "no-sidebar",
+"has-comments" or "legal-notice-text". A so named branch or a form that holds the page's main element, or its
+article where none lies outside, stays; lists of other texts (comments, related ones; OTHERS) do not count for
+that. Where nothing is left, names are ignored, then elements too. Paragraphs, headings and
 the article itself are never removed for low importance, nor is a branch that holds some with text: only what lies
 beside them in it and repeats on more pages than the branch itself goes, as a menu does beside a copied text. So
 copies of one article on one host stay, with their lists and tables. A repeated text without any such element
@@ -57,6 +61,17 @@ ROLES = frozenset(
     "banner notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations trending popular "
     "breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies discussion widget widgets login search searchbox toolbar copyright legal disclaimer skip".split()
 )
+#: Roles of branches whose articles are other texts than the page's own.
+OTHERS = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended recommendations trending popular".split())
+#: Words behind the head word of a name: containers, places, items.
+TAILS = frozenset(
+    "area areas bar bars block blocks bottom box boxes btn button buttons card cards col column container count desktop fixed form frame group holder icon icons inner item items left level line link links list lists "
+    "mobile module outer pane panel position post posts primary region right row secondary section sections slot slots small sticky strip tertiary title titles toggle top unit units wrap wrapper zone articles stories tags".split()
+)
+#: Words that make a name tell of a role elsewhere on the page.
+ABOUT = frozenset("no not non with without has have hide hidden show shows is enable enables enabled disable disables disabled allow allows before after below above near".split())
+#: Why a branch is dropped: its name, its name as a list of other texts, its element, or that it is hidden.
+NAMED, OTHER, ELEMENT, HIDDEN = 1, 2, 3, 4
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "body": frozenset(["head"]),
@@ -68,35 +83,47 @@ _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "main", "children", "parts", "parent")
+    __slots__ = ("tag", "path", "own", "drop", "main", "children", "parts", "parent")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, drop: bool, main: bool):
-        self.tag, self.path, self.parent, self.drop, self.main = tag, path, parent, drop, main
+    def __init__(self, tag: str, path: str, parent: Node | None, own: int, main: bool):
+        self.tag, self.path, self.parent, self.own, self.main = tag, path, parent, own, main
+        self.drop = max(own, parent.drop) if parent is not None else own
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
 
 
-def _role(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
-    """What a node's class or id adds to its path; whether its markup names a role to be dropped; whether it holds the main text."""
-    drop, key, main = tag in DROPPED or tag == "header" and not inside, "", tag in ("article", "main")
+def _head(name: str) -> str:
+    """The word of a class token, id or role that tells what it is; none where the name tells of something elsewhere."""
+    words = _NAME.findall(name)
+    if not ABOUT.isdisjoint(words):
+        return ""
+    while len(words) > 1 and words[-1] in TAILS:
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _role(tag: str, attrs: str, inside: bool) -> tuple[str, int, bool]:
+    """What a node's class or id adds to its path; why its markup drops it, if so; whether it holds the main text."""
+    drop, key, main = ELEMENT if tag in DROPPED or tag == "header" and not inside else 0, "", tag in ("article", "main")
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             value, name = (a or b or c).lower(), name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                drop = True
+                drop = HIDDEN
             elif name in ("class", "id", "role"):
                 key += "." + re.sub(r"[0-9]+", "0", value)
                 main |= name == "role" and value == "main"
                 if tag not in ("html", "body", "article", "main"):
-                    names = _NAME.findall(value)
-                    drop |= not ROLES.isdisjoint(names) or "header" in names and not inside
+                    for head in map(_head, value.split()):
+                        if head in ROLES or head == "header" and not inside:
+                            drop = max(drop, OTHER if head in OTHERS else NAMED)
     return key, drop, main
 
 
 def parse(html: str) -> Node:
     """The tree of block elements; inline elements leave only their text."""
-    root = node = Node("", "", None, False, False)
-    at = 0
+    root = node = Node("", "", None, 0, False)
+    at, lost = 0, []
     for m in _TAG.finditer(html):
         if m.start() > at:
             node.parts.append(html[at : m.start()])
@@ -117,7 +144,9 @@ def parse(html: str) -> Node:
             while node.tag == "p" and tag not in INLINE:
                 node = node.parent
             key, drop, main = _role(tag, m[4], node.main)
-            child = Node(tag, f"{node.path}/{tag}{key}", node, drop or node.drop, node.main or main)
+            child = Node(tag, f"{node.path}/{tag}{key}", node, drop, node.main or main)
+            if main and not drop and child.drop:
+                lost.append(child)
             node.children.append(child)
             node.parts.append(child)
             if not m[4].endswith("/"):
@@ -130,15 +159,50 @@ def parse(html: str) -> Node:
                 node = up.parent
     if at < len(html):
         node.parts.append(html[at:])
+    if lost:
+        _restore(root, lost)
     return root
 
 
-def text_of(node: Node, gone: frozenset[Node] | set[Node] = frozenset(), main: bool = False, drop: bool = True) -> str:
-    """The decoded text of a branch without those in gone, white space as single blanks."""
+def _restore(root: Node, lost: list[Node]) -> None:
+    """Undo drops around the main element, and around articles where the page has none outside dropped branches."""
+    alone = not _has_main(root)
+    for n in lost:
+        if not (alone or n.tag != "article"):
+            continue
+        around, up = [], n.parent
+        while up is not None:
+            around.append(up)
+            up = up.parent
+        if all(x.own in (0, NAMED) or x.own == ELEMENT and x.tag in ("form", "fieldset", "header") for x in around) and _says(n):
+            for x in around:
+                x.own = 0
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.drop = max(n.own, n.parent.drop) if n.parent is not None else n.own
+        todo += n.children
+
+
+def _says(node: Node) -> bool:
+    """Whether a branch has text that nothing in it drops."""
+    todo = [node]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, str):
+                if p.strip():
+                    return True
+            elif not p.own:
+                todo.append(p)
+    return False
+
+
+def text_of(node: Node, gone: frozenset[Node] | set[Node] = frozenset(), main: bool = False, least: int = NAMED) -> str:
+    """The decoded text of a branch without those in gone and those dropped for at least that reason, white space as single blanks."""
     out: list[str] = []
 
     def walk(n: Node) -> None:
-        if drop and n.drop or n in gone:
+        if n.drop >= least or n in gone:
             return
         for p in n.parts:
             if isinstance(p, str):
@@ -218,15 +282,18 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _has_main(node: Node) -> bool:
-    return any((c.main and not c.drop and text_of(c)) or _has_main(c) for c in node.children)
+def _has_main(node: Node, least: int = NAMED) -> bool:
+    return any((c.main and c.drop < least and text_of(c, least=least)) or _has_main(c, least) for c in node.children)
 
 
 def extract(html: str | None, low: Mapping[int, Mapping[int, int]] = MappingProxyType({})) -> str:
     """The main text of one page, given the repeated contents (node: content: pages) of its host's low nodes."""
     root = parse(html or "")
     main = _has_main(root)
-    return text_of(root, _repeated(root, low), main) or text_of(root, frozenset(), main)
+    text = text_of(root, _repeated(root, low), main) or text_of(root, frozenset(), main)
+    for least in (ELEMENT, HIDDEN + 1):
+        text = text or text_of(root, frozenset(), _has_main(root, least), least)
+    return text
 
 
 def shows(html: str | None) -> list[tuple[int, int, int]]:
