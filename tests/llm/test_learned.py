@@ -49,6 +49,19 @@ def test_classifiers(spark, labelled, op, label, mod, hold):
     assert op.classify(docs.filter("false"), labels).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["words", "order"])
+def test_quality_sees_words(spark, kind):
+    rng, rows = random.Random(6), []
+    for i in range(1500):
+        w, good = words(rng, 40), i % 2
+        for at in range(0, 40, 8):  # the same signs, case and lengths: other words, or the same two in the other order
+            w[at : at + 2] = ({"words": ["mere", "thought"], "order": ["cheap", "offer"]} if good else {"words": ["best", "casinos"], "order": ["offer", "cheap"]})[kind]
+        rows.append((i, " ".join(w), good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    held = quality.classify(docs.select("doc_id", "text"), docs.select("doc_id", "quality")).filter("held_out").join(docs, "doc_id").collect()
+    assert sum((r.score >= 0.5) == bool(r.quality) for r in held) / len(held) > 0.95
+
+
 def test_counterfactuals_keep_identity_terms_neutral(labelled):
     docs, labels = labelled
     score = lambda fair: toxicity.classify(docs, labels, groups=toxicity.IDENTITIES if fair else (("wretch",),)).filter("doc_id = 1002").head().score

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, map_arrow, slices, string_buffers
 
+#: Rows whose presences are weighed at once.
+ROWS = 1024
+
 FeatureFn = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -37,7 +40,8 @@ class Linear:
             kept = k >= 0
             present = np.zeros((hi - lo, len(self.weights)), bool)
             present[row[kept], k[kept]] = True
-            out[lo:hi] = present @ self.weights
+            for at in range(0, hi - lo, ROWS):
+                out[lo + at : min(lo + at + ROWS, hi)] = present[at : at + ROWS] @ self.weights
         return out + self.bias
 
     def scores(self, raw: np.ndarray, offs: np.ndarray, features: FeatureFn) -> np.ndarray:

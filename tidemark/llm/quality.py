@@ -2,8 +2,9 @@
 
 Features are n-grams (1 to 4) of a coarse view of the text, in which each character is reduced to
 its class (lower or upper letter, digit, white space, or the sign itself) and runs of letters are one;
-n-grams of word ends; and marks for repeated words. Each indicator is scaled by its class log-count
-ratio; the weights come from dual coordinate descent on the L2-regularised hinge loss. Margins
+marks for repeated words; and hashed n-grams (1 and 2) of words, in lower case and without signs. Each indicator
+is scaled by its class log-count ratio, those of words apart from the others, and of both kinds the FEATURES that
+tell most are kept; the weights come from dual coordinate descent on the L2-regularised hinge loss. Margins
 become probabilities by Platt's method on a part of the training rows that the fit leaves out.
 
 Nulls: a null text counts as empty and gets the score of no features; a null doc_id is kept and
@@ -16,13 +17,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ByteHash, word_bounds
+from tidemark.llm.common import ByteHash, windows, word_bounds
 from tidemark.llm.linear import Linear, calibrate, chosen_index, frequencies, matrix, sample, score
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Documents of each label in the training sample.
 PER_CLASS = 6000
-BUCKETS, FEATURES, MIN_DOCS = 1 << 16, 3000, 3
+#: Buckets of the coarse n-grams and marks; those of word n-grams follow. FEATURES of each kind are kept.
+BUCKETS, WORD_BUCKETS, FEATURES, MIN_DOCS = 1 << 16, 1 << 18, 3000, 3
 COST, EPOCHS, SMOOTH = 0.1, 20, 1.0
 
 _VIEW = np.arange(256, dtype=np.uint8)
@@ -34,6 +36,11 @@ _VIEW[[9, 11, 12, 13]] = 32
 _RUN = np.zeros(256, bool)
 _RUN[[97, 65, 48]] = True
 _HASH = ByteHash(0x0A11)
+#: For word n-grams: ASCII letters in lower case, and what stands between words.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 
 
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +73,14 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             at = who[again >= level]
             rows.append(at)
             buckets.append(np.full(len(at), 7 + 31 * k, np.int64))
+    s, e, first = word_bounds(raw, offs, _BETWEEN)
+    if len(s):
+        words, who = _HASH.words(_LOWER[raw], s, e), np.repeat(np.arange(n), np.diff(first))
+        for size in (1, 2):
+            grams = windows(words, size)
+            inside = who[: len(grams)] == who[size - 1 :]
+            rows.append(who[: len(grams)][inside])
+            buckets.append(BUCKETS + (grams[inside] % np.uint64(WORD_BUCKETS)).astype(np.int64))
     return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -76,16 +91,16 @@ def _bucket(code: np.ndarray) -> np.ndarray:
 
 def dual_descent(x: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 3) -> np.ndarray:
     """Weights (the last is the bias) of the L2-regularised hinge loss, by coordinate descent on the dual; y is -1 or 1."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    norm, alpha, w = (x * x).sum(1), np.zeros(len(x)), np.zeros(x.shape[1])
+    norm, alpha, w = np.einsum("ij,ij->i", x, x) + 1, np.zeros(len(x)), np.zeros(x.shape[1] + 1)
     balance = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         change = 0.0
         for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * float(x[i] @ w) - 1) / norm[i], 0.0), balance[i])
+            new = min(max(alpha[i] - (y[i] * float(x[i] @ w[:-1] + w[-1]) - 1) / norm[i], 0.0), balance[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[:-1] += (new - alpha[i]) * y[i] * x[i]
+                w[-1] += (new - alpha[i]) * y[i]
                 change = max(change, abs(new - alpha[i]))
                 alpha[i] = new
         if change < 1e-4 * cost:
@@ -93,20 +108,27 @@ def dual_descent(x: np.ndarray, y: np.ndarray, cost: float = COST, epochs: int =
     return w
 
 
+def _telling(seen: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The FEATURES of the seen buckets that tell most, and their log-count ratios."""
+    p, q = (n1[seen] + SMOOTH), (n0[seen] + SMOOTH)
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum()) if len(seen) else np.zeros(0)
+    best = np.argsort(-np.abs(ratio) * np.sqrt(n0[seen] + n1[seen]), kind="stable")[:FEATURES]
+    return seen[best], ratio[best]
+
+
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, mod: int = FOLDS, hold: int = HELD_OUT) -> Linear:
     y, xs, prior = sample(docs, labels, "quality", mod=mod, hold=hold, per_class=per_class, features=features)
     part = np.arange(len(y)) % 5 == 4  # for calibration
-    n0, n1 = frequencies(y[~part], [x for x, p in zip(xs, part, strict=True) if not p], BUCKETS)
+    n0, n1 = frequencies(y[~part], [x for x, p in zip(xs, part, strict=True) if not p], BUCKETS + WORD_BUCKETS)
     seen = np.flatnonzero(n0 + n1 >= MIN_DOCS)
-    p, q = (n1[seen] + SMOOTH), (n0[seen] + SMOOTH)
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum()) if len(seen) else np.zeros(0)
-    best = np.argsort(-np.abs(ratio) * np.sqrt(n0[seen] + n1[seen]), kind="stable")[:FEATURES]
-    keep, ratio = seen[best], ratio[best]
-    model = Linear(chosen_index(keep, BUCKETS), np.zeros(len(keep)))
+    kept = [_telling(own, n0, n1) for own in (seen[seen < BUCKETS], seen[seen >= BUCKETS])]
+    keep, ratio = (np.concatenate(x) for x in zip(*kept, strict=True))
+    model = Linear(chosen_index(keep, BUCKETS + WORD_BUCKETS), np.zeros(len(keep)))
     if not 0 < y[~part].sum() < (~part).sum():
         model.a, model.c = calibrate(np.zeros(len(y)), y, prior)
         return model
-    x = matrix(xs, model.index, len(keep)) * ratio.astype(np.float32)
+    x = matrix(xs, model.index, len(keep))
+    x *= ratio.astype(np.float32)
     w = dual_descent(x[~part], np.where(y[~part] == 1, 1.0, -1.0))
     model.weights, model.bias = w[:-1] * ratio, float(w[-1])
     held = x[part] @ w[:-1] + w[-1]
