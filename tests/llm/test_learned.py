@@ -102,6 +102,16 @@ def test_language(spark):
     assert langid.identify(docs.filter("false")).count() == 0
 
 
+def test_rejection_is_strict_where_the_model_is_bad(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 12)), rng.choice(["aa", "bb"])) for i in range(400)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out")
+    assert out.filter("accepted").count() / out.count() < 0.1
+    top = np.linspace(0.9, 0.5, 50)
+    wrong_first, right = np.arange(50) > 0, np.ones(50, bool)
+    assert langid.bound(top, wrong_first, 4) > 0.9 and langid.bound(top, right, 2) == 0.75 and langid.bound(top, right, 4) == 0.4 and langid.bound(top, right, 1) == 1
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header><h1>Site</h1></header><nav><a href="/">m</a></nav><div id="cookie-notice">We use</div>
 <main><article><h1>A &amp; B</h1><!-- x --><p>One <b>bo</b>ld<br>two&nbsp;x<p>three <span class="ad">buy <span>it</span> now</span> four<ul><li>a<li>b</ul><form>no<input></form><aside>no</aside>
 <section class="comments"><p>reader</p></section><div class="share-bar">s</div><table><tr><td>1<td>2</table></article></main><script>var a="</main>"</script><footer>&copy; f</footer></body></html>"""

@@ -4,7 +4,9 @@ Subwords are the 3- and 4-byte windows of the lower-cased text in which all ASCI
 letters are blanks; windows of blanks only are left out. A text is the average of its subwords' embeddings;
 embeddings and softmax are trained together by stochastic gradient descent in numpy. Temperature
 scaling on rows that training leaves out calibrates the probabilities, and the acceptance bound
-is the lowest probability from which on those rows are right at the wanted rate (not below `floor`).
+is the lowest probability from which on those rows are right at the wanted rate. It is not below `floor` nor
+CHANCE times the probability of a blind guess; where no bound reaches the rate, only what is above all of those
+rows' probabilities is accepted. With a single language there is nothing to tell it from, and all is accepted.
 
 For scoring, embeddings times softmax weights are one table, so a text costs one lookup for
 each window and no length limit is needed.
@@ -31,7 +33,7 @@ PER_LANG = 800
 #: At most so many languages, the most frequent ones, are learned.
 LANGS = 200
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
-PRECISION, FLOOR = 0.99, 0.4
+PRECISION, FLOOR, CHANCE = 0.99, 0.4, 1.5
 SIZES = (3, 4)
 
 _VIEW = np.full(256, 32, np.uint8)
@@ -144,12 +146,20 @@ def train(docs: DataFrame, *, mod: int = FOLDS, hold: int = HELD_OUT, per_lang:
     model = Model(langs, table.astype(np.float32), bias.astype(np.float64), float(grid[int(np.argmin(loss))]))
     p = softmax(z / model.temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
-    order = np.argsort(-top)
-    good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(y) + 1) >= precision)
-    model.accept = max(floor, float(top[order][good[-1]]) if len(good) and good[-1] + 1 < len(y) else floor)
+    model.accept = bound(top, right, len(langs), precision, floor)
     return model
 
 
+def bound(top: np.ndarray, right: np.ndarray, langs: int, precision: float = PRECISION, floor: float = FLOOR) -> float:
+    """The probability from which on a text is accepted, given probabilities and rightness of rows left out."""
+    order = np.argsort(-top)
+    good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(top) + 1) >= precision)
+    if not len(good):
+        return float(np.nextafter(top.max(), 2))
+    floor = max(floor, min(1.0, CHANCE / langs))
+    return max(floor, float(top[order][good[-1]])) if good[-1] + 1 < len(top) else floor
+
+
 def identify(docs: DataFrame, *, model: Model | None = None, mod: int = FOLDS, hold: int = HELD_OUT, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted for each row of docs."""
     model = model or train(docs, mod=mod, hold=hold, per_lang=per_lang)
