@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import connect, same
 from tidemark.llm import bagminhash, decontam, packing, pii, substring, topk
@@ -174,6 +175,19 @@ def test_keep_one(spark):
     assert bagminhash.keep_one(empty(spark)).count() == 0
 
 
+def test_each_text_is_searched_whatever_its_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (1, a + " tail"), (2, b + " tail"), (9, c), (9, b + " end"), (None, c), (None, c + " end"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x"))
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in bagminhash.near_duplicates(df).collect()) == sorted([("5", "1"), ("5", "2"), ("1", "1"), ("2", "2"), ("9", "9"), ("9", "2"), *[("None", "None")] * 3])
+    got = bagminhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text[0] + r.text[-1]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "al"), (2, "bl"), (9, "c9"), (None, "ae"), next(k for k in kept if k[0] is None and k[1][0] == "c")], key=str)
+    twice = spark.createDataFrame([(7, a), (7, c)], "doc_id long, text string")
+    assert bagminhash.keep_one(twice).count() == 2
+
+
 def test_signatures_estimate_weighted_jaccard():
     import numpy as np
 

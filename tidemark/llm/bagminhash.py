@@ -22,9 +22,13 @@ blocks of about BLOCK, so are the others, each block of the former meets each bl
 task, and sends only links that join classes. 5. Components by
 alternating large and small stars. Nothing is capped; step 4 is the exact way for large buckets.
 
+Documents are searched by row: each row has a number, its doc_id or, where doc_ids repeat or are null, one that is
+written once with the rows; each distinct multiset is searched by its smallest number. So each text is searched
+whatever its doc_id is.
+
 Nulls: a null text counts as empty; documents without words form one class. Rows with a null
-doc_id come out with a null class_id. Rows that repeat a doc_id are one document (of the smallest
-fingerprint). Extra columns are ignored.
+doc_id are searched too, and come out with a null class_id. Rows that repeat a doc_id are documents of their
+own: each has the class of its text (where these classes differ, both may be named by that doc_id). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,7 +171,7 @@ def _sketch(bands: int, rows: int, width: int):
                     np.add.at(sums[i], doc, mix(h + _U(i + 1)) * count.astype(np.uint64))
             full = np.bincount(doc, minlength=n) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(key[full].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), *(pa.array(x.view(np.int64)) for x in sums), lists], names=["doc_id", "fa", "fb", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, n), batch.column("doc_id").slice(lo, n), *(pa.array(x.view(np.int64)) for x in sums), lists], names=["row", "doc_id", "fa", "fb", "bands"])
 
     return run
 
@@ -228,7 +232,7 @@ def _verify(width: int, threshold: float):
             for text, bag in zip(own, _bags(list(own), width), strict=True):
                 own[text] = bag
             keep = [similarity(a, own[b]) >= threshold for a, b in zip(_bags(left, width), right, strict=True)]
-            yield batch.select(["doc_id", "leader"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["id", "leader"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -256,7 +260,7 @@ def _block_links(width: int, threshold: float):
             if a != b:
                 root[b] = a
                 out.append((int(label[j]), int(label[i])))
-        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["doc_id", "leader"])
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["id", "leader"])
 
     return run
 
@@ -279,46 +283,66 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id for each row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = stored(map_arrow(docs, _sketch(bands, rows, words), "doc_id long, fa long, fb long, bands array<bigint>"), "sketch")
-    same = sketch.filter("doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    # one row for each distinct multiset; a doc_id that stands for two keeps the smaller fingerprint
-    reps = sketch.join(same, ["fa", "fb"]).filter("doc_id = rep").groupBy("doc_id").agg(F.min_by("bands", F.struct("fa", "fb")).alias("bands"))
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("most")).filter("leader < most").select("key", "leader")
+def _classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, fa, fb) of each row of docs (row, doc_id, text), and (fa, fb, root, class_id) of each distinct multiset."""
+    docs = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sketch = stored(map_arrow(docs, _sketch(bands, rows, words), "row long, doc_id long, fa long, fb long, bands array<bigint>"), "sketch")
+    same = sketch.groupBy("fa", "fb").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
+    # one row for each distinct multiset
+    reps = sketch.select(F.col("row").alias("id"), "bands").join(same.select(F.col("rep").alias("id")), "id", "left_semi")
+    keyed = reps.select("id", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").select("key", "leader")
     members = stored(keyed.join(shared, "key"), "members")
-    text = docs.filter("doc_id is not null").select("doc_id", "text")
-    first = members.filter("leader < doc_id").select("doc_id", "leader").distinct()
-    pairs = first.join(text, "doc_id").join(text.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader").select("doc_id", "leader", "text", "leader_text")
-    star = stored(pairs.mapInArrow(_verify(words, threshold), "doc_id long, leader long"), "star")
+    text = docs.select(F.col("row").alias("id"), "text")
+    first = members.filter("leader < id").select("id", "leader").distinct()
+    pairs = first.join(text, "id").join(text.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader").select("id", "leader", "text", "leader_text")
+    star = stored(pairs.mapInArrow(_verify(words, threshold), "id long, leader long"), "star")
     roots = components(star)
-    known = members.select("doc_id", "key").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("label"))
+    known = members.select("id", "key").join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label"))
     each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).filter("n > top.n")
     mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("top.n") / block).alias("many"))
     # blocks 0 .. few-1 are outside the most frequent class, then come its own; tasks (key, i, j) with i < few and i <= j
-    h = F.xxhash64("doc_id", "key")
+    h = F.xxhash64("id", "key")
     dealt = known.join(mixed, "key").withColumn("k", F.when(F.col("label") != F.col("top"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
     others = F.when(F.col("k") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others)))
-    dealt = dealt.select("doc_id", "label", "key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"))
-    full = dealt.join(text, "doc_id")
-    more = full.groupBy("key", "i", "j").applyInArrow(_block_links(words, threshold), "doc_id long, leader long")
+    dealt = dealt.select("id", "label", "key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"))
+    full = dealt.join(text, "id")
+    more = full.groupBy("key", "i", "j").applyInArrow(_block_links(words, threshold), "id long, leader long")
     root = components(star.unionByName(stored(more, "links")))
-    label = same.join(root, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("root", "rep").alias("class_id"))
-    out = sketch.select("doc_id", "fa", "fb").join(label, ["fa", "fb"], "left")
+    label = same.join(root, F.col("rep") == F.col("node"), "left").select("fa", "fb", F.coalesce("root", "rep").alias("root"), "least")
+    names = label.groupBy("root").agg(F.min("least").alias("class_id"))
+    return sketch.select("row", "doc_id", "fa", "fb"), label.select("fa", "fb", "root").join(names, "root")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a number each: the doc_id where these are unique, else one that is written once with the row so that it stays."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn(_free("row", docs), F.col("doc_id").cast("long"))
+    return stored(docs.withColumn(_free("row", docs), F.monotonically_increasing_id()), "rows")
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id for each row of docs. Options: threshold, words, bands, rows, block."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told, label = _classes(_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), **options)
+    out = told.join(label, ["fa", "fb"])
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).cast(kind).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near duplicates: of each class the smallest doc_id, once; rows without doc_id stay."""
-    kept = near_duplicates(docs, **options).filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = stored(kept, "kept")
-    # ids are the small side: hashed, so that the texts need no sort
-    known = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The rows of docs without near duplicates: of each class one row with the smallest doc_id, and one of those without doc_id."""
+    rows, row = _numbered(docs), _free("row", docs)
+    told, label = _classes(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
+    each = told.join(label.select("fa", "fb", "root"), ["fa", "fb"]).groupBy("root", F.col("doc_id").isNull().alias("none")).agg(F.min(F.struct("doc_id", "row"))["row"].alias(row))
+    kept = stored(each.select(row), "kept")
+    # numbers are the small side: hashed, so that the texts need no sort
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
