@@ -102,6 +102,15 @@ def test_language(spark):
     assert langid.identify(docs.filter("false")).count() == 0
 
 
+def test_no_language_is_left_out_in_silence(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some text", f"l{i % 4}") for i in range(40)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGS", 4)
+    assert langid.train(docs).langs == ["l0", "l1", "l2", "l3"]
+    monkeypatch.setattr(langid, "LANGS", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.train(docs)
+
+
 def test_rejection_is_strict_where_the_model_is_bad(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(words(rng, 12)), rng.choice(["aa", "bb"])) for i in range(400)]

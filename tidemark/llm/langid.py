@@ -13,7 +13,7 @@ each window and no length limit is needed.
 
 Nulls: null texts and texts without a letter are `und` with score 0 and not accepted; a null lang is
 not learned from; a null doc_id is kept and not held out. Extra columns are ignored by `identify` and kept
-by `accepted`. Without training rows everything is `und`.
+by `accepted`. More than LANGS values of lang raise an error; none is left out. Without training rows everything is `und`.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tidemark.llm.common import fold, map_arrow, slices, string_buffers
 FOLDS, HELD_OUT = 3, 1
 #: Training documents of each language, about.
 PER_LANG = 800
-#: At most so many languages, the most frequent ones, are learned.
+#: At most so many languages can be learned; more are an error.
 LANGS = 200
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
 PRECISION, FLOOR, CHANCE = 0.99, 0.4, 1.5
@@ -93,7 +93,9 @@ def subwords(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _collect(docs: DataFrame, mod: int, hold: int, per_lang: int) -> tuple[list[str], list[tuple[str, np.ndarray, np.ndarray]]]:
     """Languages, and (lang, buckets, shares) of a sample by a hash of the ids, at most 2 * per_lang * LANGS rows."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), mod) != hold))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS + 1).collect()}
+    if len(counts) > LANGS:
+        raise ValueError(f"more than {LANGS} values of lang: raise langid.LANGS, whose table takes {4 * BUCKETS} bytes a language, or map rare values to null")
     if not counts:
         return [], []
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * (1 << 20))))))
