@@ -1,29 +1,38 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is the path of block elements (tag and class
-or id) from the root. Over the pages that have it a node shows several presentations (the runs of
-its children's tags) and several contents (its text). Their entropies, as a share of the largest
-possible ones, are combined to the node's importance, 1 - (1 - H_presentation) * (1 - H_content):
-0 where all pages show the same, near 1 where each page differs. At a node of low importance the contents
-that repeat (on min_pages pages and one in REPEATS of those that have the node) are removed; a page with a
-content of its own there keeps it. So are branches whose markup names their role (nav, footer, "sidebar", "ad", ...), as
-menus and adverts that differ from page to page have a high entropy. A class, id or role names a role where it is
-the whole name or its head word, container and place words (TAILS) aside: "site-nav-wrapper", not "no-sidebar",
-"has-comments" or "legal-notice-text". A so named branch or a form that holds the page's main element, or its
-article where none lies outside, stays; lists of other texts (comments, related ones; OTHERS) do not count for
-that. Where nothing is left, names are ignored, then elements too. Paragraphs, headings and
-the article itself are never removed for low importance, nor is a branch that holds some with text: only what lies
-beside them in it and repeats on more pages than the branch itself goes, as a menu does beside a copied text. So
-copies of one article on one host stay, with their lists and tables. A repeated text without any such element
-cannot be told from a box of the site and goes, unless nothing else is left. Where a page has an article or main
-element, only what lies in it counts.
-
-Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one entropy
-for each node, then the repeated contents of each host's low nodes, at most REPEATS for a node. No task gathers
-the pages of a host: they meet these in SALTS parts.
+The pages of a host are merged into one tree: a node is the path of block elements (tag and class or id) from the
+root. Over the pages that have it a node shows several presentations (the runs of its children's tags), several
+contents (its text) and a share of each page's text. The entropies of the former two, as a share of the largest
+possible ones, give 1 - (1 - H_presentation) * (1 - H_content): 0 where all pages show the same, near 1 where each
+differs. A node is of low importance in one of two ways:
+
+* it repeats: those entropies combine to less than LOW. The contents that repeat (on min_pages pages and one in
+  REPEATS of those that have the node) are removed; a page with a content of its own there keeps it;
+* it weighs little: its mean share of a page's text is below LIGHT, and it hangs on a template, a node whose
+  presentation hardly varies. So menus and adverts go whose words differ from page to page. What lies in a node of free
+  form or with paragraphs in it, as the parts of an article do, stays, and so does a branch that is half of its own page.
+
+Paragraphs, headings and the article itself are never removed for repeating, nor is a branch that holds some with
+text: only what lies beside them in it and repeats on more pages than the branch itself goes, as a menu does beside a copied
+text. So copies of one article on one host stay, with their lists and tables. Such a branch is not removed for weighing little
+either, unless the page has an article or main element elsewhere. A repeated text without any such element cannot
+be told from a box of the site and goes, unless nothing else is left.
+
+What the tree leaves is held against the markup, for hosts of fewer than min_pages pages and for what weighs as much as text
+does, as readers' comments: branches go whose element (nav, footer) or name ("sidebar", "comments") tells their
+role. A class, id or role names a role where it is the whole name or its head word, container and place words (TAILS) aside:
+"site-nav-wrapper", not "no-sidebar", "has-comments" or "legal-notice-text". A so named branch or a form that holds the
+page's main element, or its article where none lies outside, stays; lists of other texts (comments, related ones;
+OTHERS) do not count for that. Where a page has an article or main element, only what lies in it counts. Where nothing is left, the
+tree is ignored, then names, then elements.
+
+Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one row for each node, then
+at most REPEATS contents of a node. A node that fewer than one in RARE of its host's pages have is not judged. The
+judgement is broadcast where it has at most SHARED entries; else pages meet it by a join in which each host has as many parts as
+its pages ask for. Pages are read in linear time without recursion, whatever their nesting or unclosed tags.
 
 Nulls: a null html counts as empty and gives empty text; a null or odd url has the empty host. Repeated
-rows give repeated rows. Extra columns are ignored.
+rows give repeated rows. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,30 +41,43 @@ import hashlib
 import html as html_lib
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 from types import MappingProxyType
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import map_arrow, stored
 
-MIN_PAGES, LOW = 5, 0.15
+MIN_PAGES, LOW = 3, 0.15
+#: Below this mean share of its pages' text a branch weighs little; a template's presentation has at most this entropy.
+LIGHT, TEMPLATE = 0.15, 0.5
 #: A content repeats where at least one in so many pages with the node have it.
 REPEATS = 100
-#: Parts that the pages of each host are dealt to when they meet the host's low nodes.
-SALTS = 64
+#: A node is judged where at least one in so many pages of the host have it.
+RARE = 1000
+#: Entries of the judgement (nodes and contents, some 100 bytes each) that are broadcast at most.
+SHARED = 1 << 19
+#: Pages of a host that meet its judgement in one part of a join, at least; no more than HOT hosts have several parts.
+PART_PAGES, HOT = 20_000, 10_000
+#: Tags with an odd quote that are searched for their end to the end of the page; later ones end at the next sign.
+ODD = 64
 
 # Element names and names of roles in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|title|xmp|noframes|math"
-DROPPED = frozenset("head nav footer aside form button select option label fieldset dialog menu menuitem object canvas audio video applet map datalist".split())
+RAW = frozenset("script style noscript template iframe svg textarea title xmp noframes math".split())
+LANDMARKS = frozenset("nav footer aside menu".split())
+DROPPED = frozenset("head form button select option label fieldset dialog menuitem object canvas audio video applet map datalist".split())
 KEPT = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-#: Those that hold text, not whole pages: what a low branch is kept for, and what is never counted.
-HOLDERS, LEAVES = KEPT - {"html", "body"}, KEPT - {"article", "main", "pre", "blockquote"}
+#: Those that hold text, not whole pages: what a branch is kept for, and what is never judged.
+HOLDERS, LEAVES = KEPT - {"html", "body"}, KEPT - {"html", "body", "article", "main", "pre", "blockquote"}
+#: Those beside which a branch is part of the same text.
+FLOW = frozenset("p blockquote pre".split())
 ROLES = frozenset(
     "nav navbar navigation menu menubar footer foot contentinfo sidebar aside complementary rail ad ads adv advert adverts advertisement adsense adbox sponsor sponsored promo promotion "
     "banner notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations trending popular "
@@ -70,26 +92,53 @@ TAILS = frozenset(
 )
 #: Words that make a name tell of a role elsewhere on the page.
 ABOUT = frozenset("no not non with without has have hide hidden show shows is enable enables enabled disable disables disabled allow allows before after below above near".split())
-#: Why a branch is dropped: its name, its name as a list of other texts, its element, or that it is hidden.
-NAMED, OTHER, ELEMENT, HIDDEN = 1, 2, 3, 4
+#: Why a branch is dropped: its name, its name as a list of other texts, its element's role, its element, or that it is hidden.
+NAMED, OTHER, LANDMARK, ELEMENT, HIDDEN = 1, 2, 3, 4, 5
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "body": frozenset(["head"]),
 }
 
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_START = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 _NAME = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
+#: Dates and times, which would make each page's copy of a box its own.
+_TIME = re.compile(r"\b[0-9]{1,4}([-/.:])[0-9]{1,2}(?:\1[0-9]{1,4})?\b")
+TEXT, OPEN, CLOSE = 0, 1, 2
 
 
-class Node:
-    __slots__ = ("tag", "path", "own", "drop", "main", "children", "parts", "parent")
+class Judgement(NamedTuple):
+    """What the host's pages tell of a node: pages of its frequent contents, whether it repeats, weighs little, is of free form, and its pages."""
 
-    def __init__(self, tag: str, path: str, parent: Node | None, own: int, main: bool):
-        self.tag, self.path, self.parent, self.own, self.main = tag, path, parent, own, main
-        self.drop = max(own, parent.drop) if parent is not None else own
-        self.children: list[Node] = []
-        self.parts: list[str | Node] = []
+    often: Mapping[int, int]
+    repeats: bool
+    light: bool
+    free: bool
+    pages: int
+
+
+class Page:
+    """Block elements in document order, the root first, as parallel lists; and the events of reading: text, element begins, element ends."""
+
+    def __init__(self):
+        self.tag, self.path, self.parent, self.own, self.main = [""], [0], [-1], [0], [False]
+        self.events: list[tuple[int, int, str]] = []
+        self.drop: list[int] = []
+
+    def inherit(self) -> None:
+        self.drop = []
+        for own, up in zip(self.own, self.parent, strict=True):
+            self.drop.append(max(own, self.drop[up]) if up >= 0 else own)
+
+    def below(self, flags: list[bool]) -> list[bool]:
+        """For each node whether a flag stands at it or in it."""
+        out = list(flags)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] |= out[i]
+        return out
 
 
 def _head(name: str) -> str:
@@ -104,14 +153,15 @@ def _head(name: str) -> str:
 
 def _role(tag: str, attrs: str, inside: bool) -> tuple[str, int, bool]:
     """What a node's class or id adds to its path; why its markup drops it, if so; whether it holds the main text."""
-    drop, key, main = ELEMENT if tag in DROPPED or tag == "header" and not inside else 0, "", tag in ("article", "main")
+    drop = ELEMENT if tag in DROPPED else LANDMARK if tag in LANDMARKS or tag == "header" and not inside else 0
+    key, main = "", tag in ("article", "main")
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             value, name = (a or b or c).lower(), name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 drop = HIDDEN
             elif name in ("class", "id", "role"):
-                key += "." + re.sub(r"[0-9]+", "0", value)
+                key += "." + _DIGITS.sub("0", value)
                 main |= name == "role" and value == "main"
                 if tag not in ("html", "body", "article", "main"):
                     for head in map(_head, value.split()):
@@ -120,159 +170,243 @@ def _role(tag: str, attrs: str, inside: bool) -> tuple[str, int, bool]:
     return key, drop, main
 
 
-def parse(html: str) -> Node:
+def _tokens(html: str) -> Iterator[tuple[str, bool, str] | str]:
+    """Texts, and (tag, whether it ends, attributes), in time linear in the page."""
+    at, n, last, odd = 0, len(html), html.rfind(">"), 0
+    while at < n:
+        lt = html.find("<", at)
+        comment = lt >= 0 and html.startswith("<!--", lt)
+        if lt < 0 or lt > last and not comment:
+            yield html[at:]
+            return
+        if lt > at:
+            yield html[at:lt]
+        if comment:
+            end = html.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        start = _START.match(html, lt)
+        if start is None:
+            if html[lt + 1] in "!?/":
+                at = html.find(">", lt) + 1
+            else:
+                yield "<"
+                at = lt + 1
+            continue
+        m = _TAG.match(html, lt) if odd < ODD else None
+        if m is not None:
+            attrs, at = m[3], m.end()
+        else:
+            odd += 1
+            end = html.find(">", lt)
+            attrs, at = html[start.end() : end], end + 1
+        tag = start[2].lower()
+        if tag not in RAW:
+            yield tag, bool(start[1]), attrs
+        elif not start[1]:
+            end_tag = _END[tag].search(html, at)
+            at = end_tag.end() if end_tag else n
+
+
+def parse(html: str) -> Page:
     """The tree of block elements; inline elements leave only their text."""
-    root = node = Node("", "", None, 0, False)
-    at, lost = 0, []
-    for m in _TAG.finditer(html):
-        if m.start() > at:
-            node.parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    page, stack, opened = Page(), [0], Counter()
+    tags, events, lost = page.tag, page.events, []
+    way = [True]  # whether names and forms only drop what lies around
+    depth_drop = [0]
+
+    def close() -> None:
+        i = stack.pop()
+        opened[tags[i]] -= 1
+        events.append((CLOSE, i, ""))
+
+    for token in _tokens(html):
+        node = stack[-1]
+        if isinstance(token, str):
+            events.append((TEXT, node, token))
             continue
-        tag = tag.lower()
+        tag, ends, attrs = token
         # an inline element is a node only where its role drops it, and what lies in such a one
-        if tag in INLINE and node.tag not in INLINE and (m[2] or not (m[4] and _role(tag, m[4], True)[1])):
+        if tag in INLINE and tags[node] not in INLINE and (ends or not (attrs and _role(tag, attrs, True)[1])):
             continue
         if tag in VOID:
-            node.parts.append(" ")
-        elif not m[2]:
-            closes = CLOSES.get(tag)
-            while closes and node.tag in closes:
-                node = node.parent
-            while node.tag == "p" and tag not in INLINE:
-                node = node.parent
-            key, drop, main = _role(tag, m[4], node.main)
-            child = Node(tag, f"{node.path}/{tag}{key}", node, drop, node.main or main)
-            if main and not drop and child.drop:
-                lost.append(child)
-            node.children.append(child)
-            node.parts.append(child)
-            if not m[4].endswith("/"):
-                node = child
+            events.append((TEXT, node, " "))
+        elif ends:
+            if opened[tag]:
+                while tags[stack[-1]] != tag:
+                    close()
+                close()
         else:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
-    if at < len(html):
-        node.parts.append(html[at:])
+            closes = CLOSES.get(tag, ())
+            while tags[stack[-1]] in closes:
+                close()
+            while tags[stack[-1]] == "p" and tag not in INLINE:
+                close()
+            up, i = stack[-1], len(tags)
+            key, drop, main = _role(tag, attrs, page.main[up])
+            tags.append(tag)
+            page.path.append(_path(page.path[up], tag, key))
+            page.parent.append(up)
+            page.own.append(drop)
+            way.append(way[up] and (drop in (0, NAMED) or tag in ("form", "fieldset", "header")))
+            depth_drop.append(max(drop, depth_drop[up]))
+            if main and not drop and depth_drop[i] and not page.main[up]:
+                lost.append(i)
+            page.main.append(page.main[up] or main)
+            events.append((OPEN, i, ""))
+            stack.append(i)
+            opened[tag] += 1
+            if attrs.endswith("/"):
+                close()
+    while len(stack) > 1:
+        close()
+    page.inherit()
     if lost:
-        _restore(root, lost)
-    return root
+        _restore(page, lost, way)
+    return page
 
 
-def _restore(root: Node, lost: list[Node]) -> None:
+def _restore(page: Page, lost: list[int], way: list[bool]) -> None:
     """Undo drops around the main element, and around articles where the page has none outside dropped branches."""
-    alone = not _has_main(root)
-    for n in lost:
-        if not (alone or n.tag != "article"):
-            continue
-        around, up = [], n.parent
-        while up is not None:
-            around.append(up)
-            up = up.parent
-        if all(x.own in (0, NAMED) or x.own == ELEMENT and x.tag in ("form", "fieldset", "header") for x in around) and _says(n):
-            for x in around:
-                x.own = 0
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        n.drop = max(n.own, n.parent.drop) if n.parent is not None else n.own
-        todo += n.children
-
-
-def _says(node: Node) -> bool:
-    """Whether a branch has text that nothing in it drops."""
-    todo = [node]
-    while todo:
-        for p in todo.pop().parts:
-            if isinstance(p, str):
-                if p.strip():
-                    return True
-            elif not p.own:
-                todo.append(p)
-    return False
-
-
-def text_of(node: Node, gone: frozenset[Node] | set[Node] = frozenset(), main: bool = False, least: int = NAMED) -> str:
-    """The decoded text of a branch without those in gone and those dropped for at least that reason, white space as single blanks."""
-    out: list[str] = []
-
-    def walk(n: Node) -> None:
-        if n.drop >= least or n in gone:
-            return
-        for p in n.parts:
-            if isinstance(p, str):
-                if not main or n.main:
-                    out.append(p)
-            else:
-                block = p.tag not in INLINE
-                out.append(" " if block else "")
-                walk(p)
-                out.append(" " if block else "")
-
-    walk(node)
+    alone = not _has_main(page)
+    says = [False] * len(page.tag)
+    for kind, i, text in page.events:
+        if kind == TEXT and text.strip():
+            says[i] = True
+    for i in range(len(says) - 1, 0, -1):  # text that nothing in the branch itself drops
+        if says[i] and not page.own[i]:
+            says[page.parent[i]] = True
+    done: set[int] = set()
+    for i in lost:
+        if (alone or page.tag[i] != "article") and way[page.parent[i]] and says[i]:
+            up = page.parent[i]
+            while up >= 0 and up not in done:
+                done.add(up)
+                up = page.parent[up]
+    if done:
+        for i in done:
+            page.own[i] = 0
+        page.inherit()
+
+
+def _said(text: str) -> bool:
+    return bool((html_lib.unescape(text) if "&" in text else text).strip())
+
+
+def _has_main(page: Page, least: int = NAMED) -> bool:
+    return any(kind == TEXT and page.main[i] and page.drop[i] < least and _said(text) for kind, i, text in page.events)
+
+
+def text_of(page: Page, gone: list[bool] | None = None, main: bool = False, least: int = NAMED) -> str:
+    """The decoded text without the branches that are gone and those dropped for at least that reason, white space as single blanks."""
+    shown = [d < least and not (gone and gone[i]) for i, d in enumerate(page.drop)]
+    out = []
+    for kind, i, text in page.events:
+        if kind == TEXT:
+            if shown[i] and (not main or page.main[i]):
+                out.append(text)
+        elif shown[page.parent[i]] and page.tag[i] not in INLINE:
+            out.append(" ")
     return " ".join(html_lib.unescape("".join(out)).split())
 
 
-def _branches(root: Node) -> dict[str, list[Node]]:
-    """The branches that are counted, by path: repeated siblings together."""
-    found: dict[str, list[Node]] = {}
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    def walk(n: Node) -> None:
-        if n.drop:
-            return
-        if n.parent is not None and n.tag not in LEAVES:
-            found.setdefault(n.path, []).append(n)
-        for c in n.children:
-            walk(c)
 
-    walk(root)
-    return found
+@lru_cache(1 << 16)
+def _path(up: int, tag: str, key: str) -> int:
+    return _hash(f"{up}/{tag}{key}")
 
 
-def _content(nodes: list[Node]) -> int:
-    return _hash("\n".join(text_of(n) for n in nodes))
+class Shown(NamedTuple):
+    """A node on a page: its hashes of presentation and content, its share of the page's text, its parent's path, its branches."""
 
+    presentation: int
+    content: int
+    share: float
+    up: int
+    nodes: list[int]
 
-def _holds(node: Node) -> bool:
-    """Whether paragraphs, headings and the like with text lie in a branch, or it is one."""
-    return not node.drop and (node.tag in HOLDERS and text_of(node) != "" or any(_holds(c) for c in node.children))
 
+def shows(page: Page) -> dict[int, Shown]:
+    """What the page shows of each node that is judged, and of the root (path 0): repeated siblings together.
 
-def _repeated(root: Node, low: Mapping[int, Mapping[int, int]]) -> set[Node]:
-    """The branches to remove, given the pages of each repeated content of the host's low nodes."""
-    gone: set[Node] = set()
-    if not low:
-        return gone
-    often: dict[Node, int] = {}
-    for path, nodes in _branches(root).items():
-        known = low.get(_hash(path))
-        n = known.get(_content(nodes)) if known else None
-        if n:
-            often.update(dict.fromkeys(nodes, n))
-
-    def walk(n: Node, base: int) -> None:
-        pages = often.get(n)
-        if pages:
-            if _holds(n):
-                base = pages
-            elif pages > base:
-                gone.add(n)
-                return
-        for c in n.children:
-            walk(c, base)
-
-    if often:
-        walk(root, 0)
-    return gone
+    Contents are hashes of hashes, from the leaves up, so that deep nesting costs no more than flat text.
+    """
+    n = len(page.tag)
+    skipped = [d >= ELEMENT for d in page.drop]
+    size = [0] * n
+    sums = [hashlib.blake2b(digest_size=8) for _ in range(n)]
+    kids: list[list[str]] = [[] for _ in range(n)]
+    found: dict[int, list[int]] = {0: [0]}
+    for kind, i, text in page.events:
+        if skipped[i]:
+            continue
+        if kind == TEXT:
+            words = text.split()
+            if words:
+                plain = " ".join(words)
+                size[i] += len(plain) + 1
+                sums[i].update(_TIME.sub("0", plain).encode("utf-8", "surrogatepass") + b" ")
+        elif kind == CLOSE:
+            up = page.parent[i]
+            size[up] += size[i]
+            sums[up].update(sums[i].digest() + b"<")
+        else:
+            kids[page.parent[i]].append(page.tag[i])
+            if page.tag[i] not in LEAVES:
+                found.setdefault(page.path[i], []).append(i)
+    out = {}
+    for path, nodes in found.items():
+        content = hashlib.blake2b(b"".join(sums[i].digest() for i in nodes), digest_size=8).digest() if len(nodes) > 1 else sums[nodes[0]].digest()
+        up = page.parent[nodes[0]]
+        out[path] = Shown(
+            _hash("|".join(" ".join(kids[i]) for i in nodes)), int.from_bytes(content, "big", signed=True), sum(size[i] for i in nodes) / max(1, size[0]), page.path[up] if up >= 0 else 0, nodes
+        )
+    return out
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def noise(page: Page, judged: Mapping[int, Judgement]) -> list[bool]:
+    """For each node whether the host's tree removes it, or what it lies in."""
+    n = len(page.tag)
+    gone = [False] * n
+    if not judged:
+        return gone
+    often, within, light, part = [0] * n, [0.0] * n, [False] * n, [False] * n
+    for path, shown in shows(page).items():
+        j = judged.get(path)
+        if j is None:
+            continue
+        pages = j.often.get(shown.content, 0)
+        for i in shown.nodes:
+            often[i], light[i], part[i] = pages if j.repeats else 0, j.light and shown.share < 0.5, j.free
+            within[i] = pages or j.pages / REPEATS
+    said = [False] * n
+    for kind, i, text in page.events:
+        if kind == TEXT and page.drop[i] < ELEMENT and not said[i]:
+            said[i] = _said(text)
+    said = page.below(said)
+    holds = page.below([said[i] and page.tag[i] in HOLDERS and page.drop[i] < ELEMENT for i in range(n)])
+    mains = page.below([said[i] and page.main[i] and not page.drop[i] for i in range(n)])
+    for i in range(1, n):
+        if said[i] and page.tag[i] in FLOW:
+            part[page.parent[i]] = True
+    base = [0.0] * n
+    for i in range(1, n):
+        up = page.parent[i]
+        base[i] = base[up]
+        part[i] |= part[up]
+        if gone[up]:
+            gone[i] = True
+        elif page.tag[i] not in ("html", "body"):
+            if holds[i]:
+                base[i] = max(base[i], within[i])
+            elif often[i] > base[i]:
+                gone[i] = True
+            if light[i] and not page.main[i] and not mains[i] and not part[up] and (mains[0] or not holds[i]):
+                gone[i] = True
+    return gone
 
 
 def host_of(url: str | None) -> str:
@@ -282,83 +416,102 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _has_main(node: Node, least: int = NAMED) -> bool:
-    return any((c.main and c.drop < least and text_of(c, least=least)) or _has_main(c, least) for c in node.children)
-
-
-def extract(html: str | None, low: Mapping[int, Mapping[int, int]] = MappingProxyType({})) -> str:
-    """The main text of one page, given the repeated contents (node: content: pages) of its host's low nodes."""
-    root = parse(html or "")
-    main = _has_main(root)
-    text = text_of(root, _repeated(root, low), main) or text_of(root, frozenset(), main)
-    for least in (ELEMENT, HIDDEN + 1):
-        text = text or text_of(root, frozenset(), _has_main(root, least), least)
+def extract(html: str | None, judged: Mapping[int, Judgement] = MappingProxyType({}), names: bool = True) -> str:
+    """The main text of one page, given the judgement of its host's nodes; without names the tree alone decides."""
+    page = parse(html or "")
+    gone = noise(page, judged)
+    if not names:
+        return text_of(page, gone, least=ELEMENT) or text_of(page, least=ELEMENT)
+    main = _has_main(page)
+    text = text_of(page, gone, main) or text_of(page, None, main)
+    for least in (LANDMARK, HIDDEN + 1):
+        text = text or text_of(page, None, _has_main(page, least), least)
     return text
 
 
-def shows(html: str | None) -> list[tuple[int, int, int]]:
-    """(node, presentation, content) of the branches that are counted; each node once a page, repeated siblings together."""
-    out = []
-    for path, nodes in _branches(parse(html or "")).items():
-        tags: list[str] = []
-        for n in nodes:
-            last = ""
-            for c in n.children:
-                if c.tag != last:
-                    tags.append(c.tag)
-                last = c.tag
-        out.append((_hash(path), _hash(" ".join(tags)), _content(nodes)))
-    return out
-
-
-def low_nodes(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """(host, low): the repeated contents (node, content, pages) of the low-importance nodes of each host that has some."""
+def judgement(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW, light: float = LIGHT, template: float = TEMPLATE) -> DataFrame:
+    """host, node, often (array of content and pages), repeats, light, free, pages, total (pages of the host) for each node that is judged."""
 
     def count(batch: pa.RecordBatch):
-        seen: Counter = Counter()
+        seen: dict[tuple, list] = {}
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host = host_of(url)
-            for node, presentation, content in shows(html):
-                seen[host, node, 0, presentation] += 1
-                seen[host, node, 1, content] += 1
+            for node, s in shows(parse(html or "")).items():
+                for key, share in (((host, node, s.up, 0, s.presentation), s.share), ((host, node, s.up, 1, s.content), 0.0)):
+                    own = seen.setdefault(key, [0, 0.0])
+                    own[0] += 1
+                    own[1] += share
         keys = list(seen)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))), pa.array(seen.values(), pa.int64())], names=["host", "node", "kind", "what", "n"])
-
-    counts = map_arrow(pages.select("url", "html"), count, "host string, node long, kind int, what long, n long").groupBy("host", "node", "kind", "what").agg(F.sum("n").alias("n"))
-    # contents on fewer than min_pages pages, nearly all of them, need no place in the list of a node's contents
-    some = F.when((F.col("kind") == 1) & (F.col("n") >= min_pages), F.struct(F.col("what").alias("content"), F.col("n").alias("pages")))
-    each = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"), F.collect_list(some).alias("often"))
-    often = F.filter("often", lambda x: x["pages"] * REPEATS >= F.col("n"))
-    share = (F.log("n") - F.col("s") / F.col("n")) / F.log("n")
-    importance = each.filter(F.col("n") >= min_pages).groupBy("host", "node").agg(
-        (1 - F.max(F.when(F.col("kind") == 0, 1 - share)) * F.max(F.when(F.col("kind") == 1, 1 - share))).alias("importance"), F.max(F.when(F.col("kind") == 1, often)).alias("often")
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.float64())],
+            names=["host", "node", "up", "kind", "what", "n", "share"],
+        )
+
+    rows = map_arrow(pages.select("url", "html"), count, "host string, node long, up long, kind int, what long, n long, share double")
+    counts = stored(rows.groupBy("host", "node", "up", "kind", "what").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "shows")
+    is_content = F.col("kind") == 1
+    log_sum = F.col("n") * F.log("n")
+    each = counts.groupBy("host", "node").agg(
+        F.sum(F.when(is_content, F.col("n"))).alias("pages"), F.sum(F.when(is_content, log_sum)).alias("sc"), F.sum(F.when(~is_content, log_sum)).alias("sp"), F.sum("share").alias("share")
     )
-    found = importance.filter((F.col("importance") < low) & (F.size("often") > 0))
-    return found.groupBy("host").agg(F.collect_list(F.struct("node", "often")).alias("low"))
+    # the root is on each page of its host
+    each = each.filter(F.col("pages") >= min_pages).join(each.filter("node = 0").select("host", F.col("pages").alias("total")), "host").filter(F.col("pages") * RARE >= F.col("total"))
+    entropy = lambda s: (F.log("pages") - F.col(s) / F.col("pages")) / F.log("pages")
+    each = each.select("host", "node", "pages", "total", (1 - (1 - entropy("sp")) * (1 - entropy("sc")) < low).alias("repeats"), (F.col("share") / F.col("pages") < light).alias("light"), (entropy("sp") > template).alias("free"))
+    each = stored(each, "nodes")
+    often = counts.filter(is_content & (F.col("n") >= min_pages)).join(each.select("host", "node", "pages"), ["host", "node"]).filter(F.col("n") * REPEATS >= F.col("pages"))
+    often = often.groupBy("host", "node").agg(F.collect_list(F.struct(F.col("what").alias("content"), F.col("n").alias("pages"))).alias("often"))  # at most REPEATS of a node
+    return each.join(often, ["host", "node"], "left").select("host", "node", "often", "repeats", "light", "free", "pages", "total")
+
 
+def _judged(rows) -> dict[int, Judgement]:
+    return {r["node"]: Judgement({x["content"]: x["pages"] for x in r["often"] or ()}, r["repeats"], r["light"], r["free"], r["pages"]) for r in rows}
 
-def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+
+def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW, light: float = LIGHT, names: bool = True, shared: int = SHARED) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
+    spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
+    out = f"page_id {kind}, url string, text string, n_chars long"
     pages = pages.select("page_id", "url", "html")
+    tree = stored(judgement(pages, min_pages=min_pages, low=low, light=light), "judgement")
+
+    def told(batch: pa.RecordBatch, of) -> pa.RecordBatch:
+        texts = [extract(html, of(i, url), names) for i, (url, html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True))]
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    if (tree.agg(F.sum(1 + F.greatest(F.size("often"), F.lit(0)))).head()[0] or 0) <= shared:
+        hosts: dict[str, list] = {}
+        for r in tree.collect():  # at most `shared` entries
+            hosts.setdefault(r["host"], []).append(r)
+        known = spark.sparkContext.broadcast({host: _judged(rows) for host, rows in hosts.items()})
+
+        def near(batch: pa.RecordBatch):
+            yield told(batch, lambda i, url: known.value.get(host_of(url), {}))
+
+        return map_arrow(pages, near, out)
 
-    def hosts(batch: pa.RecordBatch):
+    def with_host(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
 
-    def run(batch: pa.RecordBatch):
-        hosts, lows = batch.column("host").to_pylist(), batch.column("low")
-        own: dict[str, dict[int, dict[int, int]]] = {}
-        texts = []
-        for host, nodes, html in zip(hosts, lows, batch.column("html").to_pylist(), strict=True):
-            if host not in own:
-                own[host] = {x["node"]: {y["content"]: y["pages"] for y in x["often"]} for x in nodes.as_py() or ()}
-            texts.append(extract(html, own[host]))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    tree = low_nodes(pages, min_pages=min_pages, low=low)
-    told = map_arrow(pages, hosts, f"page_id {kind}, url string, html string, host string")
-    # a host may have a third of all pages; the few low nodes of each host are repeated instead
-    told = told.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)))
-    tree = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    told = told.join(tree, ["host", "salt"], "left")
-    return map_arrow(told.select("page_id", "url", "html", "host", "low"), run, f"page_id {kind}, url string, text string, n_chars long")
+    def far(batch: pa.RecordBatch):
+        hosts, trees = batch.column("host").to_pylist(), batch.column("judged")
+        own: dict[str, dict[int, Judgement]] = {}
+
+        def of(i: int, url: str | None) -> dict[int, Judgement]:
+            if hosts[i] not in own:
+                own[hosts[i]] = _judged(trees[i].as_py() or ())
+            return own[hosts[i]]
+
+        yield told(batch, of)
+
+    # a host may have a third of all pages: its judgement is repeated for each part of its pages
+    sizes = tree.groupBy("host").agg(F.max("total").alias("total"))
+    part = max(PART_PAGES, -(-(sizes.agg(F.sum("total")).head()[0] or 0) // HOT))
+    parts = sizes.filter(F.col("total") > part).select("host", F.ceil(F.col("total") / part).alias("parts"))  # fewer than HOT rows
+    dealt = map_arrow(pages, with_host, f"page_id {kind}, url string, html string, host string").join(F.broadcast(parts), "host", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "often", "repeats", "light", "free", "pages")).alias("judged"))  # RARE times the nodes of a page at most
+    trees = trees.join(F.broadcast(parts), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return map_arrow(dealt.join(trees, ["host", "part"], "left").select("page_id", "url", "html", "host", "judged"), far, out)
