@@ -339,3 +339,39 @@ def test_plan(seed):
             at += size
         assert at <= 2048
     assert n <= -(-sum(s * c for s, c in hist.items()) // 2048) * 1.12 + 1
+
+
+def best_fit_count(hist, capacity=2048):
+    """Sequences of plain best fit, longest first."""
+    import bisect
+
+    rooms, n = [], 0
+    for s in sorted(hist, reverse=True):
+        for _ in range(hist[s]):
+            i = bisect.bisect_left(rooms, s)
+            room = rooms.pop(i) if i < len(rooms) else capacity
+            n += room == capacity
+            if room > s:
+                bisect.insort(rooms, room - s)
+    return n
+
+
+@pytest.mark.parametrize("scale", [5, 40])
+def test_linear_grouping_places_the_large_pieces(scale):
+    import random
+
+    rng = random.Random(scale)
+    hist = dict(collections.Counter(min(2047, max(1, int(rng.lognormvariate(6.1, 0.9)))) for _ in range(1000 * scale)))
+    _, n, together = packing._plan(hist, 2048, packing.GROUPS, packing.SMALL_SHARE)
+    assert together > 0.75 * sum(c for s, c in hist.items() if s > 256)
+    bound = -(-sum(s * c for s, c in hist.items()) // 2048)
+    assert n <= max(bound, best_fit_count(hist)) * 1.005 + 1
+
+
+def test_packing_of_one_row_ten_thousand_times(spark):
+    one = spark.range(10_000).selectExpr("cast(7 as bigint) as doc_id", "'a few words of text' as text", "'x' as _row", "1 as rank")
+    got = packing.pack(one.union(spark.createDataFrame([(None, "word " * 4000, "y", 2)], "doc_id long, text string, _row string, rank int"))).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    size = next(r.length for r in got if r.doc_id == 7)
+    assert len(places) == len(got) and sum(r.doc_id == 7 for r in got) == 10_000
+    assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // (2048 // size * size)) + 2

@@ -1,22 +1,25 @@
 """Packing documents into sequences of bounded length by linear grouping and best fit.
 
 Lengths are integers up to the capacity, so the whole input is described by a histogram of
-at most `capacity` rows. The plan is made on that histogram alone:
+at most `capacity` rows. Pieces as long as the capacity are sequences of their own; the plan for the others is made on that
+histogram alone:
 
-1. Lengths above capacity * share are large (shares are tried in turn, the best plan stays). Sorted downwards they are cut into groups
+1. Lengths above capacity * small_share are large. Sorted downwards they are cut into groups
    of equal cardinality, and each group's lengths are rounded up to its longest.
 2. Over the groups' few lengths, configurations (multisets that fit one sequence) are chosen
-   by column generation: a simplex over configurations, priced by an unbounded knapsack.
-   Whole parts of the solution open that many sequences, but for configurations with much slack.
-3. Actual pieces replace the rounded lengths, longest first, so that every slot fits.
+   by column generation: a simplex over configurations, priced by an unbounded knapsack that gives the best
+   configuration around each length at once. Whole parts of the solution open that many sequences.
+3. Actual pieces replace the rounded lengths, longest first, so that every slot fits; a configuration's last slot takes the
+   longest large piece that fits what the actual pieces before it leave.
 4. What is left, small pieces last, goes by best fit into the fullest sequence with room.
 
 The plan says for each length which run of its pieces goes where; a piece finds its place by
-its rank among the pieces of its length. Ranks come from counts per (chunk, length) and their
-running sums, so no group of equal lengths meets in one task.
+its rank among the pieces of its length. Each stored piece has a number of its own, by which a length's pieces are dealt to
+chunks of about CHUNK_ROWS, as many as the histogram asks for; ranks come from counts per (chunk, length) and their
+running sums, so no group of equal lengths or repeated rows meets in one task.
 
 Nulls: a null text counts as empty, so every row, empty ones too, has at least its end id;
-a null doc_id is kept. Repeated rows are packed as often as they occur. Extra columns are
+a null doc_id is kept. Repeated rows are packed as often as they occur, in any order among themselves. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 import base64
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow, stored
 
 CAPACITY = 2048
-GROUPS = 48
-#: Lengths above this share of the capacity are large; the plan with the fewest sequences is taken.
-SMALL_SHARES = (1 / 8, 1 / 4, 1 / 3, 1 / 2)
-#: Configurations whose rounded lengths leave more than this share of a sequence empty stay with best fit.
-SLACK = 1 / 32
-#: Pieces in a chunk on which ranks are counted.
-CHUNK_ROWS = 50_000
+#: Groups of large lengths, of at least GROUP_PIECES pieces each; lengths above this share of the capacity are large.
+GROUPS, GROUP_PIECES, SMALL_SHARE = 96, 16, 1 / 8
+#: Configurations that one pricing may add, pricings, and pivots after which the inverse of the basis is computed afresh.
+PRICED, PRICINGS, PIVOTS = 48, 200, 500
+#: Pieces of one length in a chunk on which ranks are counted, about.
+CHUNK_ROWS = 4096
 
 _ENCODERS: dict[str, tuple] = {}
 
@@ -108,67 +110,87 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
     return map_arrow(docs, cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits; few large sizes, so a few rounds of one more piece each suffice."""
-    best, rounds = np.zeros(capacity + 1), []
-    use = values > 1e-12
-    s, v, at = sizes[use], values[use], np.flatnonzero(use)
-    for _ in range(capacity // int(sizes.min())):
-        new, pick = best.copy(), np.full(capacity + 1, -1)
-        for j in range(len(s)):
-            gain = best[: capacity + 1 - s[j]] + v[j]
-            better = gain > new[s[j] :] + 1e-12
-            new[s[j] :][better] = gain[better]
-            pick[s[j] :][better] = j
-        if (pick < 0).all():
+class _Knapsack:
+    """The most valuable multisets of sizes that fit a room, for all rooms up to the capacity at once."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.rooms = sizes, np.arange(capacity + 1)
+        behind = self.rooms[None, :] - sizes[:, None]
+        self.fits, self.behind = behind >= 0, np.maximum(behind, 0)
+        self.picks: list[np.ndarray] = []
+
+    def solve(self, values: np.ndarray) -> np.ndarray:
+        """The best value for each room; one more piece in each round, so a few rounds suffice."""
+        best, self.picks = np.zeros(len(self.rooms)), []
+        while True:
+            gains = np.where(self.fits, best[self.behind] + values[:, None], 0.0)
+            pick = gains.argmax(axis=0)
+            new = gains[pick, self.rooms]
+            better = new > best + 1e-12
+            if not better.any():
+                return best
+            self.picks.append(np.where(better, pick, -1))
+            best = np.where(better, new, best)
+
+    def around(self, j: int) -> np.ndarray:
+        """The best configuration with at least one piece of size j."""
+        config, room = np.bincount([j], minlength=len(self.sizes)), self.rooms[-1] - self.sizes[j]
+        for pick in reversed(self.picks):
+            if pick[room] >= 0:
+                config[pick[room]] += 1
+                room -= self.sizes[pick[room]]
+        return config
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, pricings: int = PRICINGS) -> list[tuple[np.ndarray, int]]:
+    """(configuration, how many sequences): whole parts of a linear programme solved by column generation."""
+    m, bag = len(sizes), _Knapsack(sizes, capacity)
+    single = capacity // sizes
+    columns = [np.bincount([i], minlength=m) * int(single[i]) for i in range(m)]
+    basis, inverse, x = list(range(m)), np.diag(1.0 / single), demand / single
+    pivots = 0
+    for _ in range(pricings):
+        duals = np.maximum(inverse.sum(axis=0), 0)
+        worth = duals + bag.solve(duals)[capacity - sizes]
+        before = pivots
+        for j in np.argsort(-worth, kind="stable")[:PRICED]:
+            config = bag.around(int(j))
+            if worth[j] <= 1 + 1e-6 or inverse.sum(axis=0) @ config <= 1 + 1e-6:
+                continue
+            way = inverse @ config
+            out = int(np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf).argmin())
+            if way[out] <= 1e-9:
+                continue
+            step = max(x[out] / way[out], 0.0)
+            x = x - step * way
+            x[out] = step
+            inverse[out] /= way[out]
+            other = np.arange(m) != out
+            inverse[other] -= np.outer(way[other], inverse[out])
+            columns.append(config)
+            basis[out] = len(columns) - 1
+            pivots += 1
+            if pivots % PIVOTS == 0:
+                inverse = np.linalg.inv(np.array([columns[b] for b in basis], float).T)
+                x = np.maximum(inverse @ demand, 0)
+        if pivots == before:
             break
-        rounds.append(pick)
-        best = new
-    config, room = np.zeros(len(sizes), np.int64), capacity
-    for pick in reversed(rounds):
-        if pick[room] >= 0:
-            config[at[pick[room]]] += 1
-            room -= s[pick[room]]
-    return float(best[capacity]), config
+    return [(columns[b], int(v + 1e-6)) for b, v in zip(basis, x, strict=True) if v >= 1 - 1e-6]
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
-    """(configuration, how many sequences): whole parts of a linear programme solved by column generation."""
-    m = len(sizes)
-    columns = [np.bincount([i], minlength=m) * int(capacity // sizes[i]) for i in range(m)]
-    basis, inverse = list(range(m)), np.diag(1.0 / np.array([c.max() for c in columns]))
-    x = inverse @ demand
-    for _ in range(rounds):
-        duals = inverse.sum(axis=0)
-        value, config = _knapsack(sizes, duals, capacity)
-        if value <= 1 + 1e-6:
-            break
-        way = inverse @ config
-        ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
-        columns.append(config)
-        step = ratio[out]
-        x = x - step * way
-        x[out] = step
-        inverse[out] /= way[out]
-        other = np.arange(m) != out
-        inverse[other] -= np.outer(way[other], inverse[out])
-        basis[out] = len(columns) - 1
-    return [(columns[b], int(v + 1e-9)) for b, v in zip(basis, x, strict=True) if v >= 1 - 1e-9]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_shares: tuple[float, ...] = SMALL_SHARES) -> tuple[list[tuple], int]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> tuple[list[tuple], int]:
     """Runs (length, first rank, last rank + 1, first sequence, pieces in each, offset) and the number of sequences."""
-    return min((_plan(histogram, capacity, groups, share) for share in small_shares), key=lambda p: p[1])
+    runs, sequences, _ = _plan(histogram, capacity, groups, small_share)
+    return runs, sequences
 
 
-def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: float) -> tuple[list[tuple], int]:
+def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: float) -> tuple[list[tuple], int, int]:
+    """The plan, and how many large pieces configurations of several pieces place."""
     left = {s: n for s, n in histogram.items() if n}
     taken: dict[int, int] = dict.fromkeys(left, 0)
+    stock = sorted(left)  # lengths with pieces left
     runs: list[tuple] = []
-    sequences = 0
+    sequences = together = 0
     bins: dict[int, list[tuple[int, int]]] = {}  # room: (first sequence, how many)
     rooms: list[int] = []
 
@@ -183,11 +205,13 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: fl
         runs.append((size, taken[size], taken[size] + many * each, first, each, offset))
         taken[size] += many * each
         left[size] -= many * each
+        if not left[size]:
+            stock.pop(bisect_left(stock, size))
 
-    large = sorted((s for s in left if s > capacity * small_share), reverse=True)
+    large = sorted((s for s in left if capacity * small_share < s < capacity), reverse=True)
     total = sum(left[s] for s in large)
     if total:
-        bound, each = [], -(-total // groups)
+        bound, each = [], -(-total // max(1, min(groups, total // GROUP_PIECES)))
         seen = 0
         for s in large:  # a group ends with the length at which its share of the pieces is full
             if not bound or seen >= each * len(bound):
@@ -197,23 +221,26 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: fl
         bound.reverse()
         sizes, demand = np.array([b for b, _ in bound]), np.array([sum(left[s] for s in own) for _, own in bound], float)
         for config, many in sorted(configurations(sizes, demand, capacity), key=lambda c: -int((c[0] * sizes).sum())):
-            if config.sum() > 1 and (config * sizes).sum() < capacity * (1 - SLACK):
-                continue
             slots = [g for g in reversed(range(len(sizes))) for _ in range(config[g])]
             open_ = [(sequences, many, 0)]
             sequences += many
-            for g in slots:
+            for k, g in enumerate(slots):
                 fill: list[tuple[int, int, int]] = []
                 for first, n, offset in open_:
                     while n:
-                        s = next((s for s in bound[g][1] if left[s]), 0)
+                        if k and k + 1 == len(slots):
+                            i = bisect_right(stock, capacity - offset) - 1
+                            s = stock[i] if i >= 0 and stock[i] >= large[-1] else 0
+                        else:
+                            s = next((s for s in bound[g][1] if left[s]), 0)
                         if not s:
                             fill.append((first, n, offset))
                             break
-                        k = min(n, left[s])
-                        put(s, first, k, 1, offset)
-                        fill.append((first, k, offset + s))
-                        first, n = first + k, n - k
+                        some = min(n, left[s])
+                        put(s, first, some, 1, offset)
+                        together += some * (len(slots) > 1)
+                        fill.append((first, some, offset + s))
+                        first, n = first + some, n - some
                 open_ = fill
             for first, n, offset in open_:
                 leave(capacity - offset, first, n)
@@ -236,30 +263,31 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: fl
             put(size, first, full, each, capacity - room)
             leave(room, first + full, many - full)
             leave(room - each * size, first, full)
-    return runs, sequences
+    return runs, sequences, together
 
 
-def _ranked(df: DataFrame, chunks: int) -> DataFrame:
-    """df with rank (from 0) among the rows of the same length, without gathering them in one task."""
-    df = df.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
-    inner = Window.partitionBy("_chunk", "length").orderBy("doc_id", "piece", "ids_crc32")
+def _ranked(df: DataFrame, chunks: list[int]) -> DataFrame:
+    """df (with _row, a number of each row) with rank (from 0) among the rows of the same length, dealt to chunks[length] chunks."""
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.element_at(F.lit(chunks).cast("array<int>"), F.col("length").cast("int") + 1)))
+    inner = Window.partitionBy("length", "_chunk").orderBy("_row")
     before = Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = df.groupBy("_chunk", "length").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    base = df.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = df.withColumn("_rank", F.row_number().over(inner) - 1)
-    return local.join(base, ["_chunk", "length"]).withColumn("rank", F.col("_rank") + F.col("_base")).drop("_chunk", "_rank", "_base")
+    return local.join(base, ["length", "_chunk"]).withColumn("rank", F.col("_rank") + F.col("_base")).drop("_chunk", "_rank", "_base")
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, groups: int = GROUPS, small_shares: tuple[float, ...] = SMALL_SHARES) -> DataFrame:
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> DataFrame:
     """Each piece with sequence_id and offset."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path=path, capacity=capacity, end_id=end_id), "pieces")
+    cut = stored(pieces(docs, path=path, capacity=capacity, end_id=end_id).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {int(s): int(n) for s, n in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    runs, _ = plan(histogram, capacity, groups, small_shares)
+    histogram.pop(capacity, None)
+    runs, sequences = plan(histogram, capacity, groups, small_share)
     by: dict[int, list[tuple]] = {}
     for size, lo, hi, first, each, offset in runs:
         by.setdefault(size, []).append((lo, hi, first, each, offset))
     table = spark.sparkContext.broadcast({s: np.array(sorted(r), np.int64) for s, r in by.items()})  # bounded by capacity and groups
-    chunks = max(1, -(-sum(histogram.values()) // CHUNK_ROWS))
+    chunks = [max(1, -(-histogram.get(s, 0) // CHUNK_ROWS)) for s in range(capacity + 1)]
 
     def place(batch: pa.RecordBatch):
         size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
@@ -276,5 +304,7 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    ranked = _ranked(cut, chunks).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return map_arrow(ranked, place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = cut.filter(F.col("length") == capacity).select(*columns, (F.col("_row") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    ranked = _ranked(cut.filter(F.col("length") < capacity), chunks).select(*columns, "rank")
+    return map_arrow(ranked, place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(whole)
