@@ -109,6 +109,8 @@ def test_substring_edges(spark):
     assert substring.remove_repeats(empty(spark)).count() == 0
     two = docs(spark, [passage(1, 25)]).union(docs(spark, [passage(1, 25)]))
     assert sorted(r.n_removed for r in substring.remove_repeats(two).collect()) == [0, 25]
+    many = spark.range(10_000).selectExpr("cast(3 as bigint) as doc_id", f"'{passage(1, 25)}' as text", "'x' as row")
+    assert sorted((r.n_removed, r.n) for r in substring.remove_repeats(many, chunk_bytes=100_000).groupBy("n_removed").agg(F.count(F.lit(1)).alias("n")).collect()) == [(0, 1), (25, 9999)]
     null = docs(spark, [passage(1, 25)]).selectExpr("cast(null as bigint) as doc_id", "text").unionByName(docs(spark, [passage(1, 25)]).select("doc_id", "text"))
     assert {r.doc_id: r.n_removed for r in substring.remove_repeats(null, keep_text=True).collect()} == {None: 0, 0: 25}
     with pytest.raises(ValueError):
@@ -210,6 +212,28 @@ def test_components(spark):
     got = {r.node: r.root for r in bagminhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got.get(i, 0) == 0 for i in range(41)) and got[101] == got[103] == 100
     assert bagminhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # hubs in parts
+    hubs = [(0, i) for i in range(1, 60)] + [(200 + i, 300) for i in range(60)] + [(59, 200)]
+    assert {r.root for r in bagminhash.components(spark.createDataFrame(hubs, "a long, b long"), part=10).collect()} == {0}
+
+
+def test_repeats_and_hot_leaders(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(7, " ".join(base))] * 10_000
+    rows += [(10 + i, " ".join([*base[:150], f"n{i}", *base[151:]])) for i in range(40)] + [(100, "other words")]
+    monkeypatch.setattr(bagminhash, "LEADER_ROWS", 4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n) for r in bagminhash.near_duplicates(df).groupBy("doc_id", "class_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {7: (7, 10_000), **{10 + i: (7, 1) for i in range(40)}, 100: (100, 1)}
+    assert sorted(r.doc_id for r in bagminhash.keep_one(df).collect()) == [7, 100]
+
+
+def test_spread_equals_a_join(spark):
+    from tidemark.llm.common import spread
+
+    many = spark.range(500).selectExpr("case when id < 300 then 1 else id end as k", "id")
+    few = many.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.col("k") * 2)
+    assert sorted(map(tuple, spread(many, few, "k", "n", F.xxhash64("id"), part=20).select("k", "id", "x").collect())) == sorted((1 if i < 300 else i, i, 2 if i < 300 else 2 * i) for i in range(500))
 
 
 # top-k

@@ -16,9 +16,9 @@ all components are filled is drawn.
 
 Search. 1. Equal multisets collapse (128-bit sums). 2. 24 bands of 4 components: a pair at 0.8
 is missed with probability 3e-6. 3. Each document is verified against the smallest document of each
-of its band buckets; most classes are complete then. 4. Buckets that still hold documents of
+of its band buckets (the members of one with very many are dealt to parts); most classes are complete then. 4. Buckets that still hold documents of
 different classes are verified in whole: those outside the bucket's most frequent class are dealt to
-blocks of about BLOCK, so are the others, each block of the former meets each block in one bounded
+blocks of about BLOCK documents or BLOCK_BYTES, so are the others, each block of the former meets each block in one bounded
 task, and sends only links that join classes. 5. Components by
 alternating large and small stars. Nothing is capped; step 4 is the exact way for large buckets.
 
@@ -40,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ByteHash, checkpoint, map_arrow, mix, slices, stored, string_buffers, windows, word_bounds
+from tidemark.llm.common import ByteHash, discard, free, map_arrow, mix, numbered, slices, spread, stored, string_buffers, windows, word_bounds
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Members of a block in step 4.
-BLOCK = 384
+#: Members of a block in step 4, and bytes of text, on average.
+BLOCK, BLOCK_BYTES = 384, 8 << 20
+#: Rows that meet the text of their bucket's smallest document in one part of a join, at least.
+LEADER_ROWS = 2048
 #: Cells of a presence matrix that a task of step 4 multiplies at once.
 CELLS = 1 << 22
 
@@ -171,7 +173,9 @@ def _sketch(bands: int, rows: int, width: int):
                     np.add.at(sums[i], doc, mix(h + _U(i + 1)) * count.astype(np.uint64))
             full = np.bincount(doc, minlength=n) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(key[full].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, n), batch.column("doc_id").slice(lo, n), *(pa.array(x.view(np.int64)) for x in sums), lists], names=["row", "doc_id", "fa", "fb", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").slice(lo, n), batch.column("doc_id").slice(lo, n), *(pa.array(x.view(np.int64)) for x in sums), pa.array(np.diff(offs[lo : hi + 1])), lists], names=["row", "doc_id", "fa", "fb", "size", "bands"]
+            )
 
     return run
 
@@ -265,46 +269,58 @@ def _block_links(width: int, threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each linked node's component, by alternating large and small stars. links: two bigint columns."""
+def components(links: DataFrame, part: int = 1 << 20) -> DataFrame:
+    """(node, root): the smallest node of each linked node's component, by alternating large and small stars. links: two bigint columns.
+
+    The links of a hub with more than `part` are dealt to parts; each round is a table of its own, and the one before it is deleted.
+    """
     u, v = links.columns
-    edges = checkpoint(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct())
-    seen = None
+    edges = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
+    seen, salt, large_at = None, F.xxhash64("v"), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(small, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
-        edges = checkpoint(down.filter("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if now == seen:
+        if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        seen, total = now, 2 * now[0]
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread(both, low, "u", "n", salt, part=part, total=total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        if total > part:
+            large = large_at = stored(large, "large")
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = spread(large, small, "u", "n", salt, part=part, total=total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        after = stored(down.filter("u <> v").distinct(), "edges")
+        if large_at is not None:
+            discard(large_at)
+        discard(edges)
+        edges = after
 
 
 def _classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, fa, fb) of each row of docs (row, doc_id, text), and (fa, fb, root, class_id) of each distinct multiset."""
     docs = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sketch = stored(map_arrow(docs, _sketch(bands, rows, words), "row long, doc_id long, fa long, fb long, bands array<bigint>"), "sketch")
+    sketch = stored(map_arrow(docs, _sketch(bands, rows, words), "row long, doc_id long, fa long, fb long, size long, bands array<bigint>"), "sketch")
     same = sketch.groupBy("fa", "fb").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"))
     # one row for each distinct multiset
-    reps = sketch.select(F.col("row").alias("id"), "bands").join(same.select(F.col("rep").alias("id")), "id", "left_semi")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("most")).filter("leader < most").select("key", "leader")
-    members = stored(keyed.join(shared, "key"), "members")
+    reps = sketch.select(F.col("row").alias("id"), "size", "bands").join(same.select(F.col("rep").alias("id")), "id", "left_semi")
+    keyed = reps.select("id", "size", F.explode("bands").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = stored(spread(keyed, shared, "key", "n", F.xxhash64("id")), "members")
     text = docs.select(F.col("row").alias("id"), "text")
     first = members.filter("leader < id").select("id", "leader").distinct()
-    pairs = first.join(text, "id").join(text.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader").select("id", "leader", "text", "leader_text")
+    leaders = stored(first.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders")
+    leaders = leaders.join(text.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
+    pairs = spread(first.join(text, "id"), leaders, "leader", "n", F.xxhash64("id"), part=LEADER_ROWS).select("id", "leader", "text", "leader_text")
     star = stored(pairs.mapInArrow(_verify(words, threshold), "id long, leader long"), "star")
     roots = components(star)
-    known = members.select("id", "key").join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("label"))
-    each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).filter("n > top.n")
-    mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("few"), F.ceil(F.col("top.n") / block).alias("many"))
+    known = members.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", "size", F.coalesce("root", "id").alias("label"))
+    each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("top")).filter("n > top.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES))
+    mixed = mixed.select("key", "n", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("few"), blocks(F.col("top.n"), F.col("top.size")).alias("many"))
     # blocks 0 .. few-1 are outside the most frequent class, then come its own; tasks (key, i, j) with i < few and i <= j
     h = F.xxhash64("id", "key")
-    dealt = known.join(mixed, "key").withColumn("k", F.when(F.col("label") != F.col("top"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
+    dealt = spread(known, stored(mixed, "mixed"), "key", "n", F.xxhash64("id")).withColumn("k", F.when(F.col("label") != F.col("top"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")))
     others = F.when(F.col("k") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others)))
     dealt = dealt.select("id", "label", "key", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("k").alias("side"))
@@ -316,31 +332,18 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     return sketch.select("row", "doc_id", "fa", "fb"), label.select("fa", "fb", "root").join(names, "root")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows of docs with a number each: the doc_id where these are unique, else one that is written once with the row so that it stays."""
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return docs.withColumn(_free("row", docs), F.col("doc_id").cast("long"))
-    return stored(docs.withColumn(_free("row", docs), F.monotonically_increasing_id()), "rows")
-
-
-def _free(name: str, docs: DataFrame) -> str:
-    while name in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    return name
-
-
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id for each row of docs. Options: threshold, words, bands, rows, block."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told, label = _classes(_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), **options)
+    told, label = _classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row"), **options)
     out = told.join(label, ["fa", "fb"])
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), F.when(F.col("doc_id").isNotNull(), F.col("class_id")).cast(kind).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near duplicates: of each class one row with the smallest doc_id, and one of those without doc_id."""
-    rows, row = _numbered(docs), _free("row", docs)
+    row = free("row", docs)
+    rows = numbered(docs, row)
     told, label = _classes(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
     each = told.join(label.select("fa", "fb", "root"), ["fa", "fb"]).groupBy("root", F.col("doc_id").isNull().alias("none")).agg(F.min(F.struct("doc_id", "row"))["row"].alias(row))
     kept = stored(each.select(row), "kept")

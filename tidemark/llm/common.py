@@ -26,28 +26,79 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset on a single machine (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _LOCAL[0]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder; for narrow tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_LOCAL: list[str] = []
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back; for wide tables."""
+    """Write df once as Parquet into the shared folder and read it back, which cuts its lineage; the files go when the session's JVM ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, at)
+    fs.deleteOnExit(path)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    path, fs = _path(df.sparkSession, df._stored_at)
+    fs.delete(path, True)
+
+
+def free(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number of each row: the doc_id where these are unique, else one that is written once with the rows so that it stays."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+#: Keys that `spread` may deal to several parts, at most.
+HOT = 10_000
+
+
+def spread(many: DataFrame, few: DataFrame, key: str, count: str, salt: Column, *, part: int = 1 << 20, total: int | None = None) -> DataFrame:
+    """Inner join on key; few has one row for each key and the key's number of rows in many. Rows of a key with more than `part` are dealt to parts by salt.
+
+    Fewer than HOT keys have several parts, as a part grows with the sum of counts (total, where it is known); only these keys are broadcast.
+    """
+    if total is None:
+        total, most = (int(x or 0) for x in few.agg(F.sum(count), F.max(count)).head())
+    else:
+        most = total
+    size = max(part, -(-total // HOT))
+    if most <= size:
+        return many.join(few.drop(count), key)
+    hot = F.broadcast(few.filter(F.col(count) > size).select(key, F.ceil(F.col(count) / size).cast("long").alias("_parts")))
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    left = many.join(hot, key, "left").withColumn("_part", F.pmod(salt, last + 1)).drop("_parts")
+    right = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_parts", count)
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def fold(col: Column, n: int) -> Column:

@@ -12,12 +12,12 @@ windows of 20 words share an aligned anchor, a run of 20 - P + 1 = 8 words at a
 3. Each chunk removes the words under the windows that start earlier somewhere.
 
 A hash goes out once for each chunk, however often it occurs, so a hot passage never gathers
-its occurrences in one task. Chunks are blocks of documents by a hash of doc_id, of bounded
-size; all three passes read the one exchange that deals documents to chunks. Two windows are
+its occurrences in one task. Chunks are blocks of documents by a hash of the row's number (doc_id, or where
+doc_ids repeat or are null one that is written once with the rows), of bounded size; all three passes read the one exchange that deals documents to chunks. Two windows are
 the same if their 96-bit hashes are: at 10**13 windows the chance of any mistake is 6 * 10**-4.
 
 Nulls: a null text has no words; a null doc_id sorts first. Repeated rows of one doc_id are
-documents of their own, later in text order. Extra columns are ignored. Texts of fewer
+documents of their own, one after the other in a fixed order (by chunk, then text). Extra columns are ignored. Texts of fewer
 than 20 words keep all words.
 """
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ByteHash, slices, string_buffers, windows, word_bounds
+from tidemark.llm.common import ByteHash, numbered, slices, string_buffers, windows, word_bounds
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (BUCKET_ANCHORS * 19)))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks))).repartition(chunks, "chunk")
+    dealt = numbered(docs, "row").select("doc_id", "text", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")).repartition(chunks, "chunk")
 
     def anchors(table: pa.Table) -> pa.Table:
         h, n = np.unique(_Chunk(table, False).anchors(window)[1], return_counts=True)
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, chunk_bytes: int =
                 for c, x in zip(cols, (a, np.frombuffer(r["b"], np.uint32), ids[at], np.frombuffer(r["place"], np.int32)), strict=True):
                     c.append(x)
         edges = np.concatenate([[0], np.cumsum([len(x) for x in cols[0]])])
-        source = np.repeat(np.arange(len(chunk)), np.diff(edges))
+        source = np.repeat(np.array(chunk), np.diff(edges))
         a, b, doc, place = (np.concatenate(c) for c in cols)
         order = np.lexsort((source, place, doc, b, a))
         same = np.zeros(len(a), bool)
