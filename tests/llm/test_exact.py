@@ -58,6 +58,15 @@ def test_contamination(spark):
     for shard in (1_000_000, 5):
         got = decontam.contamination(docs(spark, TEXTS), bench, shard_words=shard).orderBy("doc_id").collect()
         assert [tuple(r)[1:] for r in got] == [brute_hits(t, [(n or "", x) for n, x in ITEMS]) for t in TEXTS]
+    # an item longer than a shard, and several passes
+    long = spark.createDataFrame([*ITEMS, ("11", LONG[:6000]), ("12", " ".join(f"z{i % 7}" for i in range(90)))], "item_id string, text string")
+    texts = [*TEXTS, LONG[3000:3400], " ".join(f"z{i % 7}" for i in range(3, 40)), f"q {LONG[100:300]} q"]
+    df = docs(spark, [t for t in texts if t != LONG]).withColumn("_row", F.lit("r")).withColumn("row", F.lit("s"))
+    got = [sorted(map(tuple, decontam.contamination(df, long, shard_words=s, pass_words=p).collect())) for s, p in ((1_000_000, 1_000_000), (25, 1_000_000), (25, 60), (400, 400))]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert [r[1:] for r in got[0]] == [brute_hits(t, [(r.item_id or "", r.text) for r in long.collect()]) for t in texts if t != LONG]
+    spans = [sorted(((r.doc_id, r.text, r._row) for r in decontam.remove_spans(df, long, shard_words=25, pass_words=p).collect()), key=str) for p in (60, 1_000_000)]
+    assert spans[0] == spans[1]
     none = decontam.contamination(docs(spark, ["a b"]), bench.filter("false")).head()
     assert (none.n_words, none.n_hit, none.contaminated) == (2, 0, False)
     assert decontam.contamination(empty(spark), bench).count() == 0
@@ -69,6 +78,16 @@ def test_remove_spans(spark):
     got = decontam.remove_spans(docs(spark, [f"{clean * 9}A b, c d e f g h i j k l! end", clean, None, "a b c d e f g h i j"]), bench).orderBy("doc_id").collect()
     assert [r.text for r in got] == [f"{clean * 9}! end", clean, None]
     assert got[0].n_chars == len(got[0].text) and got[0].key == 3
+    assert decontam.remove_spans(empty(spark), bench).count() == 0 and decontam.remove_spans(docs(spark, ["x", None]), bench.filter("false")).count() == 2
+
+
+def test_automaton_holds_a_bounded_number_of_bytes_a_word():
+    import pickle
+    import random
+
+    rng = random.Random(1)
+    items = [(str(i), [b"%x" % rng.randrange(20_000) for _ in range(500)]) for i in range(100)]
+    assert len(pickle.dumps(decontam.Automaton(items))) < 100 * 50_000
 
 
 # substring dedup
