@@ -17,7 +17,9 @@ neighbours), again fitted on counts with a bounded number of rows. Candidates wi
 at least `threshold` become spans; those that overlap a base span do not.
 
 Patterns are rewritten so that long texts cost linear time and no recursion: a single separator
-between two characters of a run is first marked by U+0001, which makes every run one character class.
+between two characters of a run is first marked by U+0001, which makes every run one character class. Arrays of
+matches are scanned in blocks, so that places cost little more than linear time in their number; a match's context is the end of the
+gap before it. Candidates are found once, written without the text where that is not asked for, and read for training and tagging.
 
 Places are code points, ends exclusive. Nulls: a null text counts as empty; a null doc_id is kept.
 Repeated rows give repeated rows, ties in start go by kind. Extra columns are ignored by `find` and
@@ -27,10 +29,13 @@ kept by `redact`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 BASE = ("email", "ip", "card", "phone")
 MORE = ("secret", "national_id", "local_phone")
 KINDS = (*BASE, *MORE)
@@ -58,19 +63,51 @@ _ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 _STRICT = r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[^@]+@[^@]*[.\x01][A-Za-z]{2,}|\+[0-9].*|[0-9]{13,16})$"
 
 
+#: Elements of a block of an array; characters of a block of a text.
+_BLOCK, _CHARS = 128, 1024
+
+
+def _blocks(array: Column) -> Column:
+    """The array cut into arrays of _BLOCK elements, one empty block at least."""
+    last = F.greatest(F.ceil(F.size(array) / _BLOCK).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(array, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array<int> what op (sum or greatest) makes of 0 and all elements before it; block by block, as appending to a long array copies it."""
+    zero = F.lit(0)
+    nothing = F.array().cast("array<int>")
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def scan(array: Column, start: Column) -> Column:
+        return F.aggregate(array, F.struct(start.alias("at"), nothing.alias("out")), add)["out"]
+
+    blocks = _blocks(values)
+    starts = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero)
+    return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("s")), lambda z: scan(z["b"], z["s"])))
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, t>> of the pattern's matches, in order."""
+    """array<struct<gap, t>> of the pattern's matches, in order, with what lies before each."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<s:int,e:int,t:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    return F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("t")), lambda x: x["t"].isNotNull())
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("t")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
-    return F.aggregate(pairs, start, add)["out"]
+def _placed(name: str) -> Column:
+    """array<struct<s, e, t, before>> of a column of _spans and the column of the places before them."""
+
+    def place(z: Column) -> Column:
+        x, s = z["x"], z["at"] + F.length(z["x"]["gap"])
+        return F.struct(s.alias("s"), (s + F.length(x["t"])).alias("e"), x["t"].alias("t"), F.right(x["gap"], F.lit(_CONTEXT)).alias("before"))
+
+    return F.transform(F.arrays_zip(F.col(name).alias("x"), F.col(f"{name}_at").alias("at")), place)
+
+
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is evaluated once, not for each element of the arrays that fn walks."""
+    return F.element_at(F.transform(F.array(value), lambda x: fn(x)), 1)
 
 
 def _digits(t: Column) -> Column:
@@ -88,25 +125,30 @@ def _luhn(d: Column) -> Column:
 
 
 def _kinds(text: Column) -> dict[str, Column]:
-    """The matches of each kind before and after its rule, on a text without U+0001."""
+    """The matches of each kind before its rule, on a text without U+0001."""
     digits = text.rlike("[0-9]")
     dots = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "\x01")).otherwise("")
     runs = F.when(digits, F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", "\x01")).otherwise("")
     some = F.when(digits, text).otherwise("")
-
-    def card(x: Column) -> Column:
-        d = _digits(x["t"])
-        return F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False)
-
     return {
         "email": _spans(dots, _EMAIL),
-        "ip": F.filter(_spans(F.when(some.rlike(r"[0-9]\.[0-9]"), some).otherwise(""), _IP), lambda x: x["t"].rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$")),
-        "card": F.filter(_spans(runs, _CARD), card),
-        "phone": F.filter(_spans(F.when(F.contains(some, F.lit("+")), some).otherwise(""), _PHONE), lambda x: F.length(_digits(x["t"])).between(9, 15)),
+        "ip": _spans(F.when(some.rlike(r"[0-9]\.[0-9]"), some).otherwise(""), _IP),
+        "card": _spans(runs, _CARD),
+        "phone": _spans(F.when(F.contains(some, F.lit("+")), some).otherwise(""), _PHONE),
         "extra": _spans(some, _EXTRA),
     }
 
 
+def _passes(kind: str, t: Column) -> Column:
+    """The rule that a match of a base kind must pass."""
+    if kind == "ip":
+        return t.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$")
+    d = _digits(t)
+    if kind == "card":
+        return F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False)
+    return F.length(d).between(9, 15) if kind == "phone" else F.lit(True)
+
+
 def _votes(kind: Column, t: Column, before: Column) -> list[Column]:
     digits, n = F.length(_digits(t)), F.length(t)
     strict, known = t.rlike(_STRICT), t.rlike(_KNOWN) | ((kind == "card") & t.rlike(_ISSUERS))
@@ -139,22 +181,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = docs.withColumn("_text", text)
     found = _kinds(F.col("_text"))
     df = df.withColumns({f"_{k}": v for k, v in found.items()})
+    sizes = {f"_{k}": F.transform(f"_{k}", lambda x: F.length(x["gap"]) + F.length(x["t"])) for k in found}
+    df = df.withColumns({f"{n}_n": v for n, v in sizes.items()})
+    df = df.withColumns({f"_{k}_at": _before(F.col(f"_{k}_n"), lambda a, x: a + x) for k in found})
 
     def told(x: Column, kind: Column, k: Column) -> Column:
-        before = F.substring(F.col("_text"), F.greatest(x["s"] - _CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(_CONTEXT)))
-        return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), kind.alias("kind"), F.array(*_votes(kind, x["t"], before)).alias("v"), F.array(*_features(kind, x["t"], before)).alias("f"))
+        return F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"), kind.alias("kind"), F.array(*_votes(kind, x["t"], x["before"])).alias("v"), F.array(*_features(kind, x["t"], x["before"])).alias("f"))
 
     def extra(x: Column) -> Column:
         kind = F.when(x["t"].rlike("^[0-9]{3}-[0-9]{2}-"), "national_id").when(x["t"].rlike(r"^\(?[0-9]{3}\)?[ .-]"), "local_phone").otherwise("secret")
         return told(x, kind, F.when(kind == "secret", len(BASE)).when(kind == "national_id", len(BASE) + 1).otherwise(len(BASE) + 2))
 
     def of(i: int, kind: str) -> Column:
-        return F.transform(F.col(f"_{kind}"), lambda x: told(x, F.lit(kind), F.lit(i)))
+        return F.transform(F.filter(_placed(f"_{kind}"), lambda x: _passes(kind, x["t"])), lambda x: told(x, F.lit(kind), F.lit(i)))
 
-    base = F.concat(*(of(i, kind) for i, kind in enumerate(BASE)))
-    df = df.withColumn("base", F.array_sort(base))
-    clear = F.filter("_extra", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-    return df.withColumn("extra", F.transform(clear, extra)).drop("_text", *(f"_{k}" for k in found))
+    df = df.withColumn("base", F.array_sort(F.concat(*(of(i, kind) for i, kind in enumerate(BASE)))))
+    # base spans by blocks with the stretch of text they lie in, so that a candidate is held against few of them
+    block = lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["s"])).alias("lo"), F.array_max(F.transform(b, lambda x: x["e"])).alias("hi"), F.transform(b, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("own"))
+    df = df.withColumn("_held", F.when(F.size("_extra") > 0, F.transform(_blocks(F.col("base")), block)))
+    meets = lambda x, lo, hi: (lo < x["e"]) & (hi > x["s"])
+    hidden = lambda x, held: F.exists(held, lambda h: meets(x, h["lo"], h["hi"]) & F.exists(h["own"], lambda b: meets(x, b["s"], b["e"])))
+    clear = _once(F.col("_held"), lambda held: F.filter(_placed("_extra"), lambda x: ~F.coalesce(hidden(x, held), F.lit(False))))
+    return df.withColumn("extra", F.transform(clear, extra)).drop("_text", "_held", *(f"_{k}{more}" for k in found for more in ("", "_n", "_at")))
 
 
 def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = EM_ROUNDS) -> tuple[dict[str, float], list[dict[tuple[int, int], float]]]:
@@ -224,10 +272,11 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def tagged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with `base` and `spans` (base and accepted candidates, by start and kind)."""
+def tagged(docs: DataFrame, threshold: float = THRESHOLD, text: bool = True) -> DataFrame:
+    """docs (with or without the text) with `base` and `spans` (base and accepted candidates, by start and kind)."""
     found = candidates(docs)
-    weights = train(candidates(docs.select("text")))
+    found = stored(found if text else found.drop("text"), "candidates")
+    weights = train(found)
     slim = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))
     taken = F.filter("extra", lambda x: _probability(weights, x["f"]) >= threshold)
     return found.withColumn("spans", F.array_sort(F.concat(slim(F.col("base")), slim(taken)))).withColumn("base", slim(F.col("base"))).drop("extra")
@@ -235,7 +284,7 @@ def tagged(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def find(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs."""
-    df = tagged(docs.select("doc_id", "text"), threshold)
+    df = tagged(docs.select("doc_id", "text"), threshold, text=False)
 
     def many(i: int) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
@@ -245,16 +294,23 @@ def find(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets; n_chars follows where it exists."""
+    """docs with each span of the text replaced by its kind in angle brackets, overlapping ones together by the first kind; n_chars follows where it exists."""
     cols, df = docs.columns, tagged(docs.withColumnsRenamed({c: f"_in_{c}" for c in docs.columns if c != "text"}), threshold)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    df = df.withColumn("_ends", F.transform("spans", lambda x: x["e"])).withColumn("_covered", _before(F.col("_ends"), lambda a, x: F.greatest(a, x)))
+    # the text in blocks, so that a piece costs its own length
+    df = df.withColumn("_parts", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0))))
+
+    def cut(parts: Column, lo: Column, hi: Column) -> Column:
+        first = F.floor(lo / _CHARS).cast("int")
+        return F.substring(F.array_join(F.slice(parts, first + 1, F.floor((hi - 1) / _CHARS).cast("int") - first + 1), ""), lo - first * _CHARS + 1, hi - lo)
 
-    def cut(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("<"), F.upper(x["kind"]), F.lit(">"))).alias("out"))
+    def piece(parts: Column, x: Column, at: Column) -> Column:
+        return F.when(x["s"] < at, "").otherwise(F.concat(F.when(x["s"] > at, cut(parts, at, x["s"])).otherwise(""), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
 
-    done = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("base", "spans").withColumnsRenamed({f"_in_{c}": c for c in cols})
+    end, n = F.array_max("_ends"), F.length("text")
+    each = F.arrays_zip(F.col("spans").alias("x"), F.col("_covered").alias("at"))
+    done = _once(F.col("_parts"), lambda parts: F.concat(F.array_join(F.transform(each, lambda z: piece(parts, z["x"], z["at"])), ""), F.when(end < n, cut(parts, end, n)).otherwise("")))
+    df = df.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("base", "spans", "_ends", "_covered", "_parts").withColumnsRenamed({f"_in_{c}": c for c in cols})
     if "n_chars" in cols:
         df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return df.select(*cols)
