@@ -74,6 +74,53 @@ def test_counterfactuals_keep_identity_terms_neutral(labelled):
     assert abs(held[1] - held[2]) < 0.3 * abs(free[1] - free[2])
 
 
+def test_counterfactual_term_reduces_false_positives_on_neutral_mentions(spark):
+    """One identity term stands in most toxic texts and in no other, its counterparts in neutral ones; unseen neutral mentions of it must not pay for that."""
+    rng, rows = random.Random(9), []
+    for i in range(3000):
+        w, kind = words(rng, rng.randrange(8, 20)), i % 6
+        if kind < 2:  # toxic, mostly near one term, abuse not always plain
+            w[rng.randrange(len(w))] = rng.choice(["wretch", "filth", "wretch", "filth", *words(rng, 1)])
+            if rng.random() < 0.9:
+                w.append("muslims")
+        elif kind < 5:
+            w.append(rng.choice(["christians", "jews", "hindus"]))
+        rows.append((i, " ".join(w), int(kind < 2)))
+    neutral = [(10_000 + i, " ".join([*words(rng, 12), "muslims", *words(rng, 3)]), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows + neutral, "doc_id long, text string, toxic int")
+    labels = docs.filter("doc_id < 10000").select("doc_id", "toxic")
+    mean, wrong = {}, {}
+    for fair in (0.0, 1.0):
+        got = toxicity.classify(docs.select("doc_id", "text"), labels, fair=fair).filter("doc_id >= 10000").collect()
+        mean[fair], wrong[fair] = sum(r.score for r in got) / len(got), sum(r.score >= 0.5 for r in got) / len(got)
+    assert mean[1.0] < 0.75 * mean[0.0] and wrong[1.0] < 0.5 * wrong[0.0]
+
+
+def test_swaps_change_the_text_itself():
+    swaps = toxicity.swapped((("muslim", "hindu"), ("muslims", "hindus")))
+    assert swaps("A Muslim and muslims, unmuslim.") == ["a hindu and muslims, unmuslim.", "a muslim and hindus, unmuslim."]
+    assert swaps("nothing") == [] and toxicity.swapped(())("muslim") == []
+
+
+def test_many_languages_are_all_learned(spark):
+    rng, rows = random.Random(3), []
+    stems = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(40)}
+    for i in range(2400):
+        lang = f"l{i % 40}"
+        rows.append((i, " ".join(rng.choice(stems[lang]) for _ in range(12)), lang))
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("held_out").collect()
+    assert sum(r.lang_pred == rows[r.doc_id][2] for r in out) / len(out) > 0.95 and len({r.lang_pred for r in out}) == 40
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    from tidemark.llm.linear import sample
+
+    docs = spark.range(5000).selectExpr("id % 10 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    y, xs, _, _ = sample(docs, labels, "toxic", mod=3, hold=5, per_class=4, features=toxicity.features)
+    assert len(y) == len(xs) == 8
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)).astype(np.float32)

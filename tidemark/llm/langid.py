@@ -8,16 +8,18 @@ is the lowest probability from which on those rows are right at the wanted rate.
 CHANCE times the probability of a blind guess; where no bound reaches the rate, only what is above all of those
 rows' probabilities is accepted. With a single language there is nothing to tell it from, and all is accepted.
 
-For scoring, embeddings times softmax weights are one table, so a text costs one lookup for
-each window and no length limit is needed.
+For scoring, embeddings times softmax weights are one table where there are at most WIDTH languages; with more, embeddings are averaged first. So a text costs
+one lookup for each window, and the model's size hardly depends on the number of languages.
 
 Nulls: null texts and texts without a letter are `und` with score 0 and not accepted; a null lang is
 not learned from; a null doc_id is kept and not held out. Extra columns are ignored by `identify` and kept
-by `accepted`. More than LANGS values of lang raise an error; none is left out. Without training rows everything is `und`.
+by `accepted`. All values of lang are learned, from fewer rows each where there are many; more than LANGS, which
+cannot be languages, raise an error. Without training rows everything is `und`.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fold, map_arrow, slices, string_buffers
 
 FOLDS, HELD_OUT = 3, 1
-#: Training documents of each language, about.
-PER_LANG = 800
-#: At most so many languages can be learned; more are an error.
-LANGS = 200
+#: Training documents of each language, about, and of all.
+PER_LANG, SAMPLE = 800, 40_000
+#: Values of lang beyond which the column does not hold languages.
+LANGS = 20_000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 6, 0.5
 PRECISION, FLOOR, CHANCE = 0.99, 0.4, 1.5
 SIZES = (3, 4)
@@ -47,10 +49,11 @@ _PLAIN = (_VIEW != 32) & (_VIEW < 128)
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # buckets x languages
+    table: np.ndarray  # buckets x languages, or buckets x WIDTH where `weights` follow
     bias: np.ndarray
     temperature: float = 1.0
     accept: float = FLOOR
+    weights: np.ndarray | None = None
 
     def probabilities(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offs) - 1, len(self.langs)))
@@ -62,7 +65,8 @@ class Model:
             have = np.flatnonzero(n)
             if len(have):
                 sums = np.add.reduceat(self.table[code], np.searchsorted(row, have), axis=0)
-                out[lo + have] = sums / n[have][:, None]
+                mean = sums / n[have][:, None]
+                out[lo + have] = mean if self.weights is None else mean @ self.weights
         return softmax((out + self.bias) / self.temperature)
 
 
@@ -91,15 +95,16 @@ def subwords(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _collect(docs: DataFrame, mod: int, hold: int, per_lang: int) -> tuple[list[str], list[tuple[str, np.ndarray, np.ndarray]]]:
-    """Languages, and (lang, buckets, shares) of a sample by a hash of the ids, at most 2 * per_lang * LANGS rows."""
+    """Languages, and (lang, buckets, shares) of a sample by a hash of the ids, at most 2 * SAMPLE rows or 2 for each language."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), mod) != hold))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS + 1).collect()}
     if len(counts) > LANGS:
-        raise ValueError(f"more than {LANGS} values of lang: raise langid.LANGS, whose table takes {4 * BUCKETS} bytes a language, or map rare values to null")
+        raise ValueError(f"more than {LANGS} values of lang: these cannot be languages; raise langid.LANGS or map wrong values to null")
     if not counts:
         return [], []
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * (1 << 20))))))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
+    per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
+    share = docs.sparkSession.createDataFrame([(lang, math.ceil(min(1.0, per_lang / n) * (1 << 40))) for lang, n in counts.items()], "lang string, share long")
+    chosen = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("share"))  # at most LANGS rows
 
     def extract(batch: pa.RecordBatch):
         raw, offs = string_buffers(batch.column("text"))
@@ -140,12 +145,14 @@ def train(docs: DataFrame, *, mod: int = FOLDS, hold: int = HELD_OUT, per_lang:
             w -= lr * np.outer(h, p)
             bias -= lr * 0.1 * p
             e[ids] -= (lr * len(ids) ** 0.5) * shares[:, None] * back[None, :]
-    table = e @ w
-    z = np.array([shares @ table[ids] + bias for _, ids, shares in rest])
+    table = e @ w if len(langs) <= WIDTH else e
+    z = np.array([(shares @ e[ids]) @ w + bias for _, ids, shares in rest])
     y = np.array([place[lang] for lang, _, _ in rest])
     grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
     loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     model = Model(langs, table.astype(np.float32), bias.astype(np.float64), float(grid[int(np.argmin(loss))]))
+    if len(langs) > WIDTH:
+        model.table, model.weights = e, w
     p = softmax(z / model.temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
     model.accept = bound(top, right, len(langs), precision, floor)
@@ -182,7 +189,7 @@ def accepted(docs: DataFrame, *, model: Model | None = None) -> DataFrame:
 
 
 def _predict(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x at most LANGS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x WIDTH and WIDTH x LANGS numbers at most
 
     def run(batch: pa.RecordBatch):
         m = shared.value

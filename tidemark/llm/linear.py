@@ -52,32 +52,46 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, *, mod: int, hold: int, per_class: int, features: FeatureFn) -> tuple[np.ndarray, list[np.ndarray], float]:
-    """Labels and distinct buckets of at most per_class documents of each label outside the held-out fold, and the share of label 1 in that part.
+def sample(
+    docs: DataFrame, labels: DataFrame, label: str, *, mod: int, hold: int, per_class: int, features: FeatureFn, swaps: Callable[[str], list[str]] | None = None
+) -> tuple[np.ndarray, list[np.ndarray], float, list[list[tuple[np.ndarray, np.ndarray]]]]:
+    """Labels and distinct buckets of at most per_class documents of each label outside the held-out fold, the share of label 1 in that part,
+    and for each document what its texts under `swaps` lose and gain in buckets.
 
-    Documents are taken by a hash of their id, so the sample is the same on each run.
+    Documents are taken by a hash of their id, so the sample is the same on each run; of rows that repeat an id one is taken.
     """
     docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", F.col(label).alias("y")).filter("doc_id is not null and y in (0, 1)")
     known = labels.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")).filter(fold(F.col("doc_id"), mod) != hold)
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = [F.xxhash64("doc_id", F.lit(17)), "doc_id"]
     ids = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    chosen = docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("doc_id", "text", "y")  # at most 2 * per_class rows
+    chosen = docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("doc_id", "text", "y")  # at most 2 * per_class ids
+
+    def distinct(raw: np.ndarray) -> np.ndarray:
+        return np.unique(features(raw, np.array([0, len(raw)]))[1]).astype(np.uint32)
 
     def extract(batch: pa.RecordBatch):
         raw, offs = string_buffers(batch.column("text"))
-        out = []
+        out, lost, won = [], [], []
         for lo, hi in slices(offs):
             row, bucket = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             pair = np.unique(row.astype(np.int64) << 32 | bucket.astype(np.int64))
             edge = np.searchsorted(pair >> 32, np.arange(hi - lo + 1))
-            out += [(pair[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], names=["doc_id", "y", "x"])
-
-    rows = map_arrow(chosen, extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect()
+            out += [(pair[a:b] & 0xFFFFFFFF).astype(np.uint32) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for text, own in zip(batch.column("text").to_pylist(), out, strict=True):
+            others = [distinct(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for t in (swaps(text) if swaps and text else ())]
+            lost.append([np.setdiff1d(own, x).tobytes() for x in others])
+            won.append([np.setdiff1d(x, own).tobytes() for x in others])
+        cells = [pa.array([x.tobytes() for x in out], pa.binary()), *(pa.array(x, pa.list_(pa.binary())) for x in (lost, won))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *cells], names=["doc_id", "y", "x", "lost", "won"])
+
+    rows = map_arrow(chosen, extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary, lost array<binary>, won array<binary>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "y", "lost", "won")).alias("r")).select("doc_id", "r.*").collect()  # at most 2 * per_class rows
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     total = sum(counts.values())
-    return np.array([r["y"] for r in rows], np.int64), [np.frombuffer(r["x"], np.uint32) for r in rows], counts.get(1, 0) / total if total else 0.5
+    ints = lambda x: np.frombuffer(x, np.uint32)
+    pairs = [[(ints(a), ints(b)) for a, b in zip(r["lost"], r["won"], strict=True)] for r in rows]
+    return np.array([r["y"] for r in rows], np.int64), [ints(r["x"]) for r in rows], counts.get(1, 0) / total if total else 0.5, pairs
 
 
 def matrix(xs: list[np.ndarray], index: np.ndarray, k: int) -> np.ndarray:

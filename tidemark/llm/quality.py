@@ -23,8 +23,10 @@ from tidemark.llm.linear import Linear, calibrate, chosen_index, frequencies, ma
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 #: Documents of each label in the training sample.
 PER_CLASS = 6000
-#: Buckets of the coarse n-grams and marks; those of word n-grams follow. FEATURES of each kind are kept.
+#: Buckets of the coarse n-grams; those of the marks (runs of a repeated word of at least these lengths) and of word n-grams follow. FEATURES of each kind are kept.
+MARKS = (1, 2, 4, 8, 16)
 BUCKETS, WORD_BUCKETS, FEATURES, MIN_DOCS = 1 << 16, 1 << 18, 3000, 3
+COARSE = BUCKETS + len(MARKS)
 COST, EPOCHS, SMOOTH = 0.1, 20, 1.0
 
 _VIEW = np.arange(256, dtype=np.uint8)
@@ -69,10 +71,10 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         runs = np.cumsum(same)
         base = np.maximum.accumulate(np.where(same, 0, runs))
         again = runs - base
-        for k, level in enumerate((1, 2, 4, 8, 16)):
+        for k, level in enumerate(MARKS):
             at = who[again >= level]
             rows.append(at)
-            buckets.append(np.full(len(at), 7 + 31 * k, np.int64))
+            buckets.append(np.full(len(at), BUCKETS + k, np.int64))
     s, e, first = word_bounds(raw, offs, _BETWEEN)
     if len(s):
         words, who = _HASH.words(_LOWER[raw], s, e), np.repeat(np.arange(n), np.diff(first))
@@ -80,7 +82,7 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             grams = windows(words, size)
             inside = who[: len(grams)] == who[size - 1 :]
             rows.append(who[: len(grams)][inside])
-            buckets.append(BUCKETS + (grams[inside] % np.uint64(WORD_BUCKETS)).astype(np.int64))
+            buckets.append(COARSE + (grams[inside] % np.uint64(WORD_BUCKETS)).astype(np.int64))
     return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -117,13 +119,13 @@ def _telling(seen: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, mod: int = FOLDS, hold: int = HELD_OUT) -> Linear:
-    y, xs, prior = sample(docs, labels, "quality", mod=mod, hold=hold, per_class=per_class, features=features)
+    y, xs, prior, _ = sample(docs, labels, "quality", mod=mod, hold=hold, per_class=per_class, features=features)
     part = np.arange(len(y)) % 5 == 4  # for calibration
-    n0, n1 = frequencies(y[~part], [x for x, p in zip(xs, part, strict=True) if not p], BUCKETS + WORD_BUCKETS)
+    n0, n1 = frequencies(y[~part], [x for x, p in zip(xs, part, strict=True) if not p], COARSE + WORD_BUCKETS)
     seen = np.flatnonzero(n0 + n1 >= MIN_DOCS)
-    kept = [_telling(own, n0, n1) for own in (seen[seen < BUCKETS], seen[seen >= BUCKETS])]
+    kept = [_telling(own, n0, n1) for own in (seen[seen < COARSE], seen[seen >= COARSE])]
     keep, ratio = (np.concatenate(x) for x in zip(*kept, strict=True))
-    model = Linear(chosen_index(keep, BUCKETS + WORD_BUCKETS), np.zeros(len(keep)))
+    model = Linear(chosen_index(keep, COARSE + WORD_BUCKETS), np.zeros(len(keep)))
     if not 0 < y[~part].sum() < (~part).sum():
         model.a, model.c = calibrate(np.zeros(len(y)), y, prior)
         return model
