@@ -61,17 +61,24 @@ def test_vectors(spark):
 
 
 def think(text):
-    """The rule as a loop."""
-    text = re.sub(r"<think>.*?</think>\s*", "", text, flags=re.S)
-    while "</think>" in text:
-        o, c = text.find("<think>"), text.find("</think>")
-        if o != -1 and o < c:
-            break
-        text = text[c + 8 :].lstrip()
-    return re.sub(r"<think>.*?</think>\s*", "", text, flags=re.S).strip()
-
-
-def test_strip_think_like_the_loop(spark):
+    """The rule as a small machine over tags and what lies between them."""
+    kept, inside, after_end = [], None, False
+    for token in re.split(r"(</?think>)", text):
+        if token == "<think>" and inside is None:
+            inside = len(kept)
+            kept.append(token)
+        elif token == "</think>":
+            # a block goes; an end without a begin takes everything along
+            del kept[inside or 0 :]
+            inside, after_end = None, True
+            continue
+        else:
+            kept.append(token.lstrip() if after_end else token)
+        after_end = after_end and not token.strip() and token != "<think>"
+    return "".join(kept).strip()
+
+
+def test_strip_think_like_the_machine(spark):
     import itertools
 
     cases = ["".join(p) for n in range(6) for p in itertools.product(["<think>", "</think>", "a ", "\n"], repeat=n)]
@@ -121,6 +128,12 @@ def test_sentence_examples(spark):
     assert X.sentences_of("One two. Pi is 3.14 now! Ok? " + "word " * 30) [:3] == ["One two.", "Pi is 3.", "14 now!"]
     assert X.broken("aaaa and bbbb cccc", 12) == ["aaaa and", "bbbb cccc"]
     assert evaluate(spark, ["Hello there. You.", None], "string", X.split_sentences) == [["Hello there.", "You."], []]
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["word ", "and ", "or, ", "which ", "x", ". ", "?!", "  ", "longerword", ","]) for _ in range(rng.randrange(120))) for _ in range(300)]
+    for longest in (20, 100):
+        assert evaluate(spark, texts, "string", lambda c, n=longest: X.split_sentences(c, n)) == [X.sentences_of(t, longest) for t in texts]
 
 
 def test_generate(spark):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,45 +143,49 @@ def choice(text: Column, letters: str = "ABCDE") -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
-def sentences_of(text: str | None, longest: int = 100) -> list[str]:
-    """Sentences with their end sign, long ones broken, those of up to three characters left out."""
-    out: list[str] = []
-    held = ""
-    for part in _cut(text or ""):
-        if part in ".!?":
-            held += part
-            out.append(held)
-            held = ""
-        else:
-            held += part
-    out += [held] if held else []
-    pieces = [p for s in out for p in broken(s.strip(), longest)]
-    return [p for p in pieces if len(p.strip()) > 3]
-
+_SENTENCE = r"([^.!?]*)([.!?]|$)"
 
-def _cut(text: str) -> list[str]:
-    import re
 
-    return [p for p in (x.strip() for x in re.split(r"([.!?])", text.strip())) if p]
+def sentences_of(text: str | None, longest: int = 100) -> list[str]:
+    """Sentences with their end sign, long ones broken, those of up to three characters left out: split_sentences for one text."""
+    found = (body.strip() + sign for body, sign in re.findall(_SENTENCE, text or ""))
+    return [part for whole in found for part in broken(whole, longest) if len(part) > 3]
 
 
 def broken(sentence: str, longest: int) -> list[str]:
     """A sentence in parts of at most `longest`: at the best break beyond 30 % of what is left, else cut hard."""
-    out = []
-    while len(sentence) > longest:
-        head = sentence[:longest]
-        ends = (head.rfind(b) + len(b) for b in BREAKS if head.rfind(b) > len(sentence) * BREAK_FROM)
-        at = next(ends, longest)
-        out.append(sentence[:at].strip())
-        sentence = sentence[at:].strip()
-    return [p for p in (*out, sentence) if p]
+    if len(sentence) <= longest:
+        return [sentence] if sentence else []
+    last = {mark: sentence.rfind(mark, 0, longest) for mark in BREAKS}
+    good = [at + len(mark) for mark, at in last.items() if at > len(sentence) * BREAK_FROM]
+    at = good[0] if good else longest
+    return [part for part in (sentence[:at].strip(), *broken(sentence[at:].strip(), longest)) if part]
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def split_sentences(text: Column, longest: int = 100) -> Column:
-    """array<string> by sentences_of; sequential, hence vectorised Python."""
+    """array<string> of the sentences with their end sign, long ones broken as `broken` does, those of up to three characters left out."""
+    bodies, signs = (F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SENTENCE), F.lit(i)) for i in (1, 2))
+    whole = F.transform(F.arrays_zip(bodies.alias("body"), signs.alias("sign")), lambda x: F.concat(_strip(x["body"]), x["sign"]))
+
+    def cut(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        n, head = F.length(rest), F.substring(rest, 1, longest)
+        back = F.reverse(head)
+
+        def end(mark: str) -> Column:  # behind the last occurrence in the head
+            found = F.instr(back, mark[::-1])
+            return F.when((found > 0) & (longest - found - len(mark) + 1 > n * BREAK_FROM), longest - found + 1)
+
+        at = F.when(n > longest, F.coalesce(*map(end, BREAKS), F.lit(longest))).otherwise(n)
+        return F.struct(_strip(F.substring(rest, at + 1, n)).alias("rest"), F.concat(state["out"], F.array(_strip(F.substring(rest, F.lit(1), at)))).alias("out"))
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sentences_of(t, longest))
+    def parts(sentence: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.length(sentence) / (longest * BREAK_FROM)).cast("int"))  # each cut takes more than that
+        start = F.struct(sentence.alias("rest"), F.array().cast("array<string>").alias("out"))
+        return F.when(F.length(sentence) <= longest, F.array(sentence)).otherwise(F.aggregate(steps, start, cut)["out"])
 
-    return run(text)
+    return F.filter(F.flatten(F.transform(whole, parts)), lambda x: F.length(x) > 3)

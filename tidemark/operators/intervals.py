@@ -84,27 +84,19 @@ def spread_pieces(pieces: DataFrame, keys: Sequence[str], order: str, least: flo
 def merge_short(segments: DataFrame, key: str, least: float = 1.0, least_chars: int = 20) -> DataFrame:
     """(key, id, start, end, text): a short segment absorbs exactly the next one; what it makes is not looked at again.
 
-    segments: key, start, end, text, pos (order among equal starts). Sequential in each key, hence grouped Arrow.
+    segments: key, start, end, text, pos (order among equal starts). After a segment that is not short the next one is never absorbed,
+    and in a run of short ones every other is, so a segment's place behind the last one that is not short tells what becomes of it.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["start"], r["pos"]))
-        out, i = [], 0
-        while i < len(rows):
-            r, text = rows[i], (rows[i]["text"] or "").strip()
-            short = r["end"] - r["start"] < least or len(text) < least_chars
-            if short and i + 1 < len(rows):
-                after = rows[i + 1]
-                out.append((r[key], len(out), r["start"], after["end"], f"{text} {(after['text'] or '').strip()}".strip()))
-                i += 2
-            else:
-                out.append((r[key], len(out), r["start"], r["end"], r["text"]))
-                i += 1
-        kinds = (table.schema.field(key).type, pa.int64(), pa.float64(), pa.float64(), pa.string())
-        return pa.table([pa.array([o[j] for o in out], k) for j, k in enumerate(kinds)], names=[key, "id", "start", "end", "text"])
-
-    kind = segments.schema[key].dataType.simpleString()
-    return segments.select(key, F.col("start").cast("double"), F.col("end").cast("double"), "text", "pos").groupBy(key).applyInArrow(run, f"{key} {kind}, id long, start double, end double, text string")
+    order = Window.partitionBy(key).orderBy("start", "pos")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    df = segments.select(key, F.col("start").cast("double"), F.col("end").cast("double"), "text", "pos", plain.alias("_plain")).withColumn("_i", F.row_number().over(order))
+    df = df.withColumn("_short", (F.col("end") - F.col("start") < least) | (F.length("_plain") < least_chars))
+    long_before = F.max(F.when(~F.col("_short"), F.col("_i"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_stays", (F.col("_i") - F.coalesce(long_before, F.lit(0))) % 2 == 1)
+    df = df.withColumns({"_next_end": F.lead("end").over(order), "_next": F.lead("_plain").over(order)}).filter("_stays")
+    pair = F.col("_short") & F.col("_next").isNotNull()
+    text = F.when(pair, F.regexp_replace(F.concat_ws(" ", "_plain", "_next"), r"^\s+|\s+$", "")).otherwise(F.col("text"))
+    return df.select(key, (F.row_number().over(order) - 1).cast("long").alias("id"), "start", F.when(pair, F.col("_next_end")).otherwise(F.col("end")).alias("end"), text.alias("text"))
 
 
 def nearest_frames(targets: DataFrame, frames: DataFrame, key: str, tolerance: float = 0.2) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import cosine, norm
+from tidemark.functions.values import cosine, norm, unit_vector
 
 DEFAULT_K = 5
 
@@ -46,35 +46,37 @@ def multi_modal(points: DataFrame, queries: dict[str, Sequence[float]], k: int,
     return out
 
 
-def batch_top_k(queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "query", id_col: str = "raw_id", vector: str = "vector", block: int = 256) -> DataFrame:
+def batch_top_k(
+    queries: DataFrame, points: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "query", id_col: str = "raw_id", vector: str = "vector", block: int = 256, point_block: int = 8192
+) -> DataFrame:
     """(query_id, rank, id, score): exact cosine top-k of a table of queries.
 
-    Queries are packed into blocks of at most `block` rows; each block meets each partition of points as a matrix
-    product and leaves k rows a query, which are then merged.
+    Queries and points are dealt to blocks of about `block` and `point_block` rows; each pair of blocks meets as a matrix
+    product in one task and leaves k rows a query, which are then merged.
     """
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    n = max(1, -(-queries.count() // block))
-    q = queries.select(query_id, F.col(query_vector).cast("array<double>").alias("_q")).withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(n)))
-    blocks = q.groupBy("_b").agg(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col("_q").alias("v"))).alias("_rows"))
-    parts = points.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
-    dealt = parts.withColumn("_p", F.spark_partition_id()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
+    nq, np_ = max(1, -(-queries.count() // block)), max(1, -(-points.count() // point_block))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    q = queries.select(F.col(query_id).alias("_id"), F.col(query_vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(query_id), F.lit(nq)).alias("_b"), each(np_).alias("_p"))
+    p = points.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), each(nq).alias("_b"), F.pmod(F.xxhash64(id_col), F.lit(np_)).alias("_p"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        flat = table.column("_v").combine_chunks().flatten().to_numpy()
+        return unit(flat.reshape(table.num_rows, -1))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [r for x in right.column("_rows").to_pylist() for r in x]
-        ids = left.column("_id").to_pylist()
-        out: list[tuple] = []
-        if ids and rows:
-            scores = unit(np.array([r["v"] for r in rows])) @ unit(np.array(left.column("_v").to_pylist())).T
-            for r, line in zip(rows, scores, strict=True):
-                edge = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-                out += [(r["id"], ids[i], float(line[i])) for i in np.flatnonzero(line >= edge)]
-        kinds = (right.schema.field("_rows").type.value_type.field("id").type, left.schema.field("_id").type, pa.float64())
-        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[query_id, id_col, "score"])
-
-    cells = dealt.select(F.col("_b").alias("_cb"), F.col("_p").alias("_cp")).distinct()
-    right = blocks.join(cells, F.col("_b") == F.col("_cb")).select("_b", F.col("_cp").alias("_p"), "_rows")
+        rows, places, best = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if left.num_rows and right.num_rows:
+            for i, line in enumerate(matrix(right) @ matrix(left).T):
+                at = np.flatnonzero(line >= (np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf))
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                best.append(line[at])
+        rows, places, best = (np.concatenate(x) for x in (rows, places, best))
+        return pa.table([right.column("_id").take(pa.array(rows)), left.column("_id").take(pa.array(places)), pa.array(best, pa.float64())], names=[query_id, id_col, "score"])
+
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id_col} {points.schema[id_col].dataType.simpleString()}, score double"
-    near = dealt.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(run, schema)
+    near = p.groupBy("_b", "_p").cogroup(q.groupBy("_b", "_p")).applyInArrow(run, schema)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "rank", id_col, "score")
 
@@ -88,7 +90,7 @@ def centroid(vectors: DataFrame, vector: str) -> DataFrame:
 
 def above(points: DataFrame, query: DataFrame, *, vector: str = "vector", threshold: float = 0.3) -> DataFrame:
     """points with their similarity to the one query vector, where at least the threshold; the order of points stays with the caller."""
-    one = query.select(F.col(query.columns[0]).alias("_q"))  # a single row
+    one = query.select(F.col(query.columns[0]).alias("_q")).limit(1)
     return points.join(F.broadcast(one)).withColumn("similarity", cosine(F.col(vector), F.col("_q"))).drop("_q").filter(F.col("similarity") >= threshold)
 
 
@@ -97,6 +99,18 @@ def rerank(similarities: DataFrame, candidate: str, k: int) -> DataFrame:
     return similarities.groupBy(candidate).agg(F.avg("similarity").alias("similarity")).orderBy(F.desc("similarity"), candidate).limit(k)
 
 
+def mean_similarity(points: DataFrame, queries: DataFrame, k: int, *, id_col: str = "raw_id", vector: str = "vector", query_vector: str = "query") -> DataFrame:
+    """The k points of the largest mean cosine over a table of queries, best first.
+
+    The mean of cosines is the product with the mean of the unit queries, so points meet one row, however many queries there are.
+    """
+    units = queries.select(F.posexplode(unit_vector(F.col(query_vector).cast("array<double>"))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
+    mean = units.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("_m"))  # one row
+    unit = unit_vector(F.col(vector).cast("array<double>"))
+    dot = F.aggregate(F.zip_with(unit, F.col("_m"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return points.join(F.broadcast(mean)).withColumn("similarity", dot).drop("_m").orderBy(F.desc("similarity"), id_col).limit(k)
+
+
 def verified(candidates: DataFrame, first: int = 5) -> DataFrame:
     """Of the first candidates (pos from 0) those by falling probability."""
     return candidates.filter(F.col("pos") < first).orderBy(F.desc("probability"), "pos")
@@ -118,13 +132,16 @@ def greedy_clusters(items: DataFrame, key: str, order: str, *, item: str = "item
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r[order])
-        heads, names, own = np.zeros((0, 0)), [], []
+        heads, names, own = np.zeros((8, len(rows[0][vector]) if rows else 0)), [], []
         for r in rows:
             v = np.array(r[vector], float)
             v = v / max(np.linalg.norm(v), 1e-300)
-            best = int((heads @ v).argmax()) if len(names) else -1
-            if best < 0 or float(heads[best] @ v) <= threshold:
-                heads = np.vstack([heads, v]) if len(names) else v[None, :]
+            near = heads[: len(names)] @ v
+            best = int(near.argmax()) if len(names) else -1
+            if best < 0 or float(near[best]) <= threshold:
+                if len(names) == len(heads):
+                    heads = np.concatenate([heads, np.zeros_like(heads)])
+                heads[len(names)] = v
                 names.append(str(r[item]).split(",")[0].strip().lower())
                 best = len(names) - 1
             own.append(names[best])

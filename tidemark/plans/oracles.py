@@ -58,14 +58,14 @@ v AS (SELECT DISTINCT doc_id % 60 AS video FROM documents),
 x AS (SELECT video, 0.0 AS start, a AS "end" FROM w WHERE r = 1 UNION ALL SELECT video, b, coalesce(nxt, 700.0) FROM w)
 SELECT video, CAST(start AS DOUBLE) AS start, "end" FROM x JOIN v USING (video) WHERE "end" - start >= 5 UNION ALL SELECT video, 0.0, 700.0 FROM v ANTI JOIN s USING (video)""",
     "interval_fusion": _EVENTS
-    + """, k AS (SELECT min(event_type) AS a, max(event_type) AS b FROM (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)),
-l AS (SELECT user_id, event_id, s - 7200 AS x, s + 7200 AS y FROM e, k WHERE event_type = a), r AS (SELECT user_id, event_id AS o, s AS x2, s + 600 AS y2 FROM e, k WHERE event_type = b),
+    + """, k AS (SELECT min(event_type) AS a FROM events),
+l AS (SELECT user_id, event_id, s - 7200 AS x, s + 7200 AS y FROM e, k WHERE event_type = a), r AS (SELECT user_id, event_id AS o, s AS x2, s + 600 AS y2 FROM e, k WHERE event_type <> a),
 p AS (SELECT l.user_id, event_id, o FROM l JOIN r ON l.user_id = r.user_id AND x < y2 AND y > x2)
 SELECT l.user_id, l.event_id AS idx, count(o) AS n, coalesce(string_agg(CAST(o AS VARCHAR), ' ' ORDER BY o), '') AS ids FROM l LEFT JOIN p ON l.user_id = p.user_id AND l.event_id = p.event_id GROUP BY ALL""",
     "first_overlap": """
 WITH g AS (SELECT l_suppkey % 40 AS video_id, l_orderkey * 8 + l_linenumber AS idx, min(CAST(l_orderkey % 5000 AS DOUBLE)) AS a, max(l_orderkey % 5000 + l_quantity) AS b, min(l_returnflag) AS f FROM lineitem GROUP BY ALL),
 s AS (SELECT *, CASE WHEN f <> 'N' THEN f || CAST(idx AS VARCHAR) END AS d FROM g),
-o AS (SELECT * FROM s WHERE idx % 3 = 1 AND d IS NOT NULL), c AS (SELECT * FROM s WHERE idx % 3 = 0),
+o AS (SELECT * FROM s WHERE idx % 3 <> 0 AND d IS NOT NULL), c AS (SELECT * FROM s WHERE idx % 3 = 0),
 m AS (SELECT c.video_id, c.idx, arg_min(o.d, o.idx) AS d FROM c JOIN o ON c.video_id = o.video_id AND c.a < o.b AND c.b > o.a GROUP BY ALL)
 SELECT c.video_id, c.idx, coalesce(m.d, '') AS description FROM c LEFT JOIN m USING (video_id, idx)""",
     "largest_gap": _EVENTS
@@ -85,15 +85,21 @@ t AS (SELECT *, greatest((b - a) / sum(length(x)) OVER (PARTITION BY conv_id, tu
 d AS (SELECT *, greatest(length(x) * per, 1.0) AS d FROM t),
 s AS (SELECT *, sum(d) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS upto, lead(pos) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS nxt FROM d)
 SELECT conv_id, turn, pos, round(least(a + (upto - d), b), 6) AS piece_start, round(CASE WHEN nxt IS NULL THEN b ELSE least(a + upto, b) END, 6) AS piece_end FROM s""",
+    "merge_short": """
+WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + event_id % 3 AS b, repeat(event_type, 4) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+p AS (SELECT s.*, lead(b) OVER w AS nb, lead(x) OVER w AS nx, b - a < 1 OR length(x) < 20 AS short FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+walk AS (SELECT * FROM p WHERE i = 1 UNION ALL SELECT p.* FROM walk JOIN p ON p.user_id = walk.user_id AND p.i = walk.i + CASE WHEN walk.short AND walk.nx IS NOT NULL THEN 2 ELSE 1 END)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS BIGINT) AS id, round(a, 3) AS start, round(CASE WHEN short AND nx IS NOT NULL THEN nb ELSE b END, 3) AS "end",
+  CASE WHEN short AND nx IS NOT NULL THEN x || ' ' || nx ELSE x END AS text FROM walk""",
     "cosine_topk": """
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id < 10)
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "threshold_retrieval": """
-WITH m AS (SELECT i, avg(x::DOUBLE) AS x FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 3) GROUP BY i), c AS (SELECT list(x ORDER BY i) AS v FROM m),
+WITH m AS (SELECT i, avg(x::DOUBLE) AS x FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 50 = 0) GROUP BY i), c AS (SELECT list(x ORDER BY i) AS v FROM m),
 s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS s FROM embeddings, c)
 SELECT vec_id, round(s, 6) AS similarity FROM s WHERE s >= 0.3""",
     "mean_similarity_rank": """
-SELECT vec_id, round(s, 6) AS similarity FROM (SELECT e.vec_id, avg(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s FROM embeddings q, embeddings e WHERE q.vec_id < 3 GROUP BY 1) ORDER BY s DESC, vec_id LIMIT 20""",
+SELECT vec_id, round(s, 6) AS similarity FROM (SELECT e.vec_id, avg(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 GROUP BY 1) ORDER BY s DESC, vec_id LIMIT 20""",
     "entity_chunks": "SELECT event_type, count(DISTINCT user_id) AS n, md5(string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY user_id)) AS chunks FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1".replace("string_agg(DISTINCT ", "string_agg("),
     "cooccurrence_edges": "SELECT a.l_partkey AS src, b.l_partkey AS dst, max(a.l_orderkey) AS label FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey GROUP BY ALL",
     "tier_cost": """
@@ -138,8 +144,8 @@ SELECT part, worker, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SEL
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> '' THEN o_orderpriority ELSE coalesce(c.f, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END) END AS answer
 FROM orders LEFT JOIN (SELECT l_orderkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_returnflag DESC) AS r FROM lineitem) c ON l_orderkey = o_orderkey AND r = 1""",
     "upsert_rows": """
-SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 > 0 THEN upper(c_mktsegment) WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment,
-  CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS extra FROM customer WHERE c_custkey % 3 > 0 OR c_custkey % 2 = 0""",
+SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS c_name, CASE WHEN (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AND c_custkey % 5 > 0 THEN upper(c_mktsegment) WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment,
+  CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN c_nationkey END AS extra FROM customer""",
     "set_algebra": """
 SELECT kind, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT 'both' AS kind, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
   UNION ALL SELECT 'only', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'some', doc_id FROM (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE doc_id % 10 = 0)) GROUP BY kind""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import values as V
 from tidemark.operators import context, cost, fusion, graph, intervals, joins, profile, scoring, vector
+from tidemark.session import shared_dir
 from tidemark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,11 +187,9 @@ def silences(t) -> DataFrame:
 @query
 def interval_fusion(t) -> DataFrame:
     e = t("events").select("user_id", "event_id", "event_type", micros("ts").alias("s"))
-    kinds = e.groupBy("event_type").count().orderBy("event_type").limit(2)
-    kinds = kinds.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b"))
-    e = e.join(F.broadcast(kinds))  # one row
+    e = e.join(F.broadcast(e.agg(F.min("event_type").alias("a"))))  # one row: the first type against all others
     left = e.filter("event_type = a").select("user_id", F.col("event_id").alias("idx"), (F.col("s") - 7200).alias("start"), (F.col("s") + 7200).alias("end"))
-    right = e.filter("event_type = b").select("user_id", F.col("event_id").alias("o_idx"), F.col("s").alias("o_start"), (F.col("s") + 600).alias("o_end"))
+    right = e.filter("event_type <> a").select("user_id", F.col("event_id").alias("o_idx"), F.col("s").alias("o_start"), (F.col("s") + 600).alias("o_end"))
     pairs = joins.interval_join(left, right, ["user_id"], 14400.0)
     hit = pairs.groupBy("user_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("o_idx")), lambda x: x.cast("string")), " ").alias("ids"))
     return left.select("user_id", "idx").join(hit, ["user_id", "idx"], "left").select("user_id", "idx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.lit("")).alias("ids"))
@@ -203,7 +201,7 @@ def first_overlap(t) -> DataFrame:
     lines = t("lineitem").select((F.col("l_suppkey") % 40).alias("video_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), (F.col("l_orderkey") % 5000).cast("double").alias("start"), F.col("l_quantity").alias("length"), "l_returnflag")
     lines = lines.groupBy("video_id", "idx").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("l_returnflag").alias("l_returnflag"))
     captions = lines.filter("idx % 3 = 0").select("video_id", "idx", "start", "end")
-    others = lines.filter("idx % 3 = 1").select("video_id", "idx", "start", "end", F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", F.col("idx").cast("string"))).alias("description"))
+    others = lines.filter("idx % 3 <> 0").select("video_id", "idx", "start", "end", F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", F.col("idx").cast("string"))).alias("description"))
     return fusion.first_overlapping(captions, others, "description", width=50.0).select("video_id", "idx", "description")
 
 
@@ -249,26 +247,29 @@ def split_sentences(t) -> DataFrame:
     return parts.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("sentence")).cast("long").alias("longest"))
 
 
+def search_queries(e: DataFrame) -> DataFrame:
+    """The stated query set of searches: every row whose id is divisible by 50."""
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query
 def cosine_topk(t) -> DataFrame:
     e = t("embeddings")
-    queries = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.batch_top_k(queries, e, 5, id_col="vec_id", vector="embedding").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
+    return vector.batch_top_k(search_queries(e), e, 5, id_col="vec_id", vector="embedding").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
 @query
 def threshold_retrieval(t) -> DataFrame:
     e = t("embeddings")
-    middle = vector.centroid(e.filter("vec_id < 3"), "embedding")
+    middle = vector.centroid(search_queries(e), "query")
     return vector.above(e, middle, vector="embedding").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def mean_similarity_rank(t) -> DataFrame:
     e = t("embeddings")
-    queries = e.filter("vec_id < 3").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    sims = e.join(F.broadcast(queries)).withColumn("similarity", V.cosine(F.col("embedding"), F.col("qv")))  # three queries
-    return vector.rerank(sims, "vec_id", 20).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    best = vector.mean_similarity(e, search_queries(e), 20, id_col="vec_id", vector="embedding")
+    return best.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
@@ -386,7 +387,7 @@ def update_join(t) -> DataFrame:
 @query
 def upsert_rows(t) -> DataFrame:
     base = t("customer").filter("c_custkey % 3 > 0").select("c_custkey", "c_name", "c_mktsegment")
-    changes = t("customer").filter("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.upper("c_mktsegment")).alias("c_mktsegment"), F.col("c_nationkey").alias("extra"))
+    changes = t("customer").filter("c_custkey % 2 = 0 or c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 5 > 0, F.upper("c_mktsegment")).alias("c_mktsegment"), F.col("c_nationkey").alias("extra"))
     return joins.upsert(base, changes, "c_custkey")
 
 
@@ -445,7 +446,7 @@ def live_entries(t) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: the first of each (user, type) within an hour; what is there now, then the table it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = shared_dir(spark)
     at = f"{root}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")

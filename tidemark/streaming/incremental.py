@@ -74,8 +74,9 @@ def live_entries(entries: DataFrame, keys: list[str], written: str, expires: str
 
 
 def completed(parts: DataFrame, key: str, expected: str) -> DataFrame:
-    """Keys whose distinct parts number as many as expected; for a stream in update or complete mode."""
-    return parts.groupBy(key).agg(F.approx_count_distinct("part", 0.01).alias("seen"), F.max(expected).alias("expected")) if parts.isStreaming else parts.groupBy(key).agg(F.count_distinct("part").alias("seen"), F.max(expected).alias("expected")).filter("seen >= expected")
+    """Keys whose distinct parts number as many as expected; for a stream in update mode, where each key's state is the set of its parts."""
+    seen = F.size(F.collect_set("part")).cast("long") if parts.isStreaming else F.count_distinct("part")
+    return parts.groupBy(key).agg(seen.alias("seen"), F.max(expected).alias("expected")).filter("seen >= expected")
 
 
 def stuck(status: DataFrame, now: float, limits: dict[str, float], default: float = 3600.0) -> DataFrame:
