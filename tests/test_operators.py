@@ -221,3 +221,22 @@ def test_profiles(spark):
     assert rows(profile.summed(t, ["stage"]), "stage", "interrupted", "x") == [("s", 2, 2.5), ("t", None, None)]
     g = spark.createDataFrame([("b", 0, "x"), ("a", 1, "y"), ("b", 2, "z")], "k string, pos int, v string")
     assert [(r.k, r["values"]) for r in profile.grouped_in_order(g, "k", "pos", "v").orderBy("first").collect()] == [("b", ["x", "z"]), ("a", ["y"])]
+
+
+def test_selections(spark):
+    from tidemark.functions import values as V
+    from tidemark.operators import filters
+
+    r = spark.createDataFrame([("a", 10.0), ("b", None), ("c", 90.0)], "gpu string, free double")
+    assert rows(filters.available(r, "free", 80.0), "gpu", "available") == [("a", False), ("b", False), ("c", True)]
+    s = spark.createDataFrame([(1, 503), (2, 404), (3, None)], "id int, state int")
+    assert rows(s.withColumn("again", filters.retryable(F.col("state"))), "id", "again") == [(1, True), (2, False), (3, True)]
+    assert [r.id for r in filters.duration_within(spark.createDataFrame([(1, "60"), (2, "59.9"), (3, None), (4, "x")], "id int, duration string")).collect()] == [1]
+    import json
+    import uuid
+
+    u = spark.createDataFrame([("https://x.org/a",)], "n string")
+    assert u.select(V.name_uuid(F.col("n"))).head()[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "https://x.org/a"))
+    text = u.select(V.pretty_json(F.struct("n"))).head()[0]
+    assert "\n" in text and json.loads(text) == {"n": "https://x.org/a"}
+    assert filters.confident_first_seen(spark.createDataFrame([], "v int, frame int, pos int, text string, confidence double"), ["v"], "frame", "pos").count() == 0

@@ -138,3 +138,38 @@ def unit_vector(a: Column) -> Column:
 
 def pixel_scale(a: Column) -> Column:
     return F.transform(a, lambda x: x / 127.5 - 1)
+
+
+#: The namespace of names that are URLs (RFC 4122).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version 5 UUID of a name, from its SHA-1 under a namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def search_key(modalities: Column, **fields: Column) -> Column:
+    """The cache key of a search: its fields by name, modalities sorted, as sha256 of JSON."""
+    own = {**fields, "modalities": F.array_sort(modalities)}
+    return content_key(*(own[n].alias(n) for n in sorted(own)))
+
+
+def day(ts: Column) -> Column:
+    """yyyy-MM-dd."""
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def pretty_json(value: Column) -> Column:
+    return F.to_json(value, {"pretty": "true"})
+
+
+def worker_segments(duration: Column, workers: int, fps: float) -> Column:
+    """array<struct<worker, start, end, first_frame>>: a video in equal parts, one for each worker, with the number of each part's first frame."""
+    part = duration / workers
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(workers - 1)),
+        lambda i: F.struct(i.alias("worker"), (i * part).alias("start"), F.when(i == workers - 1, duration).otherwise((i + 1) * part).alias("end"), F.floor(i * part * fps).alias("first_frame")),
+    )

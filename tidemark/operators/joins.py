@@ -30,6 +30,12 @@ def first_match(left: DataFrame, right: DataFrame, on: Column, left_key: Sequenc
     return left.join(best, list(left_key), "left").select(*left.columns, *(F.col("_hit")[c].alias(c) for c in take))
 
 
+def exact_first(left: DataFrame, right: DataFrame, on: str, order: Sequence[str | Column], take: Sequence[str]) -> DataFrame:
+    """Each row of left with the columns `take` of the first row of right (by `order`) with the same text in `on`, else null. Null texts match nothing."""
+    first = first_wins(right.filter(F.col(on).isNotNull()), [on], order).select(on, *take)
+    return left.join(first, on, "left").select(*left.columns, *take)
+
+
 def zip_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pos: str = "pos", how: str = "inner") -> DataFrame:
     """Rows with equal keys and equal position."""
     return left.join(right, [*keys, pos], how)

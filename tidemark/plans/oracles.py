@@ -169,4 +169,33 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 1 HOUR) AS session_end, count(*) AS n FROM s GROUP BY user_id, s""",
     "live_entries": "SELECT user_id, event_type, event_id AS seq, event_id * 13 % 5000 AS expires FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_id * 13 % 5000 > 2500",
+    "selected_videos": "SELECT doc_id, CAST(n_chars AS VARCHAR) AS duration FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 11 <> 0 AND n_chars BETWEEN 60 AND 60000",
+    "evaluable_samples": "SELECT role, turn % 3 <> 1 AND coalesce(trim(text), '') <> '' AS judged, count(*) AS n FROM conversations GROUP BY ALL",
+    "payload_rows": """
+WITH m AS (SELECT *, CAST(trunc(l_extendedprice / 7 * 1000) AS BIGINT) AS a, CAST(trunc((l_extendedprice / 7 + l_quantity / 3) * 1000) AS BIGINT) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_returnflag AS kind, a AS start_time_ms, b AS end_time_ms, b - a AS duration_ms FROM m""",
+    "exact_text_match": """
+SELECT p.p_partkey, p.p_type, f.k AS first_part, f.b AS first_brand
+FROM part p LEFT JOIN (SELECT p_type, min(p_partkey) AS k, arg_min(p_brand, p_partkey) AS b FROM part WHERE p_retailprice > 1500 GROUP BY 1) f USING (p_type)""",
+    "confident_texts": """
+WITH e AS (SELECT user_id, event_id // 20 AS frame, event_id AS pos, event_type || CAST(event_id % 6 AS VARCHAR) AS text FROM events WHERE event_id % 10 > 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, text ORDER BY frame, pos) AS r FROM e)
+SELECT user_id, frame, string_agg(text, ' ' ORDER BY pos) AS text FROM f WHERE r = 1 GROUP BY 1, 2""",
+    "batch_order": """
+WITH b AS (SELECT event_type || CAST(user_id % 5 AS VARCHAR) AS bucket, CAST(min(event_id) AS DOUBLE) AS oldest, count(*) AS requests FROM events GROUP BY 1)
+SELECT bucket, oldest, requests, row_number() OVER (ORDER BY CASE WHEN 10000 - oldest > 9990 THEN 0 ELSE 1 END, CASE WHEN 10000 - oldest > 9990 THEN oldest END, requests DESC, oldest, bucket) AS place FROM b""",
+    "content_ids": """
+WITH h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('order/' || CAST(o_orderkey AS VARCHAR))) AS h FROM orders)
+SELECT o_orderkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid,
+  sha256('{"modalities":["' || least(o_orderpriority, o_orderstatus) || '","' || greatest(o_orderpriority, o_orderstatus) || '"],"query":"' || o_orderpriority || '","video":' || CAST(o_custkey AS VARCHAR) || '}') AS cache_key,
+  strftime(o_orderdate, '%Y-%m-%d') AS day FROM h""",
+    "worker_segments": """
+SELECT doc_id, worker, round(worker * (n_chars / 32), 6) AS start, round(CASE WHEN worker = 3 THEN n_chars / 8 ELSE (worker + 1) * (n_chars / 32) END, 6) AS "end", CAST(floor(worker * (n_chars / 32) * 5.0::DOUBLE) AS BIGINT) AS first_frame
+FROM documents, (SELECT unnest(generate_series(0, 3)) AS worker)""",
+    "labels_and_weights": """
+SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024) ELSE printf('%.1f MB', n_chars / 1048576) END AS size,
+  CAST(CASE doc_id % 6 WHEN 0 THEN 5 WHEN 2 THEN 1 WHEN 3 THEN -5 ELSE 3 END AS BIGINT) AS weight FROM documents""",
+    "choices": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ABCDE'[turn % 5 + 1] END AS choice FROM conversations",
+    "subtitles": """
+SELECT conv_id, turn, x.start AS start, x.text AS text FROM (SELECT conv_id, turn, unnest([{'start': 0.0::DOUBLE, 'text': 'line a'}, {'start': 10.0::DOUBLE, 'text': role}, {'start': 15.0::DOUBLE, 'text': 'x'}]) AS x FROM conversations)""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import values as V
-from tidemark.operators import context, cost, fusion, graph, intervals, joins, profile, scoring, vector
+from tidemark.operators import context, cost, filters, fusion, graph, intervals, joins, profile, scoring, vector
 from tidemark.session import shared_dir
 from tidemark.streaming import incremental
 
@@ -444,6 +444,86 @@ def live_entries(t) -> DataFrame:
     return incremental.live_entries(e, ["user_id", "event_type"], "seq", "expires", 2500).select("user_id", "event_type", "seq", "expires")
 
 
+@query
+def selected_videos(t) -> DataFrame:
+    """Recordings that are there and neither too short nor too long; one in eleven has no readable duration."""
+    d = t("documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "download_failed").otherwise("downloaded").alias("status"), F.when(F.col("doc_id") % 11 == 0, "n/a").otherwise(F.col("n_chars").cast("string")).alias("duration"))
+    return filters.duration_within(filters.with_status(d)).select("doc_id", "duration")
+
+
+@query
+def evaluable_samples(t) -> DataFrame:
+    """Turns with a reply, to be judged, beside those that pass through."""
+    judged, passed = filters.split_evaluable(turns(t).withColumn("text", F.when(F.col("turn") % 3 == 1, F.lit("  ")).otherwise(F.col("text"))), "text")
+    both = judged.withColumn("judged", F.lit(True)).unionByName(passed.withColumn("judged", F.lit(False)))
+    return both.groupBy("role", "judged").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def payload_rows(t) -> DataFrame:
+    """Points' payloads, spans cut to whole milliseconds, and without one of their fields."""
+    start = F.col("l_extendedprice") / 7
+    p = filters.without_fields(filters.payload(start, start + F.col("l_quantity") / 3, kind=F.col("l_returnflag"), dropped=F.col("l_linestatus")), ["dropped"])
+    return t("lineitem").select("l_orderkey", "l_linenumber", p.alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+@query
+def exact_text_match(t) -> DataFrame:
+    """Parts with the first part of the same type that costs more than 1500; none where no such part exists."""
+    listed = t("part").filter("p_retailprice > 1500").select("p_type", F.col("p_partkey").alias("first_part"), F.col("p_brand").alias("first_brand"))
+    return joins.exact_first(t("part").select("p_partkey", "p_type"), listed, "p_type", ["first_part"], ["first_part", "first_brand"])
+
+
+@query
+def confident_texts(t) -> DataFrame:
+    """Texts read from frames: the sure ones, each where it is first seen."""
+    e = t("events").select("user_id", F.floor(F.col("event_id") / 20).alias("frame"), F.col("event_id").alias("pos"), F.concat("event_type", (F.col("event_id") % 6).cast("string")).alias("text"), ((F.col("event_id") % 10) / 10).alias("confidence"))
+    return filters.confident_first_seen(e, ["user_id"], "frame", "pos").select("user_id", "frame", "text")
+
+
+@query
+def batch_order(t) -> DataFrame:
+    """Kinds of events as buckets of waiting requests, served by age where one starves, else by size."""
+    e = t("events").select(F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("bucket"), F.col("event_id").cast("double").alias("since"))
+    out = filters.batch_order(e, "bucket", "since", 10_000.0, 9990.0)
+    return out.select("bucket", "oldest", "requests", F.col("place").cast("long").alias("place"))
+
+
+@query
+def content_ids(t) -> DataFrame:
+    """Name-based ids, cache keys of searches and days."""
+    o = t("orders")
+    key = V.search_key(F.array("o_orderpriority", "o_orderstatus"), query=F.col("o_orderpriority"), video=F.col("o_custkey"))
+    return o.select("o_orderkey", V.name_uuid(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string"))).alias("uuid"), key.alias("cache_key"), V.day(F.col("o_orderdate")).alias("day"))
+
+
+@query
+def worker_segments(t) -> DataFrame:
+    d = t("documents").select("doc_id", F.inline(V.worker_segments(F.col("n_chars") / 8, 4, 5.0)))
+    return d.select("doc_id", F.col("worker").cast("long").alias("worker"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "first_frame")
+
+
+@query
+def labels_and_weights(t) -> DataFrame:
+    """Sizes as people read them, and weights of criteria by their category."""
+    d = t("documents").select("doc_id", "n_chars", F.element_at(F.array(*(F.lit(x) for x in (*V.CATEGORY_WEIGHTS, "unknown", None))), (F.col("doc_id") % (len(V.CATEGORY_WEIGHTS) + 2) + 1).cast("int")).alias("category"))
+    return d.select("doc_id", V.size_label(F.col("n_chars")).alias("size"), V.category_weight(F.col("category")).cast("long").alias("weight"))
+
+
+@query
+def choices(t) -> DataFrame:
+    """The last letter chosen in an answer."""
+    letter = F.substring(F.lit("ABCDE"), (F.col("turn") % 5 + 1).cast("int"), F.lit(1))
+    return turns(t).select("conv_id", "turn", X.choice(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("First (C), no: ("), letter, F.lit(")."))).otherwise("none of it")).alias("choice"))
+
+
+@query
+def subtitles(t) -> DataFrame:
+    """Lines of a text at fixed steps; blank ones count but do not appear."""
+    text = F.concat(F.lit("line a\n\n"), "role", F.lit("\n  x "))
+    return turns(t).select("conv_id", "turn", F.inline(X.subtitle_lines(text)))
+
+
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: the first of each (user, type) within an hour; what is there now, then the table it wrote."""
     root = shared_dir(spark)
