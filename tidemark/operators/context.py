@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows looked at for each range when the whole table is numbered.
+SAMPLED = 20
+
 
 def prefix(turns: DataFrame, key: str, order: str, fields: Sequence[str], name: str = "context") -> DataFrame:
     """turns with the structs of all earlier rows of the key."""
@@ -49,21 +52,47 @@ def look_ahead(rows: DataFrame, key: str, order: Sequence[str], value: str, n: i
 
 
 def ordinal(rows: DataFrame, order: Sequence[str | Column], name: str, parts: Sequence[str] = ()) -> DataFrame:
-    """rows with a number from 0 in the given order (over all rows, or in each part).
+    """rows with a number from 0 in the given order (over all rows, or in each part); nulls first.
 
-    Over all rows it is counted by ranges of the first order column: local numbers plus the running sum of
-    the ranges' sizes, so that no single task sorts everything.
+    Over all rows it is counted by ranges: local numbers plus the running sum of the ranges' sizes, so that no
+    single task sorts everything. A random sample only places the ranges' bounds, which are constants of the
+    plan; each row's range depends on its own values alone, so that every scan, also one after a loss, agrees.
     """
     if parts:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)).cast("long") - 1)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    key = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(order)))
+    dealt = rows.withColumn("_part", _range_of(key, _bounds(rows.select(key.alias("_k")))))
     local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.drop("_size")), "_part").withColumn(name, F.col("_n") + F.col("_before") - 1).drop("_part", "_n", "_before")
 
 
+def _bounds(keys: DataFrame) -> list[Column]:
+    """Distinct keys that part the table into about as many ranges as there are shuffle partitions, in order; SAMPLED for each are looked at."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = keys.orderBy(F.rand(7)).limit(SAMPLED * n).orderBy("_k").collect()
+    fields = keys.schema["_k"].dataType.fields
+    found = dict.fromkeys(tuple(seen[i * len(seen) // n]["_k"]) for i in range(1, n)) if seen else {}
+    return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, fields))) for k in found]
+
+
+def _range_of(key: Column, bounds: list[Column]) -> Column:
+    """How many of the bounds are not above the key, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*bounds)
+    lo, hi = F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        up = (at["lo"] < at["hi"]) & (F.get(listed, mid) <= key)
+        return F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(up | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(lo, hi), halve)["lo"]
+
+
 def chunked(rows: DataFrame, order: Sequence[str], size: int = 200, tail: int = 20, name: str = "chunk") -> DataFrame:
     """rows with a chunk number: chunks of `size` in order, a last one of under `tail` rows joined to the one before."""
     n = rows.count()
