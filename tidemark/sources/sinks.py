@@ -30,7 +30,9 @@ def write_by_key(df: DataFrame, key: str, folder: str, combined: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """With a header; quotes doubled, blanks at the ends of a text kept."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **keep).csv(path)
 
 
 def upsert_points(store: DataFrame | None, points: DataFrame, path: str) -> None:
