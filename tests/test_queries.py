@@ -1,8 +1,7 @@
 import pytest
 
 from tests.compare import connect, same
-from tidemark.plans.oracles import SQL
-from tidemark.plans.queries import QUERIES
+from tidemark.plans.catalog import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
