@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import category_weight, py_or
 from tidemark.operators.context import ordinal
 from tidemark.operators.joins import last_wins
+from tidemark.session import stored
 
 _TASK = ("video_id", "scenario", "scenario_id", "task", "task_id")
 
@@ -39,14 +40,16 @@ def _turns(q: Column, a: Column, c: Column) -> Column:
     return F.array(user, reply)
 
 
+def _last(xs: Column, question_id: Column) -> Column:
+    """The last of a task's answers or criteria with that question_id, null if there is none."""
+    return F.try_element_at(F.filter(xs, lambda x: x["question_id"] == question_id), F.lit(-1))
+
+
 def single_turn(tasks: DataFrame) -> DataFrame:
-    """A sample for each question with a successful answer and criteria under its question_id (the last of each)."""
-    q = tasks.select("seq", *_TASK, F.posexplode("questions.single_turn_questions").alias("pos", "q"))
-    key = ["seq", "task_id", "question_id"]
-    a = tasks.select("seq", "task_id", F.posexplode("answers.single_turn_answers").alias("p", "a")).withColumn("question_id", F.col("a.question_id"))
-    c = tasks.select("seq", "task_id", F.posexplode("single_turn_criteria").alias("p", "c")).withColumn("question_id", F.col("c.question_id"))
-    a, c = last_wins(a, key, ["p"]).drop("p").filter("a.status = 'success'"), last_wins(c, key, ["p"]).drop("p")
-    rows = q.withColumn("question_id", F.col("q.question_id")).join(a, key).join(c, key)
+    """A sample for each question with a successful answer and criteria under its question_id (the last of each), matched within the task's row."""
+    q = tasks.select("seq", *_TASK, "answers.single_turn_answers", "single_turn_criteria", F.posexplode("questions.single_turn_questions").alias("pos", "q"))
+    rows = q.withColumn("a", _last(F.col("single_turn_answers"), F.col("q.question_id"))).withColumn("c", _last(F.col("single_turn_criteria"), F.col("q.question_id")))
+    rows = rows.filter("a.status = 'success' and c is not null")
     conv = _turns(F.col("q"), F.col("a"), F.col("c"))
     return rows.select("seq", *_TASK, F.lit(0).alias("kind"), "pos", F.lit("single_turn").alias("sample_type"), conv.alias("conversations"))
 
@@ -60,11 +63,8 @@ def multi_turn(tasks: DataFrame) -> DataFrame:
     seqs = tasks.select("seq", *_TASK, "answers", "multi_turn_criteria", F.posexplode("questions.multi_turn_questions").alias("pos", "qs"))
     seqs = seqs.withColumn("as", at("answers.multi_turn_answers")).withColumn("cs", at("multi_turn_criteria")).filter("as is not null and cs is not null")
 
-    def last(xs: Column, qid: Column) -> Column:
-        return F.try_element_at(F.filter(xs, lambda x: x["question_id"] == qid), F.lit(-1))
-
     def turn(q: Column) -> Column:
-        a, c = last(F.col("as"), q["question_id"]), last(F.col("cs"), q["question_id"])
+        a, c = _last(F.col("as"), q["question_id"]), _last(F.col("cs"), q["question_id"])
         turns = _turns(q, a, c)
         return F.when(a.isNotNull() & c.isNotNull(), turns).otherwise(F.slice(turns, 1, 0))
 
@@ -83,7 +83,8 @@ def samples(questions: DataFrame, answers: DataFrame, criteria: DataFrame, video
     meta = videos.select("video_id", pick("title", F.lit("")), pick("duration", F.lit(0.0)), pick("categories", F.array().cast("array<string>")))
     rows = rows.join(meta, "video_id", "left").withColumns({"title": F.coalesce("title", F.lit("")), "duration": F.coalesce("duration", F.lit(0.0)), "categories": F.coalesce("categories", F.array().cast("array<string>"))})
     count = F.aggregate("conversations", F.lit(0), lambda n, t: n + F.size(t["criteria"]))
-    rows = ordinal(rows.withColumn("criteria_count", count), ["seq", "kind", "pos"], "number")
+    rows = stored(rows.withColumn("criteria_count", count), "samples")  # numbering reads them three times
+    rows = ordinal(rows, ["seq", "kind", "pos"], "number")
     return rows.withColumn("sample_id", F.concat(F.lit("sample_"), F.col("number").cast("string")))
 
 

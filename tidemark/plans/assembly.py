@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,13 +11,13 @@ from tidemark.functions import text as X
 from tidemark.functions import values as V
 from tidemark.operators import benchmark, fusion, graph, intervals, profile, vector
 from tidemark.plans.queries import QUERIES, micros, query, turns
-from tidemark.session import shared_dir
+from tidemark.session import scratch
 from tidemark.sources import readers, sinks
 
 
 def stored_query(fn: Callable[[SparkSession, Callable, str], DataFrame]) -> Callable:
     """Register a query that also writes below a folder of its own."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), f"{shared_dir(spark)}/{fn.__name__}-{uuid.uuid4().hex}")
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), scratch(spark, fn.__name__))
     return fn
 
 

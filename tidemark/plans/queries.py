@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import values as V
 from tidemark.operators import context, cost, filters, fusion, graph, intervals, joins, profile, scoring, vector
-from tidemark.session import shared_dir
+from tidemark.session import scratch
 from tidemark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -526,8 +525,7 @@ def subtitles(t) -> DataFrame:
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: the first of each (user, type) within an hour; what is there now, then the table it wrote."""
-    root = shared_dir(spark)
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     kept = incremental.distinct_within(events, ["user_id", "event_type"], "ts", "1 hour")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -33,3 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _LOCAL[0]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what lies there goes when the session's JVM ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet into the shared folder and read again: what follows neither repeats its plan nor loses it with an executor."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
