@@ -107,6 +107,16 @@ def test_buckets_and_groups(spark):
     assert rows(scoring.modality_breakdown(s, "tags", audio_is_audio=True), "modality", "samples") == [("audio", 1), ("speech", 1), ("visual", 1)]
 
 
+def test_ordinal_of_several_columns_after_a_join(spark):
+    """Ties in the first columns, nulls, one value in a third of the rows and a plan that is read twice after a shuffle; an empty table."""
+    a = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 50 = 1 then null else id % 400 end as k", "concat('x', id % 11) as s")
+    df = a.join(a.select("id", (a.id * 7 % 3000).alias("w")), "id").repartition(5)
+    got = [tuple(r) for r in context.ordinal(df, ["k", "s", "id"], "n").select("n", "k", "s", "id").collect()]
+    want = sorted(((r["k"], r["s"], r["id"]) for r in a.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    assert sorted(got) == [(i, *r) for i, r in enumerate(want)]
+    assert context.ordinal(df.filter("id < 0"), ["k"], "n").count() == 0
+
+
 def test_ordinal_and_chunks(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7 % 1000).alias("id"))
     assert context.ordinal(df, ["id"], "n").filter("n <> id").count() == 0
