@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, quality, toxicity
+from tidemark.llm import dialogue, infill, langid, pieces, quality, toxicity
 from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.common import load
 from tidemark.llm.decontam import contamination
@@ -59,6 +59,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(load(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load(spark, sf_dir, "conversations")
+    return dialogue.audit(conversations, dialogue.damage(conversations))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -70,4 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_html_text": op9_html_text,
     "op10_near_dedup": op10_near_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
