@@ -1,8 +1,8 @@
 """All queries of this package by name, and their SQL."""
 
-from tidemark.plans import assembly, assembly_sql, oracles, queries
+from tidemark.plans import assembly, assembly_sql, flows, flows_sql, oracles, queries
 
-QUERIES = queries.QUERIES  # assembly has added its own
-SQL = oracles.SQL | assembly_sql.SQL
+QUERIES = queries.QUERIES  # assembly and flows have added their own
+SQL = oracles.SQL | assembly_sql.SQL | flows_sql.SQL
 
-__all__ = ["QUERIES", "SQL", "assembly"]
+__all__ = ["QUERIES", "SQL", "assembly", "flows"]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import values as V
 from tidemark.operators import context, cost, filters, fusion, graph, intervals, joins, profile, scoring, vector
-from tidemark.session import scratch
 from tidemark.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,16 +520,3 @@ def subtitles(t) -> DataFrame:
     """Lines of a text at fixed steps; blank ones count but do not appear."""
     text = F.concat(F.lit("line a\n\n"), "role", F.lit("\n  x "))
     return turns(t).select("conv_id", "turn", F.inline(X.subtitle_lines(text)))
-
-
-def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream: the first of each (user, type) within an hour; what is there now, then the table it wrote."""
-    at = scratch(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    kept = incremental.distinct_within(events, ["user_id", "event_type"], "ts", "1 hour")
-    incremental.once(kept, incremental.append_to(f"{at}/out"), f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema("event_id long, ts timestamp, user_id long, event_type string, batch int").parquet(f"{at}/out").select("user_id", "event_type", "event_id")
-
-
-QUERIES["stream_dedupe"] = stream_dedupe

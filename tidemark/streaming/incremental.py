@@ -1,17 +1,19 @@
-"""Resume, expiry, completion and stuck detection on streams and on tables."""
+"""Incremental sources and sinks, windows, and the batch forms of what `stateful` does on streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from tidemark.operators.context import ordinal
 
-def source(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
+
+def source(spark: SparkSession, folder: str, schema: str | StructType, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     """New files of a folder as a stream; its checkpoint remembers those already read."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
@@ -47,25 +49,6 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str, delay: str | None = Non
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def ttl_cache(df: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, value, hit) of a stream of (key, value): was there an unexpired value of the key before.
-
-    Expired values are replaced when their key comes next (no timers), so `once` ends.
-    """
-
-    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = state.getCurrentProcessingTimeMs(), []
-        hit, last = state.exists and now - state.get[1] < ttl_ms, None
-        for frame in rows:
-            for value in frame["value"]:
-                out.append((key[0], value, hit))
-                last, hit = value, True
-        state.update((last, now))
-        yield pd.DataFrame(out, columns=["key", "value", "hit"])
-
-    return df.groupBy("key").applyInPandasWithState(run, "key string, value string, hit boolean", "value string, written long", "append", GroupStateTimeout.NoTimeout)
-
-
 def live_entries(entries: DataFrame, keys: list[str], written: str, expires: str, now: float) -> DataFrame:
     """Batch form of the cache: of each key the last entry, unless it has expired."""
     rest = [c for c in entries.columns if c not in keys]
@@ -74,13 +57,29 @@ def live_entries(entries: DataFrame, keys: list[str], written: str, expires: str
 
 
 def completed(parts: DataFrame, key: str, expected: str) -> DataFrame:
-    """Keys whose distinct parts number as many as expected; for a stream in update mode, where each key's state is the set of its parts."""
-    seen = F.size(F.collect_set("part")).cast("long") if parts.isStreaming else F.count_distinct("part")
-    return parts.groupBy(key).agg(seen.alias("seen"), F.max(expected).alias("expected")).filter("seen >= expected")
+    """Batch form of completion: keys whose distinct parts number as many as expected."""
+    return parts.groupBy(key).agg(F.count_distinct("part").alias("seen"), F.max(expected).alias("expected")).filter("seen >= expected")
+
+
+def work_off(order: list[str], path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A handler that takes each batch of a queue in order (the most urgent first), numbers it on from what was taken before, and writes it to a folder of its own number."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        try:
+            before = spark.read.format(fmt).load(path).filter(F.col("batch") < number).count() if number else 0
+        except AnalysisException as error:  # nothing written yet
+            if not (error.getCondition() or "").startswith(("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                raise
+            before = 0
+        taken = ordinal(batch, order, "place").withColumn("place", F.col("place") + before)
+        taken.write.mode("overwrite").format(fmt).save(f"{path}/batch={number}")
+
+    return handle
 
 
 def stuck(status: DataFrame, now: float, limits: dict[str, float], default: float = 3600.0) -> DataFrame:
-    """Rows (id, stage, state, since) that are processing for longer than their stage's limit, as failed."""
+    """Batch form of stuck work: rows (id, stage, state, since) that are processing for longer than their stage's limit, as failed."""
     limit = F.lit(default)
     for stage, seconds in limits.items():
         limit = F.when(F.col("stage") == stage, seconds).otherwise(limit)
