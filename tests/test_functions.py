@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -35,6 +36,20 @@ def test_labels(spark):
     assert evaluate(spark, [0, 10, 2048, 5 << 20], "bigint", V.size_label) == ["0 B", "10.0 B", "2.0 KB", "5.0 MB"]
 
 
+def test_labels_round_to_even(spark):
+    assert evaluate(spark, [0.5, 1.5, 2.5, 59.4, 59.5], "double", V.duration_label) == [f"{x:.0f}s" for x in (0.5, 1.5, 2.5, 59.4, 59.5)]
+    sizes = [1280, 1792, 3328, 1279, 1281, (5 << 20) + (1 << 18), (7 << 20) + 3 * (1 << 18), (1 << 30) + (1 << 28), (3 << 40) + (1 << 38)]
+    units = [(1 << 10, "KB")] * 5 + [(1 << 20, "MB")] * 2 + [(1 << 30, "GB"), (1 << 40, "TB")]
+    assert evaluate(spark, sizes, "bigint", V.size_label) == [f"{n / u:.1f} {name}" for n, (u, name) in zip(sizes, units)]
+
+
+def test_round_exact(spark):
+    rng = random.Random(4)
+    for digits in (0, 1, 3, 6):
+        xs = [0.0, 0.0625, 0.0005, 0.0125, 0.0375, 1 / 2000, 3 / 80, 2.675, 1.005, -0.5, -1.5, -2.5, -0.0005, 2.0**60, 0.4999999999999999, *(rng.randrange(1 << 20) / rng.choice([8, 80, 1024, 2000, 7]) for _ in range(300)), *(rng.uniform(-1e6, 1e6) for _ in range(300))]
+        assert evaluate(spark, xs, "double", lambda c: V.round_exact(c, digits)) == [round(x, digits) for x in xs]
+
+
 def test_frames(spark):
     assert evaluate(spark, [0.5, 2.0, 2.1, 19.0, 99.0], "double", lambda c: V.frame_count(c, 30)) == [1, 4, 8, 24, 30]
     r = one(spark, a=V.frame_times(F.lit(0.0), F.lit(4.0), F.lit(3)), b=V.frame_times(F.lit(2.0), F.lit(4.0), F.lit(1)), c=V.frame_times(F.lit(2.0), F.lit(4.0), F.lit(0)))

@@ -90,14 +90,6 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b")]
 
 
-def test_ttl_cache(spark, tmp_path):
-    src, out = str(tmp_path / "s"), str(tmp_path / "o")
-    spark.createDataFrame([("k", "x"), ("k", "x"), ("j", "y")], "key string, value string").coalesce(1).write.parquet(src)
-    df = incremental.ttl_cache(incremental.source(spark, src, "key string, value string"), 60_000)
-    incremental.once(df, incremental.append_to(out), str(tmp_path / "c")).awaitTermination(120)
-    assert sorted((r.key, r.hit) for r in spark.read.parquet(out).collect()) == [("j", False), ("k", False), ("k", True)]
-
-
 def test_stuck_and_completed(spark):
     s = spark.createDataFrame([("a", "x", "processing", 0.0), ("b", "y", "processing", 0.0), ("c", "x", "done", 0.0)], "id string, stage string, state string, since double")
     assert [r.state for r in incremental.stuck(s, 100.0, {"x": 50.0}).orderBy("id").collect()] == ["failed", "processing", "done"]

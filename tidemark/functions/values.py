@@ -37,6 +37,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """A double to some decimals (six at most), to even where its exact binary value lies half-way: what Python's formats and round() give.
+
+    Spark rounds the shortest decimal of a double instead. Here the value is split in two parts whose products with a power of ten are exact, so
+    the comparison with one half is exact, too. Values from 2**52 / 10**digits on stay as they are.
+    """
+    ten, split = F.lit(float(10**digits)), x * F.lit(134217729.0)
+    high = split - (split - x)
+    a, b = high * ten, (x - high) * ten
+    whole = F.floor(a + b).cast("double")
+    # the sum may be rounded up to the next number
+    whole = F.when((a - whole) + b < 0, whole - 1).otherwise(whole)
+    over = (a - whole - 0.5) + b
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    return F.when(F.abs(x) >= 2**52 / 10**digits, x).otherwise((whole + F.when(up, 1.0).otherwise(0.0)) / ten)
+
+
 def to_ms(seconds: Column) -> Column:
     """Whole milliseconds, cut towards zero."""
     return (seconds * 1000).cast("bigint")
@@ -46,16 +63,16 @@ def duration_label(seconds: Column) -> Column:
     """42s, 1m05s or 2h07m."""
     whole = seconds.cast("bigint")
     h, m = F.floor(whole / 3600), F.floor(whole % 3600 / 60)
-    return F.when(seconds < 60, F.format_string("%.0fs", seconds)).when(h > 0, F.format_string("%dh%02dm", h, m)).otherwise(F.format_string("%dm%02ds", m, whole % 60))
+    return F.when(seconds < 60, F.format_string("%.0fs", round_exact(seconds.cast("double"), 0))).when(h > 0, F.format_string("%dh%02dm", h, m)).otherwise(F.format_string("%dm%02ds", m, whole % 60))
 
 
 def size_label(n_bytes: Column) -> Column:
-    """Bytes with one decimal in the largest unit of 1024 that fits; 0 B for none."""
+    """Bytes with one decimal, half-way cases to even, in the largest unit of 1024 that fits; 0 B for none."""
     out, unit = F.when(n_bytes == 0, "0 B"), n_bytes.cast("double")
     for name in ("B", "KB", "MB", "GB"):
-        out = out.when(unit < 1024, F.format_string(f"%.1f {name}", unit))
+        out = out.when(unit < 1024, F.format_string(f"%.1f {name}", round_exact(unit, 1)))
         unit = unit / 1024
-    return out.otherwise(F.format_string("%.1f TB", unit))
+    return out.otherwise(F.format_string("%.1f TB", round_exact(unit, 1)))
 
 
 def category_weight(category: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from tidemark.functions.text import has_description, word_count
-from tidemark.functions.values import ratio
+from tidemark.functions.values import ratio, round_exact
 
 
 def histogram(df: DataFrame, value: str | Column, name: str = "value") -> DataFrame:
@@ -114,7 +114,8 @@ def stage_metrics(log: DataFrame, keys: Sequence[str] = ("stage",)) -> DataFrame
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:
-    return F.round(ratio(hits, hits + misses), 3)
+    """Three decimals, rounded as Python does."""
+    return round_exact(ratio(hits, hits + misses), 3)
 
 
 def status_counts(df: DataFrame, stages: Sequence[str]) -> DataFrame:

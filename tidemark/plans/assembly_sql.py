@@ -53,7 +53,7 @@ WHERE turn % 4 NOT IN (1, 2) AND text <> '' AND text NOT IN ('No audio descripti
     "success_counts": "SELECT l_returnflag, count(*) AS rows, count(*) FILTER (l_linestatus = 'O') AS good FROM lineitem GROUP BY 1",
     "store_counts": "SELECT user_id AS video_id, count(*) AS points, count(DISTINCT event_type) AS types FROM events GROUP BY 1",
     "cache_stats": "SELECT count(*) AS entries, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes, round(coalesce(sum(n_chars), 0) / 1048576, 9) AS mb, min(doc_id) AS oldest, max(doc_id) AS newest FROM documents",
-    "hit_rates": "SELECT user_id, round(count(*) FILTER (event_id % 3 = 0) / count(*), 3) AS hit_rate FROM events GROUP BY 1",
+    "hit_rates": "SELECT user_id, CAST(printf('%.3f', count(*) FILTER (event_id % 3 = 0) / count(*)) AS DOUBLE) AS hit_rate FROM events GROUP BY 1",
     "ordered_values": "SELECT user_id, min(event_id) AS first, md5(string_agg(event_type, ',' ORDER BY event_id)) AS \"values\" FROM events GROUP BY 1",
     "nested_ids": """
 WITH c AS (SELECT DISTINCT n_regionkey, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey),
