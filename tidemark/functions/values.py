@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,21 +37,33 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def round_exact(x: Column, digits: int) -> Column:
     """A double to some decimals (six at most), to even where its exact binary value lies half-way: what Python's formats and round() give.
 
     Spark rounds the shortest decimal of a double instead. Here the value is split in two parts whose products with a power of ten are exact, so
     the comparison with one half is exact, too. Values from 2**52 / 10**digits on stay as they are.
     """
-    ten, split = F.lit(float(10**digits)), x * F.lit(134217729.0)
-    high = split - (split - x)
-    a, b = high * ten, (x - high) * ten
-    whole = F.floor(a + b).cast("double")
-    # the sum may be rounded up to the next number
-    whole = F.when((a - whole) + b < 0, whole - 1).otherwise(whole)
-    over = (a - whole - 0.5) + b
-    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
-    return F.when(F.abs(x) >= 2**52 / 10**digits, x).otherwise((whole + F.when(up, 1.0).otherwise(0.0)) / ten)
+    ten = F.lit(float(10**digits))
+
+    def nearest(p: Column, whole: Column) -> Column:
+        over = (p["a"] - whole - 0.5) + p["b"]
+        return (whole + F.when((over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1)), 1.0).otherwise(0.0)) / ten
+
+    def below(p: Column) -> Column:
+        # the sum may have been rounded up to the next number
+        return let(F.floor(p["a"] + p["b"]).cast("double"), lambda w: F.when((p["a"] - w) + p["b"] < 0, w - 1).otherwise(w))
+
+    def rounded(x: Column) -> Column:
+        high = let(x * 134217729.0, lambda split: split - (split - x))
+        parts = let(high, lambda h: F.struct((h * ten).alias("a"), ((x - h) * ten).alias("b")))
+        return F.when(F.abs(x) >= 2**52 / 10**digits, x).otherwise(let(parts, lambda p: let(below(p), lambda w: nearest(p, w))))
+
+    return let(x, rounded)
 
 
 def to_ms(seconds: Column) -> Column:
@@ -68,11 +80,11 @@ def duration_label(seconds: Column) -> Column:
 
 def size_label(n_bytes: Column) -> Column:
     """Bytes with one decimal, half-way cases to even, in the largest unit of 1024 that fits; 0 B for none."""
-    out, unit = F.when(n_bytes == 0, "0 B"), n_bytes.cast("double")
-    for name in ("B", "KB", "MB", "GB"):
-        out = out.when(unit < 1024, F.format_string(f"%.1f {name}", round_exact(unit, 1)))
-        unit = unit / 1024
-    return out.otherwise(F.format_string("%.1f TB", round_exact(unit, 1)))
+    units = [(1024.0**i, name) for i, name in enumerate(("B", "KB", "MB", "GB", "TB"))]
+    scale, name = F.lit(units[-1][0]), F.lit(units[-1][1])
+    for (size, own), (above, _) in reversed(list(zip(units, units[1:]))):
+        scale, name = F.when(n_bytes < above, size).otherwise(scale), F.when(n_bytes < above, own).otherwise(name)
+    return F.when(n_bytes == 0, "0 B").otherwise(F.format_string("%.1f %s", round_exact(n_bytes.cast("double") / scale, 1), name))
 
 
 def category_weight(category: Column) -> Column:
