@@ -250,3 +250,61 @@ def test_selections(spark):
     text = u.select(V.pretty_json(F.struct("n"))).head()[0]
     assert "\n" in text and json.loads(text) == {"n": "https://x.org/a"}
     assert filters.confident_first_seen(spark.createDataFrame([], "v int, frame int, pos int, text string, confidence double"), ["v"], "frame", "pos").count() == 0
+
+
+def test_interval_join_with_an_endless_interval(spark):
+    import random
+
+    from tidemark.operators import joins
+
+    rng = random.Random(3)
+    left = [("v", i, float(a), float(a + rng.choice([0, 1, 7, 30, 31, 400]))) for i, a in enumerate(rng.sample(range(3000), 150))] + [("v", 900, 0.0, 1e9)]
+    right = [("v", i, float(a), float(a + rng.choice([0, 2, 30, 60, 1000]))) for i, a in enumerate(rng.sample(range(3000), 150))] + [("v", 901, -5.0, 2e9), ("w", 902, 0.0, 5.0)]
+    a = spark.createDataFrame(left, "video string, i int, start double, end double")
+    b = spark.createDataFrame(right, "video string, j int, o_start double, o_end double")
+    for closed in (False, True):
+        got = sorted((r.i, r.j) for r in joins.interval_join(a, b, ["video"], 30.0, closed=closed).collect())
+        over = (lambda s, e, o, p: s <= p and e >= o) if closed else (lambda s, e, o, p: s < p and e > o)
+        assert got == sorted((i, j) for v, i, s, e in left for w, j, o, p in right if v == w and over(s, e, o, p))
+    rows = joins.dealt(a.filter("i = 900"), F.col("start"), F.col("end"), 30.0, [0, 3, 25, 40], "own")
+    assert rows.count() <= 6
+
+
+@pytest.mark.parametrize("part", [100_000, 20])
+def test_first_overlap_by_a_sweep(spark, part):
+    import random
+
+    from tidemark.operators import fusion
+
+    rng = random.Random(part)
+    span = lambda: (float(rng.randrange(2000)), rng.choice([0.0, 1.0, 5.0, 40.0, 500.0, 90000.0, -3.0]))
+    captions = [("v", i, s, s + d) for i in range(200) for s, d in [span()]] + [("v", 500, None, 4.0), ("w", 1, 0.0, 9.0)]
+    others = [("v", i, s, s + d, f"t{i}" if rng.random() < 0.9 else None) for i in rng.sample(range(1000), 200) for s, d in [span()]]
+    a = spark.createDataFrame(captions, "video_id string, idx long, start double, end double")
+    b = spark.createDataFrame(others, "video_id string, idx long, start double, end double, text string")
+    got = {(r.video_id, r.idx): r.text for r in fusion.first_overlapping(a, b, "text", width=64.0, part=part).collect()}
+    want = {}
+    for v, i, s, e in captions:
+        hits = [(j, t) for w, j, o, p, t in others if s is not None and v == w and t and s < p and e > o]
+        want[v, i] = min(hits)[1] if hits else ""
+    assert got == want
+    assert fusion.first_overlapping(a.filter("false"), b, "text").count() == 0
+
+
+def test_cooccurrence_of_a_hot_entity(spark):
+    from tidemark.operators import graph
+
+    rows = [("hot", f"c{i}", i) for i in range(300)] + [("x", "c1", 400), ("x", "c2", 400), ("y", "c2", 1), ("y", "z", 1), ("y", "z", 2), ("alone", "q", 0)]
+    df = spark.createDataFrame(rows, "entity string, chunk string, o int")
+    got = {(r.src, r.dst): r.label for r in graph.cooccurrence(df, "entity", "chunk", "o", block=40).collect()}
+    want = {}
+    last = {}
+    for e, c, o in rows:
+        last[e, c] = max(o, last.get((e, c), -1))
+    for (e, c), o in last.items():
+        for (f, d), _ in last.items():
+            if e == f and c != d:
+                key = (c, d)
+                # the order of a pair is that of the mention on its lesser side
+                want.setdefault(key, []).append((last[e, min(c, d)], e))
+    assert got == {k: max(v)[1] for k, v in want.items()}

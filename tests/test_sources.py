@@ -67,8 +67,11 @@ def test_sinks(spark, tmp_path):
     sinks.append_new(spark.createDataFrame([("b", 9), ("c", 3)], "id string, n int"), done, out, ["id"])
     assert sorted(map(tuple, readers.json_lines(spark, out, "id string, n int").collect())) == [("a", 1), ("b", 2), ("c", 3)]
     parts = spark.createDataFrame([("s", 0, True, "x"), ("s", 1, True, "y"), ("t", 0, True, "z"), ("t", 1, False, "")], "id string, part int, done boolean, v string")
-    sinks.write_complete(parts, "id", str(tmp_path / "c"))
-    assert [r.id for r in spark.read.json(str(tmp_path / "c")).collect()] == ["s"]
+    for batch in ("0", "0", "1"):
+        sinks.write_complete(parts, "id", str(tmp_path / "c"), batch)
+    assert [r.id for r in sinks.committed(spark, str(tmp_path / "c"), "id string, parts array<struct<part int, v string>>").collect()] == ["s"]
+    sinks.write_complete(parts.withColumn("done", F.lit(True)), "id", str(tmp_path / "c"), "2")
+    assert sorted(r.id for r in sinks.committed(spark, str(tmp_path / "c"), "id string").collect()) == ["s", "t"]
     sinks.write_by_key(df, "id", str(tmp_path / "k"), str(tmp_path / "all"))
     assert spark.read.json(str(tmp_path / "k")).count() == 2
     sinks.write_csv(df, str(tmp_path / "csv"))

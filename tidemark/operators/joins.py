@@ -93,18 +93,42 @@ def delete_keys(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return base.join(gone.select(key), key, "left_anti")
 
 
+def level(start: Column, end: Column, width: float) -> Column:
+    """How often `width` has to be doubled to hold the interval."""
+    longest = F.greatest(end - start, F.lit(0.0)) / width
+    return F.when(longest <= 1, 0).otherwise(F.ceil(F.log2(longest))).cast("int")
+
+
+def dealt(rows: DataFrame, start: Column, end: Column, width: float, levels: Sequence[int], own: str) -> DataFrame:
+    """rows with their level (named `own`), _level and _bin: once for each bin that they touch of their own level and of each coarser one of `levels`.
+
+    A bin of a level is at least as long as the level's intervals, so a row touches two bins of each, or three where the logarithm is rounded, however long it is.
+    """
+    rows = rows.withColumn(own, level(start, end, width))
+    there = F.array(*(F.lit(x) for x in sorted(levels))).cast("array<int>")
+    at = F.array_distinct(F.concat(F.array(own), F.filter(there, lambda x: x > F.col(own))))
+    rows = rows.withColumn("_level", F.explode(at))
+    size = width * F.pow(F.lit(2.0), "_level")
+    lo, hi = F.floor(start / size), F.floor(F.greatest(start, end) / size)
+    return rows.withColumn("_lo", lo).withColumn("_bin", F.explode(F.sequence(lo, hi)))
+
+
+def levels(rows: DataFrame, start: Column, end: Column, width: float) -> list[int]:
+    """The levels that occur, a few dozen at most."""
+    return [r[0] for r in rows.select(level(start, end, width).alias("x")).filter("x is not null").distinct().collect()]
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float, *, names: tuple[str, str, str, str] = ("start", "end", "o_start", "o_end"), closed: bool = False) -> DataFrame:
     """Pairs with equal keys whose intervals overlap (strictly, or with touching ends where closed).
 
-    Both sides are dealt to bins of `width`; a pair is kept in the first bin that both have, so none appears
-    twice. Bins make many small join keys of one long-running key, which a plain join on the keys does not.
+    Both sides are dealt to bins of `width`, or of the power of two times `width` that holds an interval, so that an endless one costs a few rows. A pair
+    is kept at the coarser of its two levels, in the first bin that both touch, so none appears twice. Bins make many small join keys of one
+    long-running key, which a plain join on the keys does not.
     """
     ls, le, rs, re = (F.col(n) for n in names)
-
-    def bins(df: DataFrame, s: Column, e: Column, name: str) -> DataFrame:
-        lo, hi = F.floor(s / width), F.floor(F.greatest(s, e) / width)
-        return df.withColumn(f"_{name}", lo).withColumn("_bin", F.explode(F.sequence(lo, hi)))
-
     over = (ls <= re) & (le >= rs) if closed else (ls < re) & (le > rs)
-    pairs = bins(left, ls, le, "l").join(bins(right, rs, re, "r"), [*keys, "_bin"])
-    return pairs.filter(over & (F.col("_bin") == F.greatest("_l", "_r"))).drop("_bin", "_l", "_r")
+    l_levels, r_levels = levels(left, ls, le, width), levels(right, rs, re, width)
+    a = dealt(left, ls, le, width, r_levels, "_l").withColumnRenamed("_lo", "_la")
+    b = dealt(right, rs, re, width, l_levels, "_r").withColumnRenamed("_lo", "_ra")
+    pairs = a.join(b, [*keys, "_level", "_bin"])
+    return pairs.filter(over & (F.col("_level") == F.greatest("_l", "_r")) & (F.col("_bin") == F.greatest("_la", "_ra"))).drop("_bin", "_level", "_l", "_r", "_la", "_ra")

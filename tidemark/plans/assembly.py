@@ -326,10 +326,15 @@ def csv_round_trip(spark: SparkSession, t, at: str) -> DataFrame:
 
 @stored_query
 def complete_parts(spark: SparkSession, t, at: str) -> DataFrame:
-    """Conversations all of whose turns are done, once each, with their turns in order."""
+    """Conversations all of whose turns are done, once each, with their turns in order; written by two runs after one that broke off, and one that is repeated."""
     parts = turns(t).select("conv_id", F.col("turn").alias("part"), ((F.col("turn") != 1) | (F.col("conv_id") % 3 > 0)).alias("done"), "role")
-    sinks.write_complete(parts, "conv_id", at)
-    back = readers.json_lines(spark, at, "conv_id long, parts array<struct<part int, role string>>")
+    # data without an entry in the log: what a run that breaks off leaves
+    parts.filter("conv_id % 2 = 0").write.json(f"{at}/data/0-broken")
+    sinks.write_complete(parts.filter("conv_id % 5 = 0"), "conv_id", at, "0")
+    for _ in range(2):
+        sinks.write_complete(parts, "conv_id", at, "1")
+    sinks.write_complete(parts, "conv_id", at, "2")
+    back = sinks.committed(spark, at, "conv_id long, parts array<struct<part int, role string>>")
     return back.select("conv_id", F.concat_ws(",", F.transform("parts", lambda p: F.concat(p["part"].cast("string"), p["role"]))).alias("parts"))
 
 

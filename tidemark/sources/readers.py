@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -127,6 +128,20 @@ def merged(base: Mapping, over: Mapping) -> dict:
     return out
 
 
+def config(spark: SparkSession, path: str, over: Mapping | None = None) -> dict:
+    """A configuration from a JSON or, by its ending, YAML file in any store that Spark reads; `over` wins. A file that holds no mapping raises an error."""
+    text = text_asset(spark, path)
+    if path.lower().endswith((".yaml", ".yml")):
+        import yaml
+
+        found = yaml.safe_load(text)
+    else:
+        found = json.loads(text)
+    if not isinstance(found, Mapping):
+        raise ValueError(f"{path} holds no mapping")
+    return merged(found, over or {})
+
+
 def select_tasks(registry: Mapping[str, Mapping], wanted: str) -> dict[str, dict]:
     """Named tasks, comma separated, or all of them; each with the registry's defaults."""
     names = [n for n in registry if n != "defaults"] if wanted == "all" else [n.strip() for n in wanted.split(",") if n.strip()]
@@ -138,4 +153,4 @@ def select_tasks(registry: Mapping[str, Mapping], wanted: str) -> dict[str, dict
 
 def text_asset(spark: SparkSession, path: str) -> str:
     """A prompt template or a JSON schema, whole."""
-    return spark.read.option("wholetext", True).text(path).head()[0]
+    return spark.read.text(path, wholetext=True).head()[0]
