@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -488,6 +489,23 @@ def test_linear_grouping_places_the_large_pieces(scale):
     assert n <= max(bound, best_fit_count(hist)) * 1.005 + 1
 
 
+@pytest.mark.parametrize("scale", [5, 40])
+def test_the_best_plan_needs_no_more_than_best_fit(scale):
+    import random
+
+    rng = random.Random(100 + scale)
+    hist = dict(collections.Counter(min(2047, max(1, int(rng.lognormvariate(6.1, 0.9)))) for _ in range(1000 * scale)))
+    assert packing.plan(hist)[1] <= best_fit_count(hist) * 1.0005 + 1
+
+
+def test_packing_of_a_table_meets_the_bound(spark):
+    at = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    got = packing.pack(spark.read.parquet(at)).agg(F.sum("length").alias("n"), F.count_distinct("sequence_id").alias("sequences")).head()
+    assert got.sequences == -(-got.n // 2048)
+
+
 def test_packing_of_one_row_ten_thousand_times(spark):
     one = spark.range(10_000).selectExpr("cast(7 as bigint) as doc_id", "'a few words of text' as text", "'x' as _row", "1 as rank")
     got = packing.pack(one.union(spark.createDataFrame([(None, "word " * 4000, "y", 2)], "doc_id long, text string, _row string, rank int"))).collect()

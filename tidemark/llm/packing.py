@@ -4,7 +4,7 @@ Lengths are integers up to the capacity, so the whole input is described by a hi
 at most `capacity` rows. Pieces as long as the capacity are sequences of their own; the plan for the others is made on that
 histogram alone:
 
-1. Lengths above capacity * small_share are large. Sorted downwards they are cut into groups
+1. Lengths above a share of the capacity are large. Sorted downwards they are cut into groups
    of equal cardinality, and each group's lengths are rounded up to its longest.
 2. Over the groups' few lengths, configurations (multisets that fit one sequence) are chosen
    by column generation: a simplex over configurations, priced by an unbounded knapsack that gives the best
@@ -13,6 +13,8 @@ histogram alone:
    longest large piece that fits what the actual pieces before it leave.
 4. What is left, small pieces last, goes by best fit into the fullest sequence with room.
 
+How fine the groups and how large the large pieces are is a choice of the scheme; the choices of PLANS are tried, and the plan with the fewest sequences counts.
+
 The plan says for each length which run of its pieces goes where; a piece finds its place by
 its rank among the pieces of its length. Each stored piece has a number of its own, by which a length's pieces are dealt to
 chunks of about CHUNK_ROWS, as many as the histogram asks for; ranks come from counts per (chunk, length) and their
@@ -40,6 +42,8 @@ from tidemark.llm.common import map_arrow, stored
 CAPACITY = 2048
 #: Groups of large lengths, of at least GROUP_PIECES pieces each; lengths above this share of the capacity are large.
 GROUPS, GROUP_PIECES, SMALL_SHARE = 96, 16, 1 / 8
+#: (groups, share) tried one after the other, until a plan needs no more sequences than the sum of lengths asks for.
+PLANS = ((48, 0.3), (96, 0.3), (48, 0.34), (96, 0.34), (96, 0.4), (96, 0.25), (GROUPS, SMALL_SHARE))
 #: Configurations that one pricing may add, pricings, and pivots after which the inverse of the basis is computed afresh.
 PRICED, PRICINGS, PIVOTS = 48, 200, 500
 #: Pieces of one length in a chunk on which ranks are counted, about.
@@ -178,10 +182,16 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, pricing
     return [(columns[b], int(v + 1e-6)) for b, v in zip(basis, x, strict=True) if v >= 1 - 1e-6]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> tuple[list[tuple], int]:
-    """Runs (length, first rank, last rank + 1, first sequence, pieces in each, offset) and the number of sequences."""
-    runs, sequences, _ = _plan(histogram, capacity, groups, small_share)
-    return runs, sequences
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, plans: tuple[tuple[int, float], ...] = PLANS) -> tuple[list[tuple], int]:
+    """Runs (length, first rank, last rank + 1, first sequence, pieces in each, offset) and the number of sequences, of the plan with the fewest."""
+    least, best = -(-sum(s * n for s, n in histogram.items()) // capacity), None
+    for groups, small_share in plans:
+        runs, sequences, _ = _plan(histogram, capacity, groups, small_share)
+        if best is None or sequences < best[1]:
+            best = runs, sequences
+        if sequences == least:
+            break
+    return best
 
 
 def _plan(histogram: dict[int, int], capacity: int, groups: int, small_share: float) -> tuple[list[tuple], int, int]:
@@ -276,13 +286,13 @@ def _ranked(df: DataFrame, chunks: list[int]) -> DataFrame:
     return local.join(base, ["length", "_chunk"]).withColumn("rank", F.col("_rank") + F.col("_base")).drop("_chunk", "_rank", "_base")
 
 
-def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, groups: int = GROUPS, small_share: float = SMALL_SHARE) -> DataFrame:
+def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, plans: tuple[tuple[int, float], ...] = PLANS) -> DataFrame:
     """Each piece with sequence_id and offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, path=path, capacity=capacity, end_id=end_id).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {int(s): int(n) for s, n in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     histogram.pop(capacity, None)
-    runs, sequences = plan(histogram, capacity, groups, small_share)
+    runs, sequences = plan(histogram, capacity, plans)
     by: dict[int, list[tuple]] = {}
     for size, lo, hi, first, each, offset in runs:
         by.setdefault(size, []).append((lo, hi, first, each, offset))
