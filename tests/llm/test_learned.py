@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy, method checks and odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -158,6 +159,36 @@ def test_no_language_is_left_out_in_silence(spark, monkeypatch):
         langid.train(docs)
 
 
+def test_a_language_of_one_repeated_id_is_learned(spark):
+    rng = random.Random(9)
+    own = {"aa": "sch ung ein".split(), "bb": "tion eau ment".split()}
+    text = lambda lang: " ".join("".join(rng.choice(own[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(20))
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for ids in (learned[:1], learned[:4]):
+        rows = [(rng.choice(ids), text("aa"), "aa") for _ in range(6000)] + [(100 + i, text("bb"), "bb") for i in range(60)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        out = langid.identify(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id")
+        assert out.filter("lang_pred <> lang").count() / out.count() < 0.01
+    same = spark.createDataFrame([(learned[0], "schung ein", "aa")] * 500 + [(100 + i, text("bb"), "bb") for i in range(60)], "doc_id long, text string, lang string")
+    langs, sample = langid._collect(same, 3, 1, 800)
+    assert langs == ["aa", "bb"] and sum(lang == "aa" for lang, _, _ in sample) == 1
+    assert langid.identify(same).filter(F.col("doc_id") == learned[0]).count() == 500
+
+
+def test_many_languages_of_two_rows_are_all_fitted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 900)
+    rows = [(i, f"word{i % 600} text", f"l{i % 600:03d}") for i in [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]]
+    langs, sample = langid._collect(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 3, 1, 800)
+    assert len(langs) == 600 and {lang for lang, _, _ in sample} == set(langs) and len(sample) == 600
+    fit, rest = langid._parted(sample)
+    assert {lang for lang, _, _ in fit} == set(langs) and rest
+
+
+def test_nothing_is_accepted_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert langid.accepted(docs).count() == 0 and langid.accepted(docs).columns == docs.columns
+
+
 def test_rejection_is_strict_where_the_model_is_bad(spark):
     rng = random.Random(8)
     rows = [(i, " ".join(words(rng, 12)), rng.choice(["aa", "bb"])) for i in range(400)]

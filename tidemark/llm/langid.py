@@ -13,8 +13,9 @@ one lookup for each window, and the model's size hardly depends on the number of
 
 Nulls: null texts and texts without a letter are `und` with score 0 and not accepted; a null lang is
 not learned from; a null doc_id is kept and not held out. Extra columns are ignored by `identify` and kept
-by `accepted`. All values of lang are learned, from fewer rows each where there are many; more than LANGS, which
-cannot be languages, raise an error. Without training rows everything is `und`.
+by `accepted`. All values of lang are learned, from fewer rows each where there are many, but from one at least; more than LANGS, which
+cannot be languages, raise an error. Repeated rows count once in training, different texts of one doc_id each, and every row is predicted. Without
+training rows everything is `und`; of an empty table nothing is accepted.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold, map_arrow, slices, string_buffers
 
 FOLDS, HELD_OUT = 3, 1
-#: Training documents of each language, about, and of all.
+#: Training documents of each language, and of all.
 PER_LANG, SAMPLE = 800, 40_000
 #: Values of lang beyond which the column does not hold languages.
 LANGS = 20_000
@@ -95,16 +96,23 @@ def subwords(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _collect(docs: DataFrame, mod: int, hold: int, per_lang: int) -> tuple[list[str], list[tuple[str, np.ndarray, np.ndarray]]]:
-    """Languages, and (lang, buckets, shares) of a sample by a hash of the ids, at most 2 * SAMPLE rows or 2 for each language."""
+    """Languages, and (lang, buckets, shares) of a sample: per_lang distinct (doc_id, text) of each, or SAMPLE / languages if that is less, but one at least; those first by a hash."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), mod) != hold))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS + 1).collect()}
+    known = known.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(5)))
+    # repeated rows count once; where doc_ids repeat, their texts tell them apart
+    distinct = known.select("lang", "_h").distinct()
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS + 1).collect()}
     if len(counts) > LANGS:
         raise ValueError(f"more than {LANGS} values of lang: these cannot be languages; raise langid.LANGS or map wrong values to null")
     if not counts:
         return [], []
     per_lang = max(1, min(per_lang, SAMPLE // len(counts)))
-    share = docs.sparkSession.createDataFrame([(lang, math.ceil(min(1.0, per_lang / n) * (1 << 40))) for lang, n in counts.items()], "lang string, share long")
-    chosen = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) < F.col("share"))  # at most LANGS rows
+    # a bound on the hash that lets about twice as many through, and 64 more, so that too few come by no chance worth the name; the first of them are taken
+    share = docs.sparkSession.createDataFrame([(lang, math.ceil(min(1.0, (2 * per_lang + 64) / n) * (1 << 40))) for lang, n in counts.items()], "lang string, share long")
+    near = known.join(F.broadcast(share), "lang").filter(F.pmod("_h", F.lit(1 << 40)) < F.col("share")).drop("share")  # at most LANGS rows
+    order = [F.pmod("_h", F.lit(1 << 40)), "_h"]
+    once = near.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("_n") <= per_lang)
+    chosen = near.dropDuplicates(["lang", "_h"]).join(F.broadcast(once.select("lang", "_h")), ["lang", "_h"])  # SAMPLE or LANGS rows at most
 
     def extract(batch: pa.RecordBatch):
         raw, offs = string_buffers(batch.column("text"))
@@ -114,13 +122,22 @@ def _collect(docs: DataFrame, mod: int, hold: int, per_lang: int) -> tuple[list[
             u, n = np.unique(code, return_counts=True)
             ids.append(u.astype(np.uint16).tobytes())
             shares.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "lang", "ids", "shares"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_h"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "h", "ids", "shares"])
 
-    rows = map_arrow(chosen, extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, ids binary, shares binary").limit(2 * per_lang * len(counts)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["ids"]))
+    rows = map_arrow(chosen.select("lang", "_h", "text"), extract, "lang string, h long, ids binary, shares binary").collect()  # SAMPLE or LANGS rows at most
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
     return sorted(counts), [(r["lang"], np.frombuffer(r["ids"], np.uint16).astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in rows if r["ids"]]
 
 
+def _parted(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[list, list]:
+    """What is fitted, and every fifth row of each language for calibration (all rows, where no language has five)."""
+    fit, rest, seen = [], [], {}
+    for r in rows:
+        n = seen[r[0]] = seen.get(r[0], 0) + 1
+        (rest if n % 5 == 0 else fit).append(r)
+    return fit, rest or rows
+
+
 def train(docs: DataFrame, *, mod: int = FOLDS, hold: int = HELD_OUT, per_lang: int = PER_LANG, epochs: int = EPOCHS, rate: float = RATE, precision: float = PRECISION, floor: float = FLOOR, seed: int = 11) -> Model:
     langs, rows = _collect(docs, mod, hold, per_lang)
     if not rows:
@@ -129,7 +146,7 @@ def train(docs: DataFrame, *, mod: int = FOLDS, hold: int = HELD_OUT, per_lang:
     place = {lang: i for i, lang in enumerate(langs)}
     e = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
     w, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    fit, rest = [r for i, r in enumerate(rows) if i % 5 != 4], [r for i, r in enumerate(rows) if i % 5 == 4] or rows
+    fit, rest = _parted(rows)
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
         for i in rng.permutation(len(fit)):
