@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,22 @@ def test_spread_equals_a_join(spark):
 # top-k
 
 
+def test_top_k_where_every_row_is_a_query(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(300, 8)), 2)
+    df = spark.createDataFrame([(50 * i, [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    seen = []
+    packed = topk._pack
+    monkeypatch.setattr(topk, "_pack", lambda key: seen.append(key) or packed(key))
+    got = topk.top_k(df, query_block=20, candidate_block=64)
+    w = np.floor(256 * v).astype(int)
+    scores = w @ w.T
+    want = [(50 * q, r, 50 * int(c), int(scores[q, c])) for q in range(300) for r, c in enumerate(sorted((c for c in range(300) if c != q), key=lambda c: (-scores[q, c], c))[:5], 1)]
+    assert sorted(tuple(r) for r in got.collect()) == want and sorted(seen) == ["cb", "qb"]
+    # query blocks follow from the queries counted: 300 in blocks of about 20
+    assert "15)" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_top_k_edges(spark):
     v = [(0, [1.0, 2.0]), (50, [1.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [0.0, 0.0]), (7, [-1.0, 3.0]), (8, [0.5, 0.5]), (9, [0.5, 0.5]), (9, [0.5, 0.5]), (100, [2.0, 2.0]), (None, [9.0, 9.0])]
     df = spark.createDataFrame([(*x, 1) for x in v], "vec_id long, embedding array<float>, id int")
@@ -271,6 +288,7 @@ def test_top_k_edges(spark):
         want += [(q, r, c, -x) for r, (x, c) in enumerate(s, 1)]
     for block in (16384, 2):
         assert sorted(tuple(r) for r in topk.top_k(df, query_block=1, candidate_block=block).collect()) == want
+    assert sorted(tuple(r) for r in topk.top_k(df, block_bytes=32).collect()) == want
     assert topk.top_k(df.filter("false")).count() == 0
 
 

@@ -3,9 +3,10 @@
 A component is a term. For each term of a block of queries the posting list of a block of
 candidates (places and weights that are not 0) is scattered, times the queries' weights,
 into a dense score array; the best k of each block are cut out by partition selection, and
-the blocks' winners are merged. Queries and candidates meet in blocks of bounded size, keyed
+the blocks' winners are merged. Queries and candidates meet in blocks, keyed
 by the pair of block numbers, so no side is broadcast and no task sees more than one pair
-of blocks at a time.
+of blocks at a time. The number of blocks follows from the counted queries and candidates and the longest vector, so that a block has
+at most about QUERY_BLOCK or CANDIDATE_BLOCK rows and BLOCK_BYTES; ids are dealt by a hash, which leaves blocks a little above or below.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null
 ids. Repeated rows of an id count once (the smallest vector). Where two vectors differ in
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 SCALE, K, QUERY_EVERY = 256, 5, 50
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 16384
+#: Bytes of a block, about.
+BLOCK_BYTES = 1 << 25
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -92,17 +95,19 @@ def _best(k: int):
     return run
 
 
-def top_k(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def top_k(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by query_every its k best other ids."""
     from pyspark.sql import Window
 
     rows = integer_vectors(table, id_col, vector_col, scale)
-    n = table.count()
-    nc, nq = max(1, -(-n // candidate_block)), max(1, -(-n // (query_every * query_block)))
+    asked = F.pmod("id", F.lit(query_every)) == 0
+    n, queries, width = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), F.count_if(asked), F.max(F.size("v"))).head())
+    most = max(1, block_bytes // (8 * max(1, width)))
+    nc, nq = (max(1, -(-count // min(block, most))) for count, block in ((n, candidate_block), (queries, query_block)))
     h = F.xxhash64("id")
     packed = "{} long, n long, ids binary, m binary"
     c = rows.withColumn("cb", F.pmod(h, F.lit(nc))).groupBy("cb").applyInArrow(_pack("cb"), packed.format("cb"))
-    q = rows.filter(F.pmod("id", F.lit(query_every)) == 0).withColumn("qb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(nq))).groupBy("qb").applyInArrow(_pack("qb"), packed.format("qb"))
+    q = rows.filter(asked).withColumn("qb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(nq))).groupBy("qb").applyInArrow(_pack("qb"), packed.format("qb"))
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>")))
     q = q.select("qb", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1)).cast("array<bigint>")).alias("cb"))
     pairs = c.select("qb", "cb", "ids", "m").join(q, ["qb", "cb"]).select("ids", "m", "q_ids", "q_m")
