@@ -131,6 +131,32 @@ def keywords(words: Column, dropped: tuple[str, ...] = ("", "video")) -> Column:
     return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: ~F.lower(w).isin(*dropped))
 
 
+def model_spec(spec: Column) -> Column:
+    """struct<name, gpus, omni, backend, frames, audio, alias, mount> of `name:gpus` with flags behind it in any order and an @alias at the end; null where that does not fit.
+
+    A model called over an api needs no device; a flag f64 is a number of frames, of several the first counts; other flags that begin with f mean nothing.
+    """
+    body = F.regexp_replace(spec, "@[^@]*$", "")
+    part = lambda i: F.regexp_extract(body, _SPEC, i)
+    flag = lambda name: F.array_contains(F.split(part(4), ":"), name)
+    frames = F.coalesce(F.regexp_extract(part(4), r":f([0-9]+)(?::|$)", 1).try_cast("int"), F.lit(0))
+    fields = F.struct(
+        part(1).alias("name"),
+        F.when(flag("api"), 0).otherwise(F.trim(part(2)).try_cast("int")).alias("gpus"),
+        flag("omni").alias("omni"),
+        F.when(flag("api"), "api").when(flag("hf"), "hf").otherwise("vllm").alias("backend"),
+        frames.alias("frames"),
+        flag("audio").alias("audio"),
+        F.when(F.contains(spec, F.lit("@")), F.regexp_extract(spec, "@([^@]*)$", 1)).alias("alias"),
+        flag("mount").alias("mount"),
+    )
+    return F.when(F.coalesce(part(2).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False)), fields)
+
+
+#: Name, devices, what is between, and flags up to the end.
+_SPEC = r"^([^:]*):([^:]*)((?::[^:]*)*?)((?::(?:omni|hf|api|audio|mount|f[^:]*))*)$"
+
+
 def subtitle_lines(text: Column, step: float = 5.0) -> Column:
     """array<struct<start, text>>: the i-th line starts at i * step; blank lines count but do not appear."""
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i * step).alias("start"), F.trim(x).alias("text")))

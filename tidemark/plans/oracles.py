@@ -195,7 +195,10 @@ FROM documents, (SELECT unnest(generate_series(0, 3)) AS worker)""",
     "labels_and_weights": """
 SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024) ELSE printf('%.1f MB', n_chars / 1048576) END AS size,
   CAST(CASE doc_id % 6 WHEN 0 THEN 5 WHEN 2 THEN 1 WHEN 3 THEN -5 ELSE 3 END AS BIGINT) AS weight FROM documents""",
-    "choices": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'ABCDE'[turn % 5 + 1] END AS choice FROM conversations",
+    "choices": r"""
+SELECT conv_id, turn, nullif(regexp_extract(translate(text, 'abcde', 'ABCDE'), '(?s)^.*(?:^|[^A-Za-z])\(?([ABCDE])(?:\)|\.|:|\s|$)', 1), '') AS choice FROM conversations""",
     "subtitles": """
-SELECT conv_id, turn, x.start AS start, x.text AS text FROM (SELECT conv_id, turn, unnest([{'start': 0.0::DOUBLE, 'text': 'line a'}, {'start': 10.0::DOUBLE, 'text': role}, {'start': 15.0::DOUBLE, 'text': 'x'}]) AS x FROM conversations)""",
+WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
+x AS (SELECT conv_id, turn, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS t FROM l)
+SELECT conv_id, turn, CAST(i * 5 AS DOUBLE) AS start, md5(trim(t)) AS text FROM x WHERE trim(t) <> ''""",
 }

@@ -510,13 +510,11 @@ def labels_and_weights(t) -> DataFrame:
 
 @query
 def choices(t) -> DataFrame:
-    """The last letter chosen in an answer."""
-    letter = F.substring(F.lit("ABCDE"), (F.col("turn") % 5 + 1).cast("int"), F.lit(1))
-    return turns(t).select("conv_id", "turn", X.choice(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("First (C), no: ("), letter, F.lit(")."))).otherwise("none of it")).alias("choice"))
+    """The last letter chosen in a turn's text, small letters read as large ones."""
+    return turns(t).select("conv_id", "turn", X.choice(F.translate("text", "abcde", "ABCDE")).alias("choice"))
 
 
 @query
 def subtitles(t) -> DataFrame:
-    """Lines of a text at fixed steps; blank ones count but do not appear."""
-    text = F.concat(F.lit("line a\n\n"), "role", F.lit("\n  x "))
-    return turns(t).select("conv_id", "turn", F.inline(X.subtitle_lines(text)))
+    """Lines of a turn's text at fixed steps; blank ones count but do not appear."""
+    return turns(t).select("conv_id", "turn", F.inline(X.subtitle_lines(F.col("text")))).withColumn("text", F.md5("text"))
