@@ -308,3 +308,26 @@ def test_cooccurrence_of_a_hot_entity(spark):
                 # the order of a pair is that of the mention on its lesser side
                 want.setdefault(key, []).append((last[e, min(c, d)], e))
     assert got == {k: max(v)[1] for k, v in want.items()}
+
+
+def test_frames_meet_targets_as_in_order(spark):
+    rng = random.Random(6)
+    targets = [(k, round(rng.uniform(0, 50), 2)) for k in "abc" for _ in range(rng.choice([1, 20, 60]))] + [("d", 1.0), ("e", None)]
+    frames = [(k, round(rng.uniform(0, 50), 1)) for k in "abcz" for _ in range(400)] + [("d", 9.0), ("e", 1.0)]
+    got = intervals.nearest_frames(spark.createDataFrame(targets, "k string, target double"), spark.createDataFrame(frames, "k string, frame double"), "k", 0.4)
+    want = []
+    for k in "abcde":
+        wanted = iter(sorted(t for j, t in targets if j == k and t is not None))
+        t = next(wanted, None)
+        for f in sorted(f for j, f in frames if j == k):
+            if t is not None and abs(f - t) <= 0.4:
+                want.append((k, t, f))
+                t = next(wanted, None)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+
+
+def test_numbers_of_rows_that_all_tie(spark):
+    df = spark.range(2000).select(F.lit(1).alias("same"), "id")
+    out = context.ordinal(df, ["same"], "n")
+    assert sorted(r.n for r in out.collect()) == list(range(2000))
+    assert len(context._bounds(df.select(F.struct(F.col("same").alias("_0"), F.xxhash64("same", "id").alias("_1")).alias("_k")))) > 1

@@ -60,6 +60,9 @@ def ordinal(rows: DataFrame, order: Sequence[str | Column], name: str, parts: Se
     """
     if parts:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)).cast("long") - 1)
+    # rows that tie are told apart by all their values, so that many equal keys do not make one range
+    if not any("map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() for f in rows.schema.fields):
+        order = [*order, F.xxhash64(*rows.columns)]
     key = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(order)))
     dealt = rows.withColumn("_part", _range_of(key, _bounds(rows.select(key.alias("_k")))))
     local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

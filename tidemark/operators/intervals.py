@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 GAP = 5.0
 CLIP = 10.0
@@ -102,22 +105,38 @@ def merge_short(segments: DataFrame, key: str, least: float = 1.0, least_chars:
 def nearest_frames(targets: DataFrame, frames: DataFrame, key: str, tolerance: float = 0.2) -> DataFrame:
     """(key, target, frame): frames in order, each taken if within tolerance of the current target, which then moves on.
 
-    A target that no frame meets therefore ends the matching of its key.
+    A target that no frame meets therefore ends the matching of its key. Both sides come as one sorted stream, each target where the first frame may stand
+    that meets it; what is held of a key is the targets within tolerance of the current frame.
     """
-
-    def pick(left: list[float], right: list[float]) -> Iterator[tuple[float, float]]:
-        wanted = iter(sorted(left))
-        t = next(wanted, None)
-        for frame in right:
-            if t is not None and abs(frame - t) <= tolerance:
-                yield t, frame
-                t = next(wanted, None)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pairs = list(pick(left.column("target").to_pylist(), sorted(right.column("frame").to_pylist())))
-        ids = [left.column(key)[0].as_py()] * len(pairs) if left.num_rows else []
-        return pa.table([pa.array(ids, left.schema.field(key).type), pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64())], names=[key, "target", "frame"])
-
-    kind = targets.schema[key].dataType.simpleString()
-    left, right = targets.select(key, F.col("target").cast("double")), frames.select(key, F.col("frame").cast("double"))
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, f"{key} {kind}, target double, frame double")
+    kind = targets.schema[key].dataType
+    names = [key, "target", "frame"]
+    schema = pa.schema([pa.field(key, to_arrow_type(kind)), pa.field("target", pa.float64()), pa.field("frame", pa.float64())])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last, waiting, over = None, deque(), False
+        for batch in batches:
+            for own, value, is_frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (own,):
+                    last, over = (own,), False
+                    waiting.clear()
+                if over:
+                    continue
+                if not is_frame:
+                    waiting.append(value)
+                elif waiting and abs(value - waiting[0]) <= tolerance:
+                    yield own, waiting.popleft(), value
+                elif waiting and value > waiting[0]:
+                    over = True
+                    waiting.clear()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = matched(batches)
+        while held := list(islice(pairs, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], names=names)
+
+    # a little earlier than where the first frame may stand, as differences are rounded
+    first = F.col("target") - tolerance - F.abs(F.col("target")) * 1e-12 - 1e-9
+    left = targets.select(key, F.col("target").cast("double").alias("target")).filter("target is not null").select(key, F.col("target").alias("_v"), F.lit(False).alias("_frame"), first.alias("_at"))
+    right = frames.select(key, F.col("frame").cast("double").alias("_v"), F.lit(True).alias("_frame")).filter("_v is not null").withColumn("_at", F.col("_v"))
+    events = left.unionByName(right).repartition(key).sortWithinPartitions(key, "_at", "_frame", "_v").select(key, "_v", "_frame")
+    return events.mapInArrow(run, f"{key} {kind.simpleString()}, target double, frame double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -127,26 +127,33 @@ def position_rule(question: Column, chunks: Column) -> Column:
 def greedy_clusters(items: DataFrame, key: str, order: str, *, item: str = "item", vector: str = "embedding", threshold: float = 0.7) -> DataFrame:
     """(key, order, item, cluster): each item in order joins the most similar cluster's first member above the threshold, else opens one.
 
-    The result depends on the order, hence one pass for each key (a video). Clusters are named by the item's text up to the first comma.
+    The result depends on the order, hence one pass over the sorted items of each key (a video); the clusters' first members are all that is held. Clusters are named by the
+    item's text up to the first comma.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r[order])
-        heads, names, own = np.zeros((8, len(rows[0][vector]) if rows else 0)), [], []
-        for r in rows:
-            v = np.array(r[vector], float)
-            v = v / max(np.linalg.norm(v), 1e-300)
-            near = heads[: len(names)] @ v
-            best = int(near.argmax()) if len(names) else -1
-            if best < 0 or float(near[best]) <= threshold:
-                if len(names) == len(heads):
-                    heads = np.concatenate([heads, np.zeros_like(heads)])
-                heads[len(names)] = v
-                names.append(str(r[item]).split(",")[0].strip().lower())
-                best = len(names) - 1
-            own.append(names[best])
-        t = table.schema
-        return pa.table([pa.array([r[c] for r in rows], t.field(c).type) for c in (key, order, item)] + [pa.array(own, pa.string())], names=[key, order, item, "cluster"])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kept = items.select(key, order, item, vector)
+    schema = to_arrow_schema(kept.select(key, order, item).withColumn("cluster", F.lit("")).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heads, names = None, np.zeros((0, 0)), []
+        for batch in batches:
+            own = []
+            for k, text, v in zip(*(batch.column(c).to_pylist() for c in (key, item, vector)), strict=True):
+                v = np.array(v, float)
+                v = v / max(np.linalg.norm(v), 1e-300)
+                if last != (k,):
+                    last, heads, names = (k,), np.zeros((8, len(v))), []
+                near = heads[: len(names)] @ v
+                best = int(near.argmax()) if len(names) else -1
+                if best < 0 or float(near[best]) <= threshold:
+                    if len(names) == len(heads):
+                        heads = np.concatenate([heads, np.zeros_like(heads)])
+                    heads[len(names)] = v
+                    names.append(str(text).split(",")[0].strip().lower())
+                    best = len(names) - 1
+                own.append(names[best])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, order, item)), pa.array(own, pa.string())], schema=schema)
 
     kind = lambda c: items.schema[c].dataType.simpleString()
-    return items.select(key, order, item, vector).groupBy(key).applyInArrow(run, f"{key} {kind(key)}, {order} {kind(order)}, {item} {kind(item)}, cluster string")
+    return kept.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"{key} {kind(key)}, {order} {kind(order)}, {item} {kind(item)}, cluster string")
