@@ -6,8 +6,8 @@ contents (its text) and a share of each page's text. The entropies of the former
 possible ones, give 1 - (1 - H_presentation) * (1 - H_content): 0 where all pages show the same, near 1 where each
 differs. A node is of low importance in one of two ways:
 
-* it repeats: those entropies combine to less than LOW. The contents that repeat (on min_pages pages and one in
-  REPEATS of those that have the node) are removed; a page with a content of its own there keeps it;
+* it repeats: those entropies combine to less than LOW. The contents that repeat, on min_pages pages of the host, are removed; a page
+  with a content of its own there keeps it;
 * it weighs little: its mean share of a page's text is below LIGHT, and it hangs on a template, a node whose
   presentation hardly varies. So menus and adverts go whose words differ from page to page. What lies in a node of free
   form or with paragraphs in it, as the parts of an article do, stays, and so does a branch that is half of its own page.
@@ -26,10 +26,9 @@ page's main element, or its article where none lies outside, stays; lists of oth
 OTHERS) do not count for that. Where a page has an article or main element, only what lies in it counts. Where nothing is left, the
 tree is ignored, then names, then elements.
 
-Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one row for each node, then
-at most REPEATS contents of a node. A node that fewer than one in RARE of its host's pages have is not judged. The
-judgement is broadcast where it has at most SHARED entries; else pages meet it by a join in which each host has as many parts as
-its pages ask for. Pages are read in linear time without recursion, whatever their nesting or unclosed tags.
+Only counts of hashes are gathered: (node, presentation or content) with partial sums, then one row for each node that min_pages
+pages have, and one for each of its repeated contents. These are broadcast where they are at most SHARED entries; else each page's own nodes and contents
+meet them in joins whose frequent keys are dealt to parts, so a page comes by no more than its nodes' judgement, however large the host. Pages are read in linear time without recursion, whatever their nesting or unclosed tags.
 
 Nulls: a null html counts as empty and gives empty text; a null or odd url has the empty host. Repeated
 rows give repeated rows. Extra columns are ignored. An empty table gives an empty result.
@@ -51,19 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, stored
+from tidemark.llm.common import map_arrow, spread, stored
 
 MIN_PAGES, LOW = 3, 0.15
 #: Below this mean share of its pages' text a branch weighs little; a template's presentation has at most this entropy.
 LIGHT, TEMPLATE = 0.15, 0.5
-#: A content repeats where at least one in so many pages with the node have it.
-REPEATS = 100
-#: A node is judged where at least one in so many pages of the host have it.
-RARE = 1000
 #: Entries of the judgement (nodes and contents, some 100 bytes each) that are broadcast at most.
 SHARED = 1 << 19
-#: Pages of a host that meet its judgement in one part of a join, at least; no more than HOT hosts have several parts.
-PART_PAGES, HOT = 20_000, 10_000
+#: Pages with one key that meet what is judged of it in one part of a join.
+PART_PAGES = 20_000
 #: Tags with an odd quote that are searched for their end to the end of the page; later ones end at the next sign.
 ODD = 64
 
@@ -111,13 +106,13 @@ TEXT, OPEN, CLOSE = 0, 1, 2
 
 
 class Judgement(NamedTuple):
-    """What the host's pages tell of a node: pages of its frequent contents, whether it repeats, weighs little, is of free form, and its pages."""
+    """What the host's pages tell of a node: pages of its repeated contents, whether it repeats, weighs little, is of free form; and below how many pages a content does not repeat."""
 
     often: Mapping[int, int]
     repeats: bool
     light: bool
     free: bool
-    pages: int
+    least: int = MIN_PAGES
 
 
 class Page:
@@ -381,7 +376,7 @@ def noise(page: Page, judged: Mapping[int, Judgement]) -> list[bool]:
         pages = j.often.get(shown.content, 0)
         for i in shown.nodes:
             often[i], light[i], part[i] = pages if j.repeats else 0, j.light and shown.share < 0.5, j.free
-            within[i] = pages or j.pages / REPEATS
+            within[i] = pages or j.least - 1
     said = [False] * n
     for kind, i, text in page.events:
         if kind == TEXT and page.drop[i] < ELEMENT and not said[i]:
@@ -429,8 +424,8 @@ def extract(html: str | None, judged: Mapping[int, Judgement] = MappingProxyType
     return text
 
 
-def judgement(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW, light: float = LIGHT, template: float = TEMPLATE) -> DataFrame:
-    """host, node, often (array of content and pages), repeats, light, free, pages, total (pages of the host) for each node that is judged."""
+def judgement(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW, light: float = LIGHT, template: float = TEMPLATE) -> tuple[DataFrame, DataFrame]:
+    """(host, node, pages, repeats, light, free) of each node that min_pages pages have, and (host, node, content, pages) of each of its contents that repeats."""
 
     def count(batch: pa.RecordBatch):
         seen: dict[tuple, list] = {}
@@ -455,18 +450,50 @@ def judgement(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW,
     each = counts.groupBy("host", "node").agg(
         F.sum(F.when(is_content, F.col("n"))).alias("pages"), F.sum(F.when(is_content, log_sum)).alias("sc"), F.sum(F.when(~is_content, log_sum)).alias("sp"), F.sum("share").alias("share")
     )
-    # the root is on each page of its host
-    each = each.filter(F.col("pages") >= min_pages).join(each.filter("node = 0").select("host", F.col("pages").alias("total")), "host").filter(F.col("pages") * RARE >= F.col("total"))
     entropy = lambda s: (F.log("pages") - F.col(s) / F.col("pages")) / F.log("pages")
-    each = each.select("host", "node", "pages", "total", (1 - (1 - entropy("sp")) * (1 - entropy("sc")) < low).alias("repeats"), (F.col("share") / F.col("pages") < light).alias("light"), (entropy("sp") > template).alias("free"))
-    each = stored(each, "nodes")
-    often = counts.filter(is_content & (F.col("n") >= min_pages)).join(each.select("host", "node", "pages"), ["host", "node"]).filter(F.col("n") * REPEATS >= F.col("pages"))
-    often = often.groupBy("host", "node").agg(F.collect_list(F.struct(F.col("what").alias("content"), F.col("n").alias("pages"))).alias("often"))  # at most REPEATS of a node
-    return each.join(often, ["host", "node"], "left").select("host", "node", "often", "repeats", "light", "free", "pages", "total")
+    each = each.filter(F.col("pages") >= min_pages)
+    each = each.select("host", "node", "pages", (1 - (1 - entropy("sp")) * (1 - entropy("sc")) < low).alias("repeats"), (F.col("share") / F.col("pages") < light).alias("light"), (entropy("sp") > template).alias("free"))
+    often = counts.filter(is_content & (F.col("n") >= min_pages)).select("host", "node", F.col("what").alias("content"), F.col("n").alias("pages"))
+    # a content on so many pages stands at a node that so many have
+    return stored(each, "nodes"), stored(often, "often")
+
+
+def _met(pages: DataFrame, nodes: DataFrame, often: DataFrame) -> DataFrame:
+    """pages with what is judged of them: an array of (node, repeats, light, free, content and its pages, if it repeats)."""
+
+    def with_key(batch: pa.RecordBatch):
+        both = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)
+        keys = [hashlib.blake2b(f"{len(u or '')}:{u or ''}{h or ''}".encode("utf-8", "surrogatepass"), digest_size=16).digest() for u, h in both]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["page_id", "url", "html", "key"])
+
+    def show(batch: pa.RecordBatch):
+        key, host, node, content = [], [], [], []
+        for k, url, html in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html")), strict=True):
+            own = host_of(url)
+            for path, s in shows(parse(html or "")).items():
+                key.append(k)
+                host.append(own)
+                node.append(path)
+                content.append(s.content)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(host, pa.string()), pa.array(node, pa.int64()), pa.array(content, pa.int64())], names=["key", "host", "node", "content"])
 
-
-def _judged(rows) -> dict[int, Judgement]:
-    return {r["node"]: Judgement({x["content"]: x["pages"] for x in r["often"] or ()}, r["repeats"], r["light"], r["free"], r["pages"]) for r in rows}
+    kind = pages.schema["page_id"].dataType.simpleString()
+    keyed = map_arrow(pages, with_key, f"page_id {kind}, url string, html string, key binary")
+    # copies show the same, so they are told once
+    shown = stored(map_arrow(keyed.select("key", "url", "html"), show, "key binary, host string, node long, content long").distinct(), "shown")
+    salt = F.xxhash64("key")
+    at = F.struct("host", "node").alias("at")
+    judged = spread(shown.select("key", "node", at), nodes.select(at, "pages", "repeats", "light", "free"), "at", "pages", salt, part=PART_PAGES)
+    what = F.struct("host", "node", "content").alias("what")
+    repeated = spread(shown.select("key", what), often.select(what, "pages", F.col("pages").alias("n")), "what", "pages", salt, part=PART_PAGES)
+    none = F.lit(None)
+    rows = judged.select("key", "node", "repeats", "light", "free", none.cast("long").alias("content"), none.cast("long").alias("n")).unionByName(
+        repeated.select("key", F.col("what.node").alias("node"), none.cast("boolean").alias("repeats"), none.cast("boolean").alias("light"), none.cast("boolean").alias("free"), F.col("what.content").alias("content"), "n")
+    )
+    one = F.struct("node", "repeats", "light", "free", "content", "n")
+    info = rows.groupBy("key").agg(F.collect_list(one).alias("judged"))  # twice the nodes of a page at most
+    copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    return spread(keyed, copies.join(info, "key", "left"), "key", "copies", F.xxhash64("page_id"), part=PART_PAGES).select("page_id", "url", "html", "judged")
 
 
 def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW, light: float = LIGHT, names: bool = True, shared: int = SHARED) -> DataFrame:
@@ -475,43 +502,37 @@ def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, low: float = LOW,
     kind = pages.schema["page_id"].dataType.simpleString()
     out = f"page_id {kind}, url string, text string, n_chars long"
     pages = pages.select("page_id", "url", "html")
-    tree = stored(judgement(pages, min_pages=min_pages, low=low, light=light), "judgement")
+    nodes, often = judgement(pages, min_pages=min_pages, low=low, light=light)
 
     def told(batch: pa.RecordBatch, of) -> pa.RecordBatch:
         texts = [extract(html, of(i, url), names) for i, (url, html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True))]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    if (tree.agg(F.sum(1 + F.greatest(F.size("often"), F.lit(0)))).head()[0] or 0) <= shared:
-        hosts: dict[str, list] = {}
-        for r in tree.collect():  # at most `shared` entries
-            hosts.setdefault(r["host"], []).append(r)
-        known = spark.sparkContext.broadcast({host: _judged(rows) for host, rows in hosts.items()})
+    if nodes.count() + often.count() <= shared:
+        contents: dict[tuple, dict[int, int]] = {}
+        for r in often.collect():  # with the nodes at most `shared` entries
+            contents.setdefault((r["host"], r["node"]), {})[r["content"]] = r["pages"]
+        hosts: dict[str, dict[int, Judgement]] = {}
+        for r in nodes.collect():
+            hosts.setdefault(r["host"], {})[r["node"]] = Judgement(contents.get((r["host"], r["node"]), {}), r["repeats"], r["light"], r["free"], min_pages)
+        known = spark.sparkContext.broadcast(hosts)
 
         def near(batch: pa.RecordBatch):
             yield told(batch, lambda i, url: known.value.get(host_of(url), {}))
 
         return map_arrow(pages, near, out)
 
-    def with_host(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
-
     def far(batch: pa.RecordBatch):
-        hosts, trees = batch.column("host").to_pylist(), batch.column("judged")
-        own: dict[str, dict[int, Judgement]] = {}
+        judged = batch.column("judged")
 
         def of(i: int, url: str | None) -> dict[int, Judgement]:
-            if hosts[i] not in own:
-                own[hosts[i]] = _judged(trees[i].as_py() or ())
-            return own[hosts[i]]
+            rows = judged[i].as_py() or ()
+            contents: dict[int, dict[int, int]] = {}
+            for r in rows:
+                if r["content"] is not None:
+                    contents.setdefault(r["node"], {})[r["content"]] = r["n"]
+            return {r["node"]: Judgement(contents.get(r["node"], {}), r["repeats"], r["light"], r["free"], min_pages) for r in rows if r["repeats"] is not None}
 
         yield told(batch, of)
 
-    # a host may have a third of all pages: its judgement is repeated for each part of its pages
-    sizes = tree.groupBy("host").agg(F.max("total").alias("total"))
-    part = max(PART_PAGES, -(-(sizes.agg(F.sum("total")).head()[0] or 0) // HOT))
-    parts = sizes.filter(F.col("total") > part).select("host", F.ceil(F.col("total") / part).alias("parts"))  # fewer than HOT rows
-    dealt = map_arrow(pages, with_host, f"page_id {kind}, url string, html string, host string").join(F.broadcast(parts), "host", "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "html"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    trees = tree.groupBy("host").agg(F.collect_list(F.struct("node", "often", "repeats", "light", "free", "pages")).alias("judged"))  # RARE times the nodes of a page at most
-    trees = trees.join(F.broadcast(parts), "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return map_arrow(dealt.join(trees, ["host", "part"], "left").select("page_id", "url", "html", "host", "judged"), far, out)
+    return map_arrow(_met(pages, nodes, often), far, out)
