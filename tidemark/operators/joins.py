@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,9 +114,11 @@ def dealt(rows: DataFrame, start: Column, end: Column, width: float, levels: Seq
     return rows.withColumn("_lo", lo).withColumn("_bin", F.explode(F.sequence(lo, hi)))
 
 
-def levels(rows: DataFrame, start: Column, end: Column, width: float) -> list[int]:
-    """The levels that occur, a few dozen at most."""
-    return [r[0] for r in rows.select(level(start, end, width).alias("x")).filter("x is not null").distinct().collect()]
+def levels(sides: Sequence[tuple[DataFrame, Column, Column]], width: float) -> list[list[int]]:
+    """The levels that occur on each side, a few dozen at most; one job."""
+    each = [df.select(F.lit(i).alias("side"), level(s, e, width).alias("level")) for i, (df, s, e) in enumerate(sides)]
+    found = reduce(DataFrame.unionByName, each).filter("level is not null").distinct().collect()
+    return [[r["level"] for r in found if r["side"] == i] for i in range(len(sides))]
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float, *, names: tuple[str, str, str, str] = ("start", "end", "o_start", "o_end"), closed: bool = False) -> DataFrame:
@@ -127,7 +130,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     """
     ls, le, rs, re = (F.col(n) for n in names)
     over = (ls <= re) & (le >= rs) if closed else (ls < re) & (le > rs)
-    l_levels, r_levels = levels(left, ls, le, width), levels(right, rs, re, width)
+    l_levels, r_levels = levels([(left, ls, le), (right, rs, re)], width)
     a = dealt(left, ls, le, width, r_levels, "_l").withColumnRenamed("_lo", "_la")
     b = dealt(right, rs, re, width, l_levels, "_r").withColumnRenamed("_lo", "_ra")
     pairs = a.join(b, [*keys, "_level", "_bin"])

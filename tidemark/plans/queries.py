@@ -200,7 +200,7 @@ def first_overlap(t) -> DataFrame:
     lines = lines.groupBy("video_id", "idx").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("l_returnflag").alias("l_returnflag"))
     captions = lines.filter("idx % 3 = 0").select("video_id", "idx", "start", "end")
     others = lines.filter("idx % 3 <> 0").select("video_id", "idx", "start", "end", F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", F.col("idx").cast("string"))).alias("description"))
-    return fusion.first_overlapping(captions, others, "description", width=50.0).select("video_id", "idx", "description")
+    return fusion.first_overlapping(captions, others, "description").select("video_id", "idx", "description")
 
 
 @query
