@@ -331,3 +331,42 @@ def test_numbers_of_rows_that_all_tie(spark):
     out = context.ordinal(df, ["same"], "n")
     assert sorted(r.n for r in out.collect()) == list(range(2000))
     assert len(context._bounds(df.select(F.struct(F.col("same").alias("_0"), F.xxhash64("same", "id").alias("_1")).alias("_k")))) > 1
+
+
+def shuffled(spark, df):
+    """Rows that go through the exchanges of df's plan, by their metrics once it has run."""
+    df.collect()
+
+    def visit(node):
+        own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+        inner = [node.child()] if node.nodeName().startswith("WholeStage") else [node.children().apply(i) for i in range(node.children().size())]
+        return own + sum(visit(n) for n in inner)
+
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
+def test_fused_texts_are_a_nested_loop_and_no_pairs_are_shuffled(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def segments(n, long):
+        starts = [rng.choice([None, rng.uniform(-40, 60)]) if rng.random() < 0.1 else rng.uniform(-40, 60) for _ in range(n)]
+        return [(f"v{rng.randrange(2)}", i, s, None if rng.random() < 0.05 else (s or 0.0) + rng.uniform(-1, 500 if rng.random() < long else 5), rng.choice([None, "", f"t{i}"])) for i, s in enumerate(starts)]
+
+    schema = "video_id string, idx int, start double, end double, {} string"
+    for long in (0.0, 0.2):
+        v, c, a = segments(60, long), segments(80, long), segments(80, long)
+        df = fusion.fuse_overlapping(*(spark.createDataFrame(x, schema.format(t)) for x, t in ((v, "visual_description"), (c, "text"), (a, "audio_description"))), width=5.0)
+        over = lambda p, q: p[0] == q[0] and (p[2] or 0) < (q[3] or 0) and (p[3] or 0) > (q[2] or 0)
+        want = [(r[0], r[1], " ".join(q[4] or "" for q in c if over(r, q)).strip(" "), " ".join(q[4] for q in a if q[4] and over(r, q))) for r in v]
+        assert sorted(rows(df, "video_id", "idx", "speech_content", "audio_environment")) == sorted(want)
+    # 200 segments that all overlap 200 captions: 40,000 pairs
+    same = [("v", i, 0.0, 4.0, "t") for i in range(200)]
+    df = fusion.fuse_overlapping(*(spark.createDataFrame(same, schema.format(t)) for t in ("visual_description", "text", "audio_description")), width=5.0)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert shuffled(spark, df) < 5000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
