@@ -132,3 +132,52 @@ def test_work_off_goes_on_counting(spark, tmp_path):
 def test_arriving_covers_odd_tables(spark, tmp_path):
     none = spark.createDataFrame([], "id long, ts timestamp, key string")
     assert flows.stream_sessions(none.withColumn("user_id", F.lit(1)), str(tmp_path)).count() == 0
+
+
+class Calls:
+    """A handle and a value state that count the messages to the state store."""
+
+    def __init__(self):
+        self.n, self.value, self.timers = 0, None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += name not in ("getValueState", "getListState", "getMapState")
+            match name:
+                case "getValueState":
+                    return self
+                case "exists":
+                    return self.value is not None
+                case "get":
+                    return self.value
+                case "update":
+                    self.value = args[0]
+                case "clear":
+                    self.value = None
+                case "registerTimer":
+                    self.timers.add(args[0])
+                case "deleteTimer":
+                    self.timers.remove(args[0])
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+@pytest.mark.parametrize("processor", [stateful.Dedupe(10), stateful.TtlCache(), stateful.Completion(10, 20), stateful.Stuck({}, 10), stateful.Reorder(10)], ids=lambda p: type(p).__name__)
+def test_calls_of_the_state_store_do_not_grow_with_rows_and_keys(processor):
+    from pyspark.sql import Row
+
+    store = Calls()
+    values = {"write": True, "value": "x", "ttl": 5.0, "part": "p", "expected": 2, "priority": 1, "stage": "s", "state": "processing"}
+    rows = [Row(key=f"k{i % 200}", at=i * 10**6, id=i, number=i // 200, **values) for i in range(2000)]
+    processor.init(store)
+    for store.now, batch in ((0, rows[:1000]), (1_000_000, rows[1000:]), (9_000_000, [])):
+        before = store.n
+        if batch:
+            list(processor.handleInputRows((0,), iter(batch), store))
+        else:
+            list(processor.handleExpiredTimer((0,), store, None))
+        assert store.n - before <= 5
+    assert len(store.timers) <= 1
