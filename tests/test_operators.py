@@ -370,3 +370,26 @@ def test_fused_texts_are_a_nested_loop_and_no_pairs_are_shuffled(spark):
         assert shuffled(spark, df) < 5000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_samples_without_numbers_are_those_with_them_and_write_nothing(spark, monkeypatch):
+    numbered = benchmark.samples(*assembled(spark))
+    monkeypatch.setattr(benchmark, "stored", lambda df, name: pytest.fail("rows were written"))
+    plain = benchmark.unnumbered(*assembled(spark))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, numbered.select(*plain.columns).collect()))
+
+
+def test_lines_of_a_benchmark_are_dealt_by_task_once(spark, small):
+    from tidemark.plans import assembly
+
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(before, ("false", "-1")):
+        spark.conf.set(c, v)
+    try:
+        tables = assembly.benchmark_tables(lambda name: spark.read.parquet(f"{small}/{name}.parquet"))
+        plan = benchmark.task_rows(*tables[:3])._jdf.queryExecution().executedPlan().toString()
+        # lines for questions, answers (two versions) and criteria, the orders, and what the union of versions loses
+        assert plan.count("Exchange hashpartitioning") <= 6
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)

@@ -85,14 +85,19 @@ def _range_of(key: Column, bounds: list[Column]) -> Column:
     if not bounds:
         return F.lit(0)
     listed = F.array(*bounds)
-    lo, hi = F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")
+    # the key, maybe a hash of wide rows, is evaluated once and not at each step
+    return F.transform(F.array(key), lambda k: _bisected(k, listed, len(bounds)))[0]
+
+
+def _bisected(key: Column, listed: Column, n: int) -> Column:
+    lo, hi = F.lit(0).alias("lo"), F.lit(n).alias("hi")
 
     def halve(at: Column, _: Column) -> Column:
         mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
         up = (at["lo"] < at["hi"]) & (F.get(listed, mid) <= key)
         return F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(up | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
 
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    steps = F.sequence(F.lit(1), F.lit(n.bit_length()))
     return F.aggregate(steps, F.struct(lo, hi), halve)["lo"]
 
 
