@@ -82,6 +82,19 @@ def test_dedupe_keeps_one_in_each_span(spark, tmp_path):
     assert sorted((k, i) for k, i, _ in got) == [("j", 5), ("k", 1), ("k", 3), ("k", 6)] and state.numRowsTotal <= 3
 
 
+def test_rows_come_in_frames_and_keep_their_values(spark, tmp_path):
+    class InFrames(stateful.TtlCache):
+        def handleInputRows(self, key, rows, timerValues):
+            raise AssertionError("a row at a time")
+
+    big = 2**60 + 1
+    rows = [("a", 0, big, True, None, None), ("a", 5, big + 1, False, None, None), ("b", 0, big + 2, True, "NaN", 1e-3), ("b", 1, big + 3, False, "", 0.1), ("é,\n", 0, 1, True, '"\\', 10.5), ("é,\n", 9, 2, False, None, None)]
+    out = stateful.stateful(stateful.timed(feed(spark, tmp_path, CACHE, rows, END), "ts", "1 hour"), "key", InFrames(), stateful.TtlCache.OUTPUT)
+    incremental.once(out, incremental.append_to(f"{tmp_path}/out"), f"{tmp_path}/ck").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").drop("batch").collect())
+    assert got == [("a", big + 1, True, None), ("b", big + 3, False, None), ("é,\n", 2, True, '"\\')]
+
+
 def wait_for(told, seconds=90):
     until = time.time() + seconds
     while time.time() < until:
