@@ -531,3 +531,22 @@ def test_packing_of_one_row_ten_thousand_times(spark):
     size = next(r.length for r in got if r.doc_id == 7)
     assert len(places) == len(got) and sum(r.doc_id == 7 for r in got) == 10_000
     assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // (2048 // size * size)) + 2
+
+
+def test_python_gets_small_batches(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    count = lambda batch: iter([pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})])
+    sizes = lambda: [r.n for r in common.map_arrow(spark.range(5000).coalesce(1), count, "n long").collect()]
+    try:
+        spark.conf.set(name, "10000")
+        got = sizes()
+        assert max(got) <= common.BATCH_ROWS and sum(got) == 5000
+        spark.conf.set(name, "100")
+        assert max(sizes()) == 100
+    finally:
+        spark.conf.set(name, before)

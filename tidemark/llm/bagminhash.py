@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ByteHash, discard, free, map_arrow, mix, numbered, slices, spread, stored, string_buffers, windows, word_bounds
+from tidemark.llm.common import ByteHash, discard, free, in_batches, map_arrow, mix, numbered, slices, spread, stored, string_buffers, windows, word_bounds
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -311,7 +311,7 @@ def _classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS,
     leaders = stored(first.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leaders")
     leaders = leaders.join(text.select(F.col("id").alias("leader"), F.col("text").alias("leader_text")), "leader")
     pairs = spread(first.join(text, "id"), leaders, "leader", "n", F.xxhash64("id"), part=LEADER_ROWS).select("id", "leader", "text", "leader_text")
-    star = stored(pairs.mapInArrow(_verify(words, threshold), "id long, leader long"), "star")
+    star = stored(in_batches(pairs).mapInArrow(_verify(words, threshold), "id long, leader long"), "star")
     roots = components(star)
     known = members.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", "size", F.coalesce("root", "id").alias("label"))
     each = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))

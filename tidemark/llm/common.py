@@ -106,15 +106,27 @@ def fold(col: Column, n: int) -> Column:
     return F.crc32(F.encode(col.cast("string"), "UTF-8")) % n
 
 
+#: Rows of an Arrow batch, at most: its texts lie in the memory of the executor and of its worker at once.
+BATCH_ROWS = 1024
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands at most BATCH_ROWS rows to Python at once; a smaller number that is set stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch of at most BATCH_ROWS rows."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df).mapInArrow(run, schema)
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
