@@ -95,6 +95,25 @@ def test_rows_come_in_frames_and_keep_their_values(spark, tmp_path):
     assert got == [("a", big + 1, True, None), ("b", big + 3, False, None), ("é,\n", 2, True, '"\\')]
 
 
+def test_partitions_of_state_follow_the_cores_and_commit_changes(spark, tmp_path):
+    schema = "key string, s long, id long, stage string, state string"
+    rows = [(f"k{i}", i, i, "x", "processing") for i in range(50)]
+    usual, cores = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(10 * cores))
+    try:
+        for given in (None, 3):
+            at = f"{tmp_path}/{given}"
+            out = stateful.stateful(stateful.timed(feed(spark, at, schema, rows, [("", 10_000 * H, 99, None, None)]), "ts", "2 hours"), "key", stateful.Stuck({}), stateful.Stuck.OUTPUT)
+            query = incremental.once(out, incremental.append_to(f"{at}/out"), f"{at}/ck", partitions=given)
+            assert spark.conf.get("spark.sql.shuffle.partitions") == str(10 * cores)
+            query.awaitTermination()
+            assert query.lastProgress.stateOperators[0].numShufflePartitions == (given or 2 * cores)
+            assert spark.read.parquet(f"{at}/out").count() == 50
+            assert list(tmp_path.glob(f"{given}/ck/state/0/*/*.changelog"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def wait_for(told, seconds=90):
     until = time.time() + seconds
     while time.time() < until:
