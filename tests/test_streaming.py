@@ -114,6 +114,55 @@ def test_partitions_of_state_follow_the_cores_and_commit_changes(spark, tmp_path
         spark.conf.set("spark.sql.shuffle.partitions", usual)
 
 
+def test_rows_come_in_slices_of_arrow_batches_and_late_ones_are_dropped(spark, tmp_path):
+    schema = "key string, s long, id long, stage string, state string"
+    files = [[("a", 0, 1, "x", "processing")], [("", 1000 * H, 2, None, None)], [("", 1001 * H, 3, None, None)]]
+    files += [[("a", 2, 4, "x", "processing"), ("a", 2000 * H, 5, "x", "processing")], [("", 10_000 * H, 9, None, None)]]
+    got, state = run(spark, tmp_path, feed(spark, tmp_path, schema, *files), stateful.Stuck({"x": H}))
+    assert told(got, 3, 4) == [("a", "x", "failed", 0, H), ("a", "x", "failed", 2000 * H, 2001 * H)]
+    # transformWithStateInPandas makes a tuple of each row and a frame of the tuples, and asks for the state by messages
+    assert state.operatorName == "applyInPandasWithState" and state.numRowsTotal == 1
+
+
+class OfBucket:
+    """The state of a group as applyInPandasWithState hands it over."""
+
+    def __init__(self, watermark, value=None):
+        self.exists, self.get, self.watermark, self.timeout = value is not None, value, watermark, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > 0 and ms >= self.watermark  # or Spark fails
+        self.timeout = ms
+
+
+def test_timeout_of_a_bucket_is_the_millisecond_before_its_time():
+    import pandas as pd
+
+    def call(state, *rows):
+        frame = pd.DataFrame([(0, *r) for r in rows], columns=["_bucket", "key", "at", "id", "stage", "state"], dtype=object)
+        return [tuple(r) for f in handle((0,), iter([frame]), state) for r in f.itertuples(index=False)]
+
+    handle = stateful.Frames(stateful.Stuck({}, 1)).handle
+    first = OfBucket(0)
+    assert call(first, ("a", "1", "1", "x", "processing")) == [] and first.timeout == 1  # not 0
+    second = OfBucket(5000, first.get)
+    assert call(second, ("b", "5000001", "2", "y", "processing")) == [("a", "x", "failed", 1, 1_000_001)]
+    assert second.timeout == 5000  # over at the watermark 5001, which is past the row
+    third = OfBucket(5001, second.get)
+    assert call(third) == [] and third.timeout == 6000
+    last = OfBucket(6001, third.get)
+    assert call(last) == [("b", "y", "failed", 5_000_001, 6_000_001)] and not last.exists
+
+
 def wait_for(told, seconds=90):
     until = time.time() + seconds
     while time.time() < until:
