@@ -163,6 +163,18 @@ def test_timeout_of_a_bucket_is_the_millisecond_before_its_time():
     assert call(last) == [("b", "y", "failed", 5_000_001, 6_000_001)] and not last.exists
 
 
+def test_a_time_that_has_passed_is_due_when_the_watermark_moves():
+    import pandas as pd
+
+    class Behind(stateful.Reorder):
+        def until(self, kept, rows):
+            return 1
+
+    state = OfBucket(5000)
+    frame = pd.DataFrame([(0, "v", "4000000", "0", "x")], columns=["_bucket", "key", "at", "number", "value"], dtype=object)
+    assert [len(f) for f in stateful.Frames(Behind(1)).handle((0,), iter([frame]), state)] == [1] and state.timeout == 5000
+
+
 def wait_for(told, seconds=90):
     until = time.time() + seconds
     while time.time() < until:
