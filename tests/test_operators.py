@@ -393,3 +393,32 @@ def test_lines_of_a_benchmark_are_dealt_by_task_once(spark, small):
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
+
+
+def test_fused_segments_of_several_lengths_shuffle_no_texts(spark):
+    # 200 segments that all overlap 200 longer captions and sounds, and three others; bins come in several batches
+    same = [("v", i, float(i % 3), 4.0, f"t{i}") for i in range(200)]
+    long = [("v", i, -900.0 if i % 2 else 3.0, 90.0 + i, f"t{i}") for i in range(200)]
+    more = [("v", 200, 3.0, 9.0, "short"), ("v", 201, 3.0, 19.0, "longer"), (None, 202, 0.0, 4.0, "none")]
+    schema = "video_id string, idx int, start double, end double, {} string"
+    v, c, a = (spark.createDataFrame(x, schema.format(t)) for x, t in ((same + more[2:], "visual_description"), (long + more, "text"), (long, "audio_description")))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, x in conf.items():
+            spark.conf.set(k, x)
+        df = fusion.fuse_overlapping(v, c, a, width=5.0)
+        texts = " ".join(f"t{i}" for i in range(200))
+        want = [("v", i, f"{texts} short longer", texts) for i in range(200)] + [(None, 202, "", "")]
+        assert sorted(rows(df, "video_id", "idx", "speech_content", "audio_environment"), key=str) == sorted(want, key=str)
+        df.collect()
+
+        def moved(node):
+            own = node.metrics().apply("dataSize").value() if node.nodeName() == "Exchange" else 0
+            inner = [node.child()] if node.nodeName().startswith("WholeStage") else [node.children().apply(i) for i in range(node.children().size())]
+            return own + sum(moved(n) for n in inner)
+
+        assert moved(df._jdf.queryExecution().executedPlan()) < 500_000
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
